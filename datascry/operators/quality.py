@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datascry.functions.scalars import numeric_columns
+from datascry.functions.scalars import epoch_seconds, numeric_columns
 from datascry.operators.keys import attach
 from datascry.operators.ordered import Sequence
 from datascry.operators.profile import long_rows, outlier_share, top_categories, typed_facts
@@ -164,10 +164,6 @@ def share_of_total(points: DataFrame, name: str = "x_val", y: str = "y") -> Data
 def runs_by_dataset(runs: DataFrame, dataset: str = "dataset", ts: str = "ts", run: str = "run") -> DataFrame:
     """Runs with the group order: datasets by their newest run, runs inside newest first."""
     newest = runs.groupBy(dataset).agg(F.max(ts).alias("latest"), F.count("*").alias("runs"))
-    w = Window.partitionBy(dataset).orderBy(F.desc(ts), F.desc(run))
-    seq = Sequence(runs.withColumn("__neg", -F.unix_micros(F.col(ts).cast("timestamp"))), [dataset], ["__neg", run])
-    if seq.hot:
-        placed = seq.numbered("place").drop("__neg")
-    else:
-        placed = runs.withColumn("place", F.row_number().over(w).cast("long"))
+    recent = runs.withColumn("__age", -epoch_seconds(ts, runs.schema[ts].dataType))
+    placed = Sequence(recent, [dataset], ["__age", run]).numbered("place").drop("__age")
     return attach(placed, newest, [dataset]).orderBy(F.desc("latest"), dataset, "place")
