@@ -199,24 +199,39 @@ def adf_test(df: DataFrame, key: list[str], ts: str, y: str, max_lag: int | None
     names = ["__one", "__x1", *[f"__d{k}" for k in range(1, max_lag + 1)], "__d"]
     width, size = max_lag, len(names)
 
+    fields = [df.schema[k] for k in key]
+    upper = np.triu_indices(size)
+    part_schema = T.StructType(fields + [T.StructField("n", T.LongType()), T.StructField("own", T.IntegerType()),
+                                         T.StructField("nobs", T.LongType()), T.StructField("cell", T.IntegerType()), T.StructField("v", T.DoubleType())])
+
+    def partial(frames):
+        """Sums of products per series within a batch, so only matrices are shuffled."""
+        for frame in frames:
+            frame = frame.assign(__one=1.0)
+            groups = frame.groupby(key, dropna=False, sort=False) if key else [((), frame)]
+            for values, rows in groups:
+                z = np.nan_to_num(rows[names].to_numpy(dtype=float))
+                out = pd.DataFrame({"n": int(rows["__n"].max()), "own": np.int32(rows["__own"].max()), "nobs": len(rows),
+                                    "cell": np.arange(len(upper[0]), dtype="int32"), "v": (z.T @ z)[upper]})
+                for k, value in zip(key, values if isinstance(values, tuple) else (values,)):
+                    out[k] = value
+                yield out[[*key, "n", "own", "nobs", "cell", "v"]]
+
     def products(frame: DataFrame) -> DataFrame:
-        frame = frame.withColumn("__one", F.lit(1.0))
-        pairs = [F.sum(F.col(names[i]) * F.col(names[j])) for i in range(size) for j in range(i, size)]
-        return frame.groupBy(*key).agg(F.max("__n").alias("n"), F.max("__own").cast("int").alias("own"),
-                                       F.count("__one").alias("nobs"), F.array(*[F.coalesce(p, F.lit(0.0)) for p in pairs]).alias("g"))
+        parts = frame.mapInPandas(partial, part_schema)
+        return parts.groupBy(*key, "cell").agg(F.max("n").alias("n"), F.max("own").alias("own"), F.sum("nobs").alias("nobs"), F.sum("v").alias("v"))
 
-    def matrix(values) -> np.ndarray:
+    def matrix(frame: pd.DataFrame) -> np.ndarray:
         m = np.zeros((size, size))
-        m[np.triu_indices(size)] = values
+        m[upper] = frame.sort_values("cell")["v"].to_numpy()
         return m + np.triu(m, 1).T
 
-    fields = [df.schema[k] for k in key]
     chosen_schema = T.StructType(fields + [T.StructField("__lags", T.IntegerType())])
 
     def choose(frame: pd.DataFrame) -> pd.DataFrame:
-        gram, nobs, own = matrix(frame["g"].iloc[0]), int(frame["nobs"].iloc[0]), int(frame["own"].iloc[0])
+        gram, nobs, own = matrix(frame), int(frame["nobs"].iloc[0]), int(frame["own"].iloc[0])
         scores = [adf_fit(gram, p, width, nobs)[1] for p in range(own + 1)]
-        return frame[key].assign(__lags=np.int32(int(np.argmin(scores))))
+        return frame[key].head(1).assign(__lags=np.int32(int(np.argmin(scores))))
 
     # All candidate lag counts are compared on the rows that have every lag.
     chosen = products(lagged.filter(F.col("__at") > F.col("__own") + 1)).groupBy(*key).applyInPandas(choose, chosen_schema)
@@ -226,9 +241,9 @@ def adf_test(df: DataFrame, key: list[str], ts: str, y: str, max_lag: int | None
 
     def verdict(frame: pd.DataFrame) -> pd.DataFrame:
         nobs, lags = int(frame["nobs"].iloc[0]), int(frame["own"].iloc[0])
-        stat, _ = adf_fit(matrix(frame["g"].iloc[0]), lags, width, nobs)
+        stat, _ = adf_fit(matrix(frame), lags, width, nobs)
         crit = {c: b[0] + b[1] / nobs + b[2] / nobs**2 + b[3] / nobs**3 for c, b in CRITICAL.items()}
-        return frame[key].assign(n=int(frame["n"].iloc[0]), lags=np.int32(lags), stat=stat, **crit, stationary=bool(stat < crit["crit_5"]))
+        return frame[key].head(1).assign(n=int(frame["n"].iloc[0]), lags=np.int32(lags), stat=stat, **crit, stationary=bool(stat < crit["crit_5"]))
 
     return products(final).groupBy(*key).applyInPandas(verdict, schema)
 
