@@ -150,16 +150,19 @@ def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit
 
 
 def _match_groups(pairs: DataFrame) -> DataFrame:
-    """Greedy matching of each group in one task: predictions by score, each takes its best free truth."""
+    """Greedy matching of each group in one task: predictions by score, each takes its best truth that is still free."""
     schema = T.StructType([pairs.schema[c] for c in ("limit", *KEYS, "p_id")])
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        taken, won = set(), []
-        for pid, mine in frame.sort_values(["score", "p_id", "iou", "t_id"], ascending=[False, True, False, True]).groupby("p_id", sort=False):
-            free = mine[~mine["t_id"].isin(taken)]
-            if len(free):
-                taken.add(free["t_id"].iloc[0])
-                won.append(pid)
+        free = dict(zip(frame["t_id"], frame["t_n"]))
+        won = []
+        ordered = frame.sort_values(["score", "p_id", "iou", "t_id"], ascending=[False, True, False, True])
+        for pid, mine in ordered.groupby("p_id", sort=False):
+            for t in mine["t_id"]:
+                if free[t]:
+                    free[t] -= 1
+                    won.append(pid)
+                    break
         out = frame[["limit", *KEYS]].head(1)
         return out.loc[out.index.repeat(len(won))].assign(p_id=won)
 
@@ -167,8 +170,8 @@ def _match_groups(pairs: DataFrame) -> DataFrame:
 
 
 def _match_rounds(pairs: DataFrame) -> DataFrame:
-    """The same matching as rounds of joins: free predictions ask for their best truth that has not refused them,
-    a truth keeps its best-scored suitor. All truths rank suitors by score, so the rounds end in the greedy result.
+    """The same matching as rounds of joins: a prediction asks for its best truth that has not refused it, a truth of
+    n equal boxes keeps its n best-scored suitors. All truths rank suitors by score, so this ends in the greedy result.
     """
     group = ["limit", *KEYS]
     asks = pairs
@@ -177,21 +180,22 @@ def _match_rounds(pairs: DataFrame) -> DataFrame:
         top = asks.withColumn("rk", F.row_number().over(best)).filter("rk = 1").drop("rk")
         suitor = Window.partitionBy(*group, "t_id").orderBy(F.desc("score"), "p_id")
         judged = top.withColumn("rk", F.row_number().over(suitor))
-        refused = cut_lineage(judged.filter("rk > 1").select(*group, "p_id", "t_id"))
+        refused = cut_lineage(judged.filter("rk > t_n").select(*group, "p_id", "t_id"))
         if refused.isEmpty():
-            return judged.filter("rk = 1").select(*group, "p_id")
+            return judged.filter("rk <= t_n").select(*group, "p_id")
         asks = cut_lineage(asks.join(refused, [*group, "p_id", "t_id"], "left_anti"))
 
 
 def match_detections(truth: DataFrame, pred: DataFrame, limits: list[float] | None = None, pair_limit: int = GROUP_PAIRS) -> DataFrame:
-    """Predictions that hit a truth box: (limit, image_stem, class_id, p_id). `truth` has t_id, `pred` has p_id and score."""
+    """Predictions that hit a truth box: (limit, image_stem, class_id, p_id). `pred` also has p_id and score.
+
+    Equal truth boxes count as one with room for several predictions, so copies never multiply.
+    """
     limits = limits or IOU_STEPS
-    near = box_iou_pairs(truth, pred, min(limits)).drop("t_n", "p_n")
-    shape = lambda df, pre: df.select(*KEYS, *[F.col(c).alias(f"{pre}{c}") for c in SHAPE], *[c for c in df.columns if c not in KEYS + SHAPE])
-    t = shape(truth.select(*KEYS, *SHAPE, "t_id"), "t_")
-    p = shape(pred.select(*KEYS, *SHAPE, "p_id", "score"), "p_")
-    pairs = near.join(t, [*KEYS, *[f"t_{c}" for c in SHAPE]]).join(p, [*KEYS, *[f"p_{c}" for c in SHAPE]])
-    each = pairs.select(*KEYS, "t_id", "p_id", "score", "iou", F.explode(F.lit([float(x) for x in limits])).alias("limit")).filter("iou >= limit")
+    near = box_iou_pairs(truth, pred, min(limits))
+    shapes = near.select(*KEYS, F.concat_ws(",", *[f"t_{c}" for c in SHAPE]).alias("t_id"), "t_n", *[F.col(f"p_{c}").alias(c) for c in SHAPE], "iou")
+    pairs = shapes.join(pred.select(*KEYS, *SHAPE, "p_id", "score"), [*KEYS, *SHAPE]).drop(*SHAPE)
+    each = pairs.withColumn("limit", F.explode(F.lit([float(x) for x in limits]))).filter("iou >= limit")
     most = each.groupBy("limit", *KEYS).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
     return _match_groups(each) if most <= pair_limit else _match_rounds(each)
 

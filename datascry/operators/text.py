@@ -86,8 +86,8 @@ def top_words(df: DataFrame, text: str, k: int = 20, max_features: int = 200, st
 
 
 def class_top_words(df: DataFrame, text: str, label: str, k: int = 5, max_features: int = 200, stop: list[str] | None = None) -> DataFrame:
-    """The k terms of the greatest mean weight per class: (label, rank, term, weight)."""
-    rows = df.filter(F.col(label).isNotNull())
+    """The k terms of the greatest summed weight per class: (label, rank, term, weight)."""
+    rows = _by_class(df, label)
     sums = Tfidf.fit(rows, text, max_features, stop).sums(rows, text, [label]).filter("weight > 0")
     # A class has at most max_features terms here.
     w = Window.partitionBy(label).orderBy(F.desc(F.round("weight", 9)), "term")

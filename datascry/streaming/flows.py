@@ -10,6 +10,7 @@ from pyspark.sql.streaming import StreamingQuery
 from datascry.functions.scalars import NUMERIC
 from datascry.operators.cleaning import CleanerModel
 from datascry.operators.imputers import KnnImputer
+from datascry.operators.keys import attach
 from datascry.operators.models import FittedPipeline
 from datascry.operators.profile import long_rows
 
@@ -67,12 +68,13 @@ def mergeable_profile(df: DataFrame) -> DataFrame:
 def merge_profiles(parts: DataFrame) -> DataFrame:
     """One profile from the profiles of disjoint row sets: (column, rows, missing, min, max, mean, std)."""
     numbers = F.when(F.col("mean").isNotNull(), F.col("non_null")).otherwise(F.lit(0))
+    centers = parts.groupBy("column").agg((F.sum(numbers * F.col("mean")) / F.nullif(F.sum(numbers), F.lit(0))).alias("center"))
+    both = attach(parts, centers, ["column"])
+    gap = F.col("mean") - F.col("center")
     total = F.sum(numbers)
-    mean = F.when(total > 0, F.sum(numbers * F.col("mean")) / total)
-    spread = F.sum("m2") + F.sum(numbers * F.col("mean") * F.col("mean")) - total * mean * mean
-    return parts.groupBy("column").agg(
+    return both.groupBy("column").agg(
         F.sum("rows").alias("rows"), F.sum(F.col("rows") - F.col("non_null")).alias("missing"), F.min("min").alias("min"), F.max("max").alias("max"),
-        mean.alias("mean"), F.when(total > 1, F.sqrt(F.greatest(spread, F.lit(0.0)) / (total - 1))).alias("std"))
+        F.max("center").alias("mean"), F.when(total > 1, F.sqrt((F.sum("m2") + F.sum(numbers * gap * gap)) / (total - 1))).alias("std"))
 
 
 def scheduled_profile(spark: SparkSession, path_in: str, path_out: str, schema: T.StructType, fmt: str = "parquet",
