@@ -19,12 +19,17 @@ def _(t):
     return cu.pca_2d(rows, ["c_custkey", "cluster"]).select("c_custkey", "cluster", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 
-@query("pca_variance", """with z as (select corr(l_quantity, l_extendedprice) as a from lineitem) select 1 as component, 0.25::double as floor, true as ordered from z""")
+@query("pca_variance")
 def _(t):
-    # Which share is explained depends on rounding of near-equal directions; the parts that must hold are compared.
     table = cu.pca_variance(t.lineitem, COLS)
-    return table.agg(F.min("component").alias("component"), F.lit(0.25).alias("floor"),
-                     ((F.max("share") >= 0.25) & (F.abs(F.max("cumulative") - 1) < 1e-9)).alias("ordered"))
+    return table.select("component", F.round("share", 6).alias("share"), F.round("cumulative", 6).alias("cumulative"))
+
+
+# The squared eigenvalues of a correlation matrix add up to its squared entries.
+@query("pca_variance_squares", "select round(" + " + ".join(f"power(corr({a}, {b}), 2)" if a != b else "1" for a in COLS for b in COLS) + ", 6) as squares from lineitem")
+def _(t):
+    table = cu.pca_variance(t.lineitem, COLS)
+    return table.agg(F.round(F.sum(F.col("share") * F.col("share")) * len(COLS) ** 2, 6).alias("squares"))
 
 
 LABELLED = "(select l_extendedprice, (l_suppkey % 3)::int as cluster from lineitem)"

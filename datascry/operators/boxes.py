@@ -149,24 +149,26 @@ def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit
 # ---- detection quality -----------------------------------------------------------------------------------------
 
 
-def _match_groups(pairs: DataFrame) -> DataFrame:
+def _match_groups(pairs: DataFrame, limits: list[float]) -> DataFrame:
     """Greedy matching of each group in one task: predictions by score, each takes its best truth that is still free."""
-    schema = T.StructType([pairs.schema[c] for c in ("limit", *KEYS, "p_id")])
+    schema = T.StructType([T.StructField("limit", T.DoubleType()), *[pairs.schema[c] for c in (*KEYS, "p_id")]])
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
-        free = dict(zip(frame["t_id"], frame["t_n"]))
-        won = []
         ordered = frame.sort_values(["score", "p_id", "iou", "t_id"], ascending=[False, True, False, True])
-        for pid, mine in ordered.groupby("p_id", sort=False):
-            for t in mine["t_id"]:
-                if free[t]:
+        rows = list(zip(ordered["p_id"], ordered["t_id"], ordered["iou"]))
+        room = dict(zip(frame["t_id"], frame["t_n"]))
+        won = []
+        for limit in limits:
+            free, done = dict(room), set()
+            for p, t, iou in rows:
+                if iou >= limit and p not in done and free[t]:
                     free[t] -= 1
-                    won.append(pid)
-                    break
-        out = frame[["limit", *KEYS]].head(1)
-        return out.loc[out.index.repeat(len(won))].assign(p_id=won)
+                    done.add(p)
+            won += [(limit, p) for p in done]
+        out = pd.DataFrame(won, columns=["limit", "p_id"])
+        return out.assign(**{k: frame[k].iloc[0] for k in KEYS})[["limit", *KEYS, "p_id"]]
 
-    return pairs.groupBy("limit", *KEYS).applyInPandas(match, schema)
+    return pairs.groupBy(*KEYS).applyInPandas(match, schema)
 
 
 def _match_rounds(pairs: DataFrame) -> DataFrame:
@@ -195,9 +197,11 @@ def match_detections(truth: DataFrame, pred: DataFrame, limits: list[float] | No
     near = box_iou_pairs(truth, pred, min(limits))
     shapes = near.select(*KEYS, F.concat_ws(",", *[f"t_{c}" for c in SHAPE]).alias("t_id"), "t_n", *[F.col(f"p_{c}").alias(c) for c in SHAPE], "iou")
     pairs = shapes.join(pred.select(*KEYS, *SHAPE, "p_id", "score"), [*KEYS, *SHAPE]).drop(*SHAPE)
-    each = pairs.withColumn("limit", F.explode(F.lit([float(x) for x in limits]))).filter("iou >= limit")
-    most = each.groupBy("limit", *KEYS).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    return _match_groups(each) if most <= pair_limit else _match_rounds(each)
+    most = pairs.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
+    limits = [float(x) for x in limits]
+    if most <= pair_limit:
+        return _match_groups(pairs, limits)
+    return _match_rounds(pairs.withColumn("limit", F.explode(F.lit(limits))).filter("iou >= limit"))
 
 
 def detection_map(truth: DataFrame, pred: DataFrame, pair_limit: int = GROUP_PAIRS) -> DataFrame:

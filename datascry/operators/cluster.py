@@ -24,21 +24,21 @@ def scaled_vectors(df: DataFrame, cols: list[str], exact: bool = True) -> DataFr
 
 def kmeans_auto_k(df: DataFrame, cols: list[str], ks=(2, 3, 4, 5), default: int = 3, exact: bool = True):
     """(labelled df with `cluster`, table of (k, silhouette, chosen)). The silhouette uses all rows."""
-    rows = scaled_vectors(df, cols, exact).persist()
+    ready = scaled_vectors(df, cols, exact)
+    vectors = ready.select("features").persist()
     try:
         judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
         tried = []
         for k in ks:
-            model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(rows)
-            scored = model.transform(rows)
-            found = scored.select("cluster").distinct().count()
-            tried.append((k, float(judge.evaluate(scored)) if found > 1 else None, model))
+            model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(vectors)
+            found = sum(1 for size in model.summary.clusterSizes if size)
+            tried.append((k, float(judge.evaluate(model.transform(vectors))) if found > 1 else None, model))
         known = [t for t in tried if t[1] is not None]
         best = max(known, key=lambda t: t[1]) if known else next((t for t in tried if t[0] == default), tried[0])
     finally:
-        rows.unpersist()
+        vectors.unpersist()
     table = df.sparkSession.createDataFrame([(k, s, k == best[0]) for k, s, _ in tried], "k int, silhouette double, chosen boolean")
-    return best[2].transform(scaled_vectors(df, cols, exact)), table
+    return best[2].transform(ready), table
 
 
 def pca_2d(labelled: DataFrame, keep: list[str], features: str = "features") -> DataFrame:

@@ -214,10 +214,10 @@ def regressor(family: str, rows: int, label: str = "label", features: str = "fea
 
 
 def classifier(family: str, classes: int, width: int | None = None, label: str = "label", features: str = "features", trees: int = 50, depth: int = 5,
-               prediction: str = "prediction") -> Estimator:
+               iterations: int = 100, prediction: str = "prediction") -> Estimator:
     cols = {"labelCol": label, "featuresCol": features, "predictionCol": prediction}
     if family == "logistic":
-        return LogisticRegression(maxIter=100, **cols)
+        return LogisticRegression(maxIter=iterations, **cols)
     if family == "random_forest":
         return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=SEED, **cols)
     if family == "boosted":
@@ -226,13 +226,13 @@ def classifier(family: str, classes: int, width: int | None = None, label: str =
     if family == "mlp":
         if width is None:
             raise ValueError("a network needs the number of features")
-        return MultilayerPerceptronClassifier(layers=[width, 64, 32, max(classes, 2)], maxIter=100, seed=SEED, **cols)
+        return MultilayerPerceptronClassifier(layers=[width, 64, 32, max(classes, 2)], maxIter=iterations, seed=SEED, **cols)
     if family == "multinomial_nb":
         return NaiveBayes(modelType="multinomial", **cols)
     if family == "complement_nb":
         return NaiveBayes(modelType="complement", **cols)
     if family == "linear_svm":
-        one = LinearSVC(maxIter=100, regParam=0.01, **cols)
+        one = LinearSVC(maxIter=iterations, regParam=0.01, **cols)
         return one if classes <= 2 else OneVsRest(classifier=one, **cols)
     raise ValueError(f"unknown classifier {family}")
 
