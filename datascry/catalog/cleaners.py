@@ -92,7 +92,7 @@ CLEANED = f"""with src as (select distinct l_orderkey, l_linenumber, qty as quan
   filled as (select l_orderkey, l_linenumber, coalesce(quantity, m) as quantity, coalesce(price, med) as price, flag,
     case when l_tax < a - 1.5 * (b - a) then a - 1.5 * (b - a) when l_tax > b + 1.5 * (b - a) then b + 1.5 * (b - a) else l_tax end as l_tax, l_shipdate from kept, fit)
   select l_orderkey, l_linenumber, round(quantity, 6) as quantity, round(price, 4) as price, flag, round(l_tax, 6) as l_tax, round(ln(1 + greatest(0, price)), 6) as price_log,
-    round(quantity * price, 2) as quantity_x_price, year(l_shipdate)::int as l_shipdate_year, (isodow(l_shipdate) - 1)::int as l_shipdate_dayofweek from filled"""
+    round(quantity * price, 4) as quantity_x_price, year(l_shipdate)::int as l_shipdate_year, (isodow(l_shipdate) - 1)::int as l_shipdate_dayofweek from filled"""
 
 PLAN = plan(("qty", "rename:quantity"), ("all", "remove_duplicates"), ("flag", "exclude_categories:R"), ("l_linenumber", "remove_less_than:2"),
             ("l_linestatus", "drop"), ("qty", "impute_mean"), ("price", "impute_median"), ("l_tax", "clip_outliers"), ("price", "transform_log"),
@@ -103,7 +103,7 @@ PLAN = plan(("qty", "rename:quantity"), ("all", "remove_duplicates"), ("flag", "
 def _(t):
     out = cl.clean(holed(t), PLAN)[1]
     return out.select("l_orderkey", "l_linenumber", F.round("quantity", 6).alias("quantity"), F.round("price", 4).alias("price"), "flag", F.round("l_tax", 6).alias("l_tax"),
-                      F.round("price_log", 6).alias("price_log"), F.round("quantity_x_price", 2).alias("quantity_x_price"), "l_shipdate_year", "l_shipdate_dayofweek")
+                      F.round("price_log", 6).alias("price_log"), F.round("quantity_x_price", 4).alias("quantity_x_price"), "l_shipdate_year", "l_shipdate_dayofweek")
 
 
 @query("cleaning_plan_scoring", f"""with fit as (select avg(qty) as m, quantile_cont(price, 0.5) as med from {HOLED} where l_linestatus = 'F')

@@ -139,14 +139,14 @@ def _(t):
     return out.select("l_orderkey", "l_linenumber", F.round("l_extendedprice", 6).alias("scaled"))
 
 
-BOXES = """(select l_orderkey, l_linenumber, 'img' || (l_orderkey % 997) as image_stem, (l_linenumber % 5)::int as class_id,
+BOXES = """(select l_orderkey, l_linenumber, 'img' || (l_orderkey // 15) as image_stem, (l_linenumber % 5)::int as class_id,
   l_quantity / 50 as cx, l_discount * 10 as cy, (l_tax + 0.02) * 5 as w, case when l_linenumber = 7 then 0 else l_quantity / 100 end as h from lineitem)"""
 
 
 def boxes(t):
     """Boxes derived from order lines."""
     return t.lineitem.select(
-        "l_orderkey", "l_linenumber", F.concat(F.lit("img"), F.col("l_orderkey") % 997).alias("image_stem"),
+        "l_orderkey", "l_linenumber", F.concat(F.lit("img"), F.floor(F.col("l_orderkey") / 15)).alias("image_stem"),
         (F.col("l_linenumber") % 5).cast("int").alias("class_id"), (F.col("l_quantity") / 50).alias("cx"),
         (F.col("l_discount") * 10).alias("cy"), ((F.col("l_tax") + 0.02) * 5).alias("w"),
         F.when(F.col("l_linenumber") == 7, 0.0).otherwise(F.col("l_quantity") / 100).alias("h"))

@@ -42,7 +42,7 @@ def _(t):
 
 @query("lag_features_blocked", f"""select event_id, {', '.join(f'lag(value, {k}) over (order by ts, event_id) as value_lag_{k}' for k in ts.LAGS)} from events""")
 def _(t):
-    out = ts.lag_features(t.events, [], "ts", "value", tie="event_id", limit=500)
+    out = ts.lag_features(t.events, [], "ts", "value", tie="event_id", limit=2000)
     return out.select("event_id", *[f"value_lag_{k}" for k in ts.LAGS])
 
 
@@ -89,7 +89,7 @@ GLOBAL = "(order by ts, event_id"
 
 @query("interpolate_linear_blocked", INTERPOLATED.format(w=GLOBAL, rows=HOLED, prev=PREV.replace(W, GLOBAL), next=NEXT.replace(W, GLOBAL)))
 def _(t):
-    out = ts.interpolate_linear(holed(t), [], "ts", "v", tie="event_id", limit=400)
+    out = ts.interpolate_linear(holed(t), [], "ts", "v", tie="event_id", limit=2000)
     return out.select("event_id", F.round("v", 6).alias("v"))
 
 

@@ -63,15 +63,15 @@ def _(t):
 SPLIT = "case when i % 10 < 7 then 'train' when i % 10 < 9 then 'val' else 'test' end"
 
 
-@query("box_split_counts", f"""with im as (select 'img' || i as image_stem, {SPLIT} as split from (select distinct o_orderkey % 1200 as i from orders)),
+@query("box_split_counts", f"""with im as (select 'img' || i as image_stem, {SPLIT} as split from (select distinct o_orderkey // 12 as i from orders)),
        b as (select image_stem, count(*) as n from {BOXES} group by 1) select split, count(*) as images, sum(coalesce(n, 0))::bigint as annotations, round(avg(coalesce(n, 0)), 6) as mean_per_image from im left join b using (image_stem) group by 1""")
 def _(t):
     def split(i):
         return F.when(i % 10 < 7, "train").when(i % 10 < 9, "val").otherwise("test")
 
-    i = F.col("o_orderkey") % 1200
+    i = F.floor(F.col("o_orderkey") / 12)
     images = t.orders.select(F.concat(F.lit("img"), i).alias("image_stem"), split(i).alias("split")).distinct()
-    marked = boxes(t).withColumn("split", split(F.col("l_orderkey") % 997))
+    marked = boxes(t).withColumn("split", split(F.floor(F.col("l_orderkey") / 15)))
     return bx.box_split_counts(images, marked).withColumn("mean_per_image", F.round("mean_per_image", 6))
 
 

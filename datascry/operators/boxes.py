@@ -222,7 +222,7 @@ def detection_map(truth: DataFrame, pred: DataFrame, pair_limit: int = GROUP_PAI
         "limit", "class_id", "bin", "truths", (F.sum("tp").over(down) / F.sum("n").over(down)).alias("precision"),
         (F.col("tp") / F.col("truths")).alias("step"))
     # Precision at a recall is the best precision from there on, that is at this or a lower score.
-    lower = group.orderBy(F.desc("bin")).rowsBetween(0, Window.unboundedFollowing)
+    lower = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     area = curve.withColumn("envelope", F.max("precision").over(lower)).groupBy("limit", "class_id").agg(F.sum(F.col("step") * F.col("envelope")).alias("ap"))
     per_class = area.groupBy("class_id").agg(F.max(F.when(F.col("limit") == 0.5, F.col("ap"))).alias("map50"), F.avg("ap").alias("map50_95"))
     table = attach(truths, per_class, ["class_id"]).fillna({"map50": 0.0, "map50_95": 0.0})

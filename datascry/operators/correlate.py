@@ -5,6 +5,8 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,6 +16,7 @@ from datascry.operators.profile import distinct_counts, long_rows
 
 MAX_COLUMNS = 30
 MIN_ROWS = 5
+FEW_PAIRS = 3
 
 
 def _number(value: Column) -> Column:
@@ -26,14 +29,53 @@ def strongest(pairs: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def corr_pearson(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson correlation of every pair over pairwise complete rows: (x, y, value), strongest first."""
+    """Pearson correlation of every pair over pairwise complete rows: (x, y, value), strongest first.
+
+    A few pairs are plain aggregates; more are summed as matrix products inside the tasks, which costs one pass
+    however many pairs there are.
+    """
+    few = len(cols) * (len(cols) - 1) // 2 <= FEW_PAIRS
+    table = _pair_aggregates(df, cols) if few else _pair_products(df, cols)
+    return strongest(table.filter(F.col("n") >= 2).select("x", "y", _number(F.col("r")).alias("value")))
+
+
+def _pair_aggregates(df: DataFrame, cols: list[str]) -> DataFrame:
     pairs = []
     for a, b in combinations(cols, 2):
         x, y = F.col(a).cast("double"), F.col(b).cast("double")
         pairs.append(F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.count(F.when(x.isNotNull(), y)).alias("n"),
                               F.corr(x, y).alias("r")))
-    table = long_rows(df, [], pairs)
-    return strongest(table.filter(F.col("n") >= 2).select("x", "y", _number(F.col("r")).alias("value")))
+    return long_rows(df, [], pairs)
+
+
+def _pair_products(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(x, y, n, r) from sums over pairwise complete rows, taken around the column means for accuracy."""
+    doubles = df.select(*[F.col(c).cast("double").alias(c) for c in cols])
+    centers = np.array([v or 0.0 for v in doubles.agg(*[F.avg(c) for c in cols]).first()])
+    k = len(cols)
+    at = [(i, j) for i in range(k) for j in range(i + 1, k)]
+    rows, columns = np.array([i for i, _ in at]), np.array([j for _, j in at])
+
+    def sums(frames):
+        total = np.zeros((6, len(at)))
+        for frame in frames:
+            z = frame[cols].to_numpy(dtype=float) - centers
+            known = (~np.isnan(z)).astype(float)
+            z = np.nan_to_num(z)
+            squares, n = z * z, known.T @ known
+            sx, sxx, sxy = z.T @ known, squares.T @ known, z.T @ z
+            total += np.stack([n[rows, columns], sx[rows, columns], sx[columns, rows], sxx[rows, columns], sxx[columns, rows], sxy[rows, columns]])
+        yield pd.DataFrame({"pair": np.arange(len(at)), **{f"s{i}": total[i] for i in range(6)}})
+
+    parts = doubles.mapInPandas(sums, "pair long, " + ", ".join(f"s{i} double" for i in range(6)))
+    merged = parts.groupBy("pair").agg(*[F.sum(f"s{i}").alias(f"s{i}") for i in range(6)])
+    n, sx, sy, sxx, syy, sxy = (F.col(f"s{i}") for i in range(6))
+    r = (sxy - sx * sy / n) / F.sqrt((sxx - sx * sx / n) * (syy - sy * sy / n))
+    names = F.lit(list(cols))
+    place = F.lit([int(i) + 1 for i in rows]), F.lit([int(j) + 1 for j in columns])
+    slot = (F.col("pair") + 1).cast("int")
+    return merged.select(F.element_at(names, F.element_at(place[0], slot)).alias("x"), F.element_at(names, F.element_at(place[1], slot)).alias("y"),
+                         n.cast("long").alias("n"), F.when((sxx - sx * sx / n > 0) & (syy - sy * sy / n > 0), r).alias("r"))
 
 
 def _cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

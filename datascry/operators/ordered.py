@@ -81,6 +81,10 @@ class Sequence:
     def _window(self) -> WindowSpec:
         return Window.partitionBy(*self.key).orderBy(*self.order)
 
+    def _backwards(self) -> WindowSpec:
+        """From the end of the series: a frame that only grows costs one step per row, one that shrinks does not."""
+        return Window.partitionBy(*self.key).orderBy(*[F.desc(c) for c in self.order]).rowsBetween(Window.unboundedPreceding, 0)
+
     def numbered(self, name: str = RN) -> DataFrame:
         """Exact 1-based position of every row in its series."""
         if not self.hot:
@@ -139,26 +143,19 @@ class Sequence:
         rows = self.numbered(at)
         known = F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("v"), F.col(at).alias("p")))
         if not self.hot:
-            w = self._window()
-            back = w.rowsBetween(Window.unboundedPreceding, 0)
-            ahead = w.rowsBetween(0, Window.unboundedFollowing)
-            out = rows.withColumns({"__p": F.last(known, True).over(back), "__n": F.first(known, True).over(ahead)})
+            back = self._window().rowsBetween(Window.unboundedPreceding, 0)
+            out = rows.withColumns({"__p": F.last(known, True).over(back), "__n": F.last(known, True).over(self._backwards())})
         else:
             size = max(self.limit // 2, 1)
             rows = rows.withColumn(BLOCK, F.floor((F.col(at) - 1) / size))
             group = self.key + [BLOCK]
             edges = rows.groupBy(*group).agg(F.max_by(known, F.when(known.isNotNull(), F.col(at))).alias("__last"),
                                              F.min_by(known, F.when(known.isNotNull(), F.col(at))).alias("__first"))
-            over = Window.partitionBy(*self.key).orderBy(BLOCK)
-            carried = edges.select(
-                *group,
-                F.last("__last", True).over(over.rowsBetween(Window.unboundedPreceding, -1)).alias("__in"),
-                F.first("__first", True).over(over.rowsBetween(1, Window.unboundedFollowing)).alias("__out"),
-            )
-            w = Window.partitionBy(*group).orderBy(at)
-            back = w.rowsBetween(Window.unboundedPreceding, 0)
-            ahead = w.rowsBetween(0, Window.unboundedFollowing)
-            local = rows.withColumns({"__lp": F.last(known, True).over(back), "__ln": F.first(known, True).over(ahead)})
+            earlier, later = (Window.partitionBy(*self.key).orderBy(o).rowsBetween(Window.unboundedPreceding, -1)
+                              for o in (F.asc(BLOCK), F.desc(BLOCK)))
+            carried = edges.select(*group, F.last("__last", True).over(earlier).alias("__in"), F.last("__first", True).over(later).alias("__out"))
+            back, ahead = (Window.partitionBy(*group).orderBy(o).rowsBetween(Window.unboundedPreceding, 0) for o in (F.asc(at), F.desc(at)))
+            local = rows.withColumns({"__lp": F.last(known, True).over(back), "__ln": F.last(known, True).over(ahead)})
             out = attach(local, carried, group).select(
                                 *self.df.columns, at,
                                 F.coalesce("__lp", "__in").alias("__p"), F.coalesce("__ln", "__out").alias("__n"))

@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from datascry.functions.scalars import FLOATING, INTEGRAL, NUMERIC, TEMPORAL, to_datetime
 from datascry.operators.keys import attach
 from datascry.operators.ordered import largest_group
-from datascry.operators.quantiles import BUFFER_ROWS, fences, quantiles
+from datascry.operators.quantiles import TABLE_ROWS, fences, quantiles
 
 # Name parts of the type rule.
 DATE_NAMES = ["date", "time", "timestamp", "datetime", "year", "month", "day"]
@@ -122,11 +122,11 @@ def _moments(c: str) -> list[Column]:
 
 
 def numeric_stats(df: DataFrame, cols: list[str], by: list[str] | None = None, exact: bool = True,
-                  limit: int = BUFFER_ROWS) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Count, min, max, mean, sample deviation and quartiles per column; missing statistics are 0.0."""
     by = list(by or [])
     named = lambda c: F.lit(c).alias("column")
-    if exact and largest_group(df.select(*by, *cols), by) > limit:
+    if exact and (by or largest_group(df.select(*cols), []) > (TABLE_ROWS if limit is None else limit)):
         base = long_rows(df, by, [F.struct(named(c), *_moments(c)) for c in cols])
         both = _attach(base, quantiles(df, cols, QUARTERS, by, True, limit).drop("n"), by)
     else:
@@ -183,21 +183,22 @@ def column_facts(df: DataFrame, by: list[str] | None = None) -> DataFrame:
         kind = family(df.schema[c].dataType)
         x, none = F.col(c), F.lit(None)
         number = x.cast("double")
-        text = x if kind == "string" else (F.to_json(x) if kind == "other" and not isinstance(df.schema[c].dataType, T.BinaryType)
-                                           else x.cast("string"))
         dated = any(k in c.lower() for k in DATE_NAMES)
         is_num = kind in ("integer", "number")
         whole = F.lit(True) if kind == "integer" else (F.bool_and(number == F.floor(number)) if kind == "number" else F.lit(False))
+        # Text facts decide only for texts and nested values; numbers and times are short and free of commas.
+        worded = kind == "string" or (kind == "other" and not isinstance(df.schema[c].dataType, T.BinaryType))
+        text = x if kind == "string" else F.to_json(x) if worded else None
         facts.append(F.struct(
             F.lit(c).alias("column"), F.lit(i).alias("position"), F.lit(kind).alias("family"),
             F.count("*").alias("rows"), F.count(x).alias("non_null"),
             F.coalesce(whole, F.lit(False)).alias("integer_like"),
-            F.avg(F.length(text)).alias("mean_length"),
+            (F.avg(F.length(text)) if worded else none.cast("double")).alias("mean_length"),
             (F.coalesce(F.bool_or(text.rlike(r"\s")), F.lit(False)) if kind == "string" else F.lit(False)).alias("has_blank"),
             (F.avg(F.when(x.isNotNull(), to_datetime(c).isNotNull().cast("int"))) if kind == "string" and dated
              else none.cast("double")).alias("date_share"),
-            F.avg(text.contains(",").cast("int")).alias("comma_share"),
-            F.avg(F.size(F.split(text, ","))).alias("mean_parts"),
+            (F.avg(text.contains(",").cast("int")) if worded else none.cast("double")).alias("comma_share"),
+            (F.avg(F.length(text) - F.length(F.replace(text, F.lit(","), F.lit(""))) + 1) if worded else none.cast("double")).alias("mean_parts"),
             (F.min(number) if is_num else none.cast("double")).alias("min"),
             (F.max(number) if is_num else none.cast("double")).alias("max"),
             (F.avg(number) if is_num else none.cast("double")).alias("mean"),
@@ -346,7 +347,7 @@ def histogram(df: DataFrame, c: str, bins: int = 10, by: list[str] | None = None
 
 
 def boxplot_stats(df: DataFrame, cols: list[str], by: list[str] | None = None, top: int | None = 5, exact: bool = True,
-                  limit: int = BUFFER_ROWS) -> DataFrame:
+                  limit: int | None = None) -> DataFrame:
     """Quartiles, whiskers (extreme values inside the fences) and outlier share per column, worst columns first.
 
     (by..., column, n, whisker_low, q1, median, q3, whisker_high, outliers, outlier_share); columns with fewer

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +13,105 @@ from datascry.operators.ordered import largest_group
 
 # Values one exact-percentile buffer may hold; larger groups are ranked through value ranges.
 BUFFER_ROWS = 2_000_000
+# Rows of a whole table up to which buffers are faster than two more passes.
+TABLE_ROWS = 100_000
+# Half width of the first bracket around a rank, and the accuracy of the sketches that find it.
+BRACKET = 0.002
+SKETCH = 2_000
 VALUE_RANGES = 512
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None, exact: bool = True,
               limit: int | None = None) -> DataFrame:
-    """One row per group and column: (by..., column, n, q) with `q` an array aligned to `probs`."""
+    """One row per group and column: (by..., column, n, q) with `q` an array aligned to `probs`.
+
+    Exact results come from percentile buffers while every group is known to be small, from narrowing brackets over
+    a whole table, and from ranked value counts for large groups.
+    """
     by = list(by or [])
-    limit = BUFFER_ROWS if limit is None else limit
+    limit = (BUFFER_ROWS if by else TABLE_ROWS) if limit is None else limit
     if not exact:
         return _one_pass(df, cols, by, lambda c: F.percentile_approx(c, probs, 10_000))
     if largest_group(df.select(*by, *cols), by) <= limit:
         return _one_pass(df, cols, by, lambda c: F.percentile(c, F.array(*[F.lit(p) for p in probs])))
-    return _ranked(df, cols, probs, by)
+    return _ranked(df, cols, probs, by) if by else _bracketed(df, cols, probs)
+
+
+def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Each target rank is enclosed by two sketched values, checked by counting, until few rows lie between them.
+
+    Every round is one aggregate over the table with a bounded result; nothing is shuffled by value.
+    """
+    x = {c: F.col(c).cast("double") for c in cols}
+    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.percentile_approx(x[c], [max(0.0, p - BRACKET) for p in probs] + [min(1.0, p + BRACKET) for p in probs], SKETCH).alias(f"q{i}")
+                     for i, c in enumerate(cols)]).first()
+    total = {c: first[f"n{i}"] for i, c in enumerate(cols)}
+    jobs = {}  # (column, prob) -> [low, high]
+    for i, c in enumerate(cols):
+        for k, p in enumerate(probs):
+            if total[c]:
+                jobs[(c, k)] = [first[f"q{i}"][k], first[f"q{i}"][k + len(probs)]]
+    ranks = {(c, k): (math.floor(probs[k] * (total[c] - 1)), math.ceil(probs[k] * (total[c] - 1))) for c, k in jobs}
+    values: dict = {}
+    below: dict = {}
+    while jobs:
+        order = list(jobs)
+        inside = lambda c, k: x[c].between(*[F.lit(v) for v in jobs[(c, k)]])
+        counted = df.agg(*[F.count(F.when(x[c] < F.lit(jobs[(c, k)][0]), 1)).alias(f"b{j}") for j, (c, k) in enumerate(order)],
+                         *[F.count(F.when(inside(c, k), 1)).alias(f"i{j}") for j, (c, k) in enumerate(order)]).first()
+        ready, wide = [], []
+        for j, (c, k) in enumerate(order):
+            below[(c, k)], held = counted[f"b{j}"], counted[f"i{j}"]
+            lo, hi = ranks[(c, k)]
+            if not (below[(c, k)] <= lo and hi < below[(c, k)] + held):
+                # The sketch missed: fall back to the open bracket, which always holds.
+                jobs[(c, k)] = [float("-inf"), float("inf")]
+                wide.append((c, k, 0, total[c]))
+            elif held <= BUFFER_ROWS or jobs[(c, k)][0] == jobs[(c, k)][1]:
+                ready.append((c, k, below[(c, k)], held))
+            else:
+                wide.append((c, k, below[(c, k)], held))
+        if ready:
+            exact = []
+            for j, (c, k, under, held) in enumerate(ready):
+                # The middle of a rank's step names that rank without rounding.
+                exact.append(F.array(*[_value_at(c, *jobs[(c, k)], (r - under + 0.5) / held) for r in ranks[(c, k)]]).alias(f"v{j}"))
+            # Only rows near some target reach the buffers.
+            near = [inside(c, k) for c, k, _, _ in ready if jobs[(c, k)][0] != jobs[(c, k)][1]]
+            close = df.filter(reduce(lambda a, b: a | b, near)) if near else df.limit(1)
+            row = close.agg(*exact).first()
+            for j, (c, k, _, _) in enumerate(ready):
+                values[(c, k)] = row[f"v{j}"]
+                del jobs[(c, k)]
+        if wide:
+            shares = {}
+            for c, k, under, held in wide:
+                lo, hi = ranks[(c, k)]
+                shares[(c, k)] = [min(1.0, max(0.0, s)) for s in ((lo - under) / held - BRACKET, (hi + 1 - under) / held + BRACKET)]
+            row = df.agg(*[F.percentile_approx(F.when(inside(c, k), x[c]), shares[(c, k)], SKETCH).alias(f"w{j}")
+                           for j, (c, k, _, _) in enumerate(wide)]).first()
+            for j, (c, k, _, _) in enumerate(wide):
+                jobs[(c, k)] = list(row[f"w{j}"])
+    rows = []
+    for c in cols:
+        q = None
+        if total[c]:
+            q = []
+            for k, p in enumerate(probs):
+                pos, (lo, hi) = p * (total[c] - 1), values[(c, k)]
+                q.append(lo + (pos - math.floor(pos)) * (hi - lo))
+        rows.append((c, total[c], q))
+    return df.sparkSession.createDataFrame(rows, "column string, n bigint, q array<double>")
+
+
+def _value_at(c: str, low: float, high: float, share: float):
+    """Aggregate: the value inside [low, high] at a share of their ordered rows."""
+    if low == high:
+        return F.lit(low)
+    number = f"cast(`{c.replace('`', '``')}` as double)"
+    held = number if math.isinf(low) else f"case when {number} between {low!r}D and {high!r}D then {number} end"
+    return F.expr(f"percentile_disc({share!r}D) within group (order by {held})")
 
 
 def _one_pass(df, cols, by, quantile) -> DataFrame:

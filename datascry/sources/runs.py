@@ -77,7 +77,7 @@ class StateStore:
     def states(self) -> DataFrame:
         """Live states: (state_id, description, rows, columns, path)."""
         log = self._log()
-        later = Window.partitionBy(F.lit(1)).orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+        later = Window.partitionBy(F.lit(1)).orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
         back = F.min(F.when(F.col("op") == "rollback", F.col("state_id"))).over(later)
         seen = log.withColumn("__back", back).filter("op = 'snapshot' and (__back is null or state_id <= __back)")
         return seen.select("state_id", "description", "rows", "columns", "path")
