@@ -52,12 +52,14 @@ def _(t):
     return tb.read_table(t.spark, path, "jsonl")
 
 
-@query("scan_json_doc", "select n_nationkey::bigint as n_nationkey, n_name, n_regionkey::bigint as n_regionkey from nation")
-def _(t):
-    path = written(t, "nation.json")
-    listed = t.nation.agg(F.count("*").alias("total"), F.collect_list(F.struct("*")).alias("rows"))
-    listed.select(F.to_json(F.struct("total", "rows")).alias("value")).write.text(path)
-    return tb.read_table(t.spark, path, "json")
+@query("scan_json_doc", """select s_suppkey, s_name, s_acctbal, k as part from supplier, (values (0), (1)) v(k)""")
+def _(t):
+    # One document per supplier, each an object around its table.
+    path = written(t, "supplier.json")
+    row = lambda k: F.struct("s_suppkey", "s_name", "s_acctbal", F.lit(k).alias("part"))
+    doc = F.to_json(F.struct(F.lit("v1").alias("about"), F.array(row(0), row(1)).alias("rows")))
+    t.supplier.select(doc.alias("value"), F.col("s_suppkey").alias("file")).write.partitionBy("file").text(path)
+    return tb.read_table(t.spark, path, "json").select("s_suppkey", "s_name", "s_acctbal", F.col("part").cast("int").alias("part"))
 
 
 @query("scan_headerless", "select doc_id::int as col_0, replace(text, chr(10), ' ') as col_1 from documents where n_chars > 200")

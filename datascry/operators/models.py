@@ -403,11 +403,11 @@ def permutation_importance(model, test: DataFrame, features: list[str], task: st
                            partitions: int | None = None) -> DataFrame:
     """Drop of the score when one input column is shuffled: (feature, importance).
 
-    `model` starts from the raw columns (a pipeline). Rows are spread once by hash; a column is then shuffled
+    `model` starts from the raw columns (a pipeline). Rows are dealt out once, evenly; a column is then shuffled
     inside every partition, so nothing moves per feature.
     """
-    spread = test.repartition(partitions, F.xxhash64(*features)) if partitions else test.repartition(F.xxhash64(*features))
-    kept = spread.persist()
+    parts = partitions or int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = test.repartition(parts).persist()
 
     def score(df):
         scored = model.transform(df)

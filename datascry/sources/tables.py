@@ -89,16 +89,20 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema=None,
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects; or an object whose first list of objects is the table; or one object as one row."""
+    """A JSON array of objects; or objects whose first list of objects is the table; or one row per object."""
     doc = spark.read.option("multiLine", True).json(path)
     lists = [f.name for f in doc.schema.fields
              if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
-    if not lists or doc.limit(2).count() > 1:
+    if not lists:
         return doc
     # Spark sorts inferred fields; the document's own key order decides which list comes first.
-    text = spark.read.option("wholetext", True).text(path).select(F.json_object_keys("value")).first()[0] or lists
-    key = next((k for k in text if k in lists), lists[0])
-    return doc.select(F.explode(F.col(key)).alias("row")).select("row.*")
+    body = F.ltrim("value")
+    head = spark.read.option("wholetext", True).text(path).select(
+        F.substring(body, 1, 1).alias("start"), F.json_object_keys("value").alias("keys")).first()
+    if head["start"] == "[":
+        return doc
+    key = next((k for k in head["keys"] or [] if k in lists), lists[0])
+    return doc.select(F.explode(F.col(f"`{key}`")).alias("row")).select("row.*")
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
