@@ -126,7 +126,7 @@ def _(t):
 
 @query("cross_validate")
 def _(t):
-    rows = documents(t)
+    rows = documents(t).drop("text")
     plan = m.plan_features(rows, p.profile(rows), "quality")
     ready = m.with_label(m.prepare(rows, plan), plan)
     from pyspark.ml import Pipeline
