@@ -131,7 +131,7 @@ def _(t):
     ready = m.with_label(m.prepare(rows, plan), plan)
     from pyspark.ml import Pipeline
 
-    pipeline = Pipeline(stages=[*m.featurize(plan).getStages(), m.classifier("logistic", 2)])
+    pipeline = Pipeline(stages=[*m.featurize(plan).getStages(), m.classifier("logistic", 2, iterations=20)])
     return m.cross_validate(pipeline, ready, "doc_id", "classification", k=3)
 
 

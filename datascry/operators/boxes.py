@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from datascry.functions.scalars import box_area, box_aspect, hash_bucket
 from datascry.operators.correlate import corr_pearson
-from datascry.operators.keys import attach
+from datascry.operators.keys import attach, spread
 from datascry.session import cut_lineage
 
 KEYS = ["image_stem", "class_id"]
@@ -166,7 +166,7 @@ def _match_groups(pairs: DataFrame, limits: list[float]) -> DataFrame:
         out = pd.DataFrame(won, columns=["limit", "p_id"])
         return out.assign(**{k: frame[k].iloc[0] for k in KEYS})[["limit", *KEYS, "p_id"]]
 
-    return pairs.groupBy(*KEYS).applyInPandas(match, schema)
+    return spread(pairs, KEYS).groupBy(*KEYS).applyInPandas(match, schema)
 
 
 def _match_rounds(pairs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascry.operators.keys import attach
+from datascry.operators.keys import attach, spread
 from datascry.operators.ordered import largest_group
 from datascry.operators.timeseries import adf_fit, chrono_split, series_features
 
@@ -59,7 +59,7 @@ def _per_series(df: DataFrame, key: list[str], ts: str, y: str, steps: int, kern
             out[k] = frame[k].iloc[0]
         return out[[*key, "step", "forecast"]]
 
-    return rows.groupBy(*key).applyInPandas(fit, schema)
+    return spread(rows, key).groupBy(*key).applyInPandas(fit, schema)
 
 
 def lag_matrix(x: np.ndarray, p: int) -> np.ndarray:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascry.operators.keys import attach
+from datascry.operators.keys import attach, spread
 
 # Donor rows one task may hold; larger donor tables are met block by block.
 DONOR_ROWS = 50_000
@@ -122,7 +122,8 @@ class KnnImputer:
             out = pd.DataFrame(np.vstack(found) if found else np.empty((0, len(cols) + 3)), columns=[*cols, "column", "distance", "value"])
             return out.astype({"column": "int32"})
 
-        near = left.groupBy("q", "d").cogroup(right.groupBy("q", "d")).applyInPandas(best, schema)
+        blocks = ["q", "d"]
+        near = spread(left, blocks).groupBy(*blocks).cogroup(spread(right, blocks).groupBy(*blocks)).applyInPandas(best, schema)
         w = Window.partitionBy(*cols, "column").orderBy("distance", "value")
         picked = near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
         filled = picked.groupBy(*cols).pivot("column", list(range(len(cols)))).agg(F.avg("value"))
