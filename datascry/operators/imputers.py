@@ -108,7 +108,8 @@ class KnnImputer:
         asked = holes.select(*cols).distinct()
         n_q = max(1, -(-asked.count() // QUERY_ROWS))
         n_d = max(1, -(-self.table.count() // DONOR_ROWS))
-        row_hash = lambda n: F.pmod(F.xxhash64(*cols), F.lit(n))
+        # Both sides need block numbers of one type: equal numbers of different types hash to different partitions.
+        row_hash = lambda n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
         # Equal donors repeat at most k times, so hashed blocks stay near their size.
         left = asked.withColumns({"q": row_hash(n_q), "d": F.explode(F.sequence(F.lit(0), F.lit(n_d - 1)))})
         right = self.table.withColumns({"d": row_hash(n_d), "q": F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))})
