@@ -73,9 +73,9 @@ def _(t):
 @query("stream_window_profile", """with w as (select date_trunc('day', ts) as start, event_type, count(*) as n, avg(value) as mean from events group by 1, 2)
        select strftime(start, '%Y-%m-%d') as day, event_type, n, round(mean, 6) as mean from w where start + interval 1 day <= (select max(ts) - interval 1 hour from events)""")
 def _(t):
-    source = streamed(t, "events").withColumn("ts", F.to_utc_timestamp(F.col("ts").cast("timestamp"), "UTC"))
-    out = drained(t, fl.stream_window_profile(source, "ts", "value", "event_type"), "windows")
-    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean"))
+    out = drained(t, fl.stream_window_profile(streamed(t, "events"), "ts", "value", "event_type"), "windows")
+    utc = F.to_utc_timestamp("start", F.current_timezone())
+    return out.select(F.date_format(utc, "yyyy-MM-dd").alias("day"), "event_type", "n", F.round("mean", 6).alias("mean"))
 
 
 @query("window_profile", """select strftime(date_trunc('day', ts), '%Y-%m-%d') as day, event_type, count(*) as n, round(avg(value), 6) as mean from events group by 1, 2""")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from datascry.functions.scalars import NUMERIC
+from datascry.functions.scalars import NUMERIC, micros
 from datascry.operators.cleaning import CleanerModel
 from datascry.operators.imputers import KnnImputer
 from datascry.operators.keys import attach
@@ -51,7 +51,10 @@ def window_profile(rows: DataFrame, ts: str, value: str, by: str, window: str =
 
 def stream_window_profile(stream: DataFrame, ts: str, value: str, by: str, window: str = "1 day", watermark: str = "1 hour") -> DataFrame:
     """The windowed profile with a watermark: rows later than that are dropped, closed windows are final."""
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    dtype = stream.schema[ts].dataType
+    # Watermarks need an instant; a time without zone counts as UTC, so days start at its own midnight.
+    instant = F.timestamp_micros(micros(ts, dtype)) if isinstance(dtype, T.TimestampNTZType) else F.col(ts).cast("timestamp")
+    timed = stream.withColumn(ts, instant)
     return window_profile(timed.withWatermark(ts, watermark), ts, value, by, window)
 
 
