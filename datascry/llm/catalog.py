@@ -48,6 +48,11 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op6_private_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from datascry.llm.private_spans import private_spans
+    return private_spans(table(spark, sf_dir, "documents"))
+
+
 def op7_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from datascry.llm.nn_descent import near_vectors
     return near_vectors(table(spark, sf_dir, "embeddings"))

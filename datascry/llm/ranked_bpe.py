@@ -88,8 +88,9 @@ def decode_ranked(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc
     return named(rows.mapInPandas(run, "_id string, decoded binary"), id_col, kind)
 
 
-def encoding_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: number of ids, digest of the ids as little-endian unsigned 32-bit integers, digest of the decoded bytes.
+def encoding_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
+                     keep_ids: bool = False) -> DataFrame:
+    """Per row: number of ids, digest of the ids as little-endian unsigned 32-bit integers, digest of the decoded bytes; with `keep_ids` the ids too.
 
     Encodes with `encode_ranked`, then decodes those ids with the encoding's bytes of each id. The cases are those of
     `encode_ranked`; an empty text has no ids and the digest of no bytes.
@@ -101,12 +102,13 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         encoding = rank_encoding(path, pattern)
         for batch in batches:
             ids = [x if x is not None else [] for x in batch["token_ids"]]
+            more = {"token_ids": ids} if keep_ids else {}
             yield pd.DataFrame({
-                "_id": batch["_id"], "n_tokens": [len(x) for x in ids],
+                "_id": batch["_id"], **more, "n_tokens": [len(x) for x in ids],
                 "ids_sha256": [hashlib.sha256(x.astype("<u4").tobytes() if len(x) else b"").hexdigest() for x in ids],
                 "decoded_sha256": [hashlib.sha256(encoding.decode_bytes(x.tolist() if len(x) else [])).hexdigest() for x in ids]})
 
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
     encoded = encode_ranked(rows, path, pattern, "_id", "_text")
-    out = encoded.mapInPandas(run, "_id string, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = encoded.mapInPandas(run, f"_id string, {'token_ids array<int>, ' if keep_ids else ''}n_tokens long, ids_sha256 string, decoded_sha256 string")
     return named(out, id_col, kind)
