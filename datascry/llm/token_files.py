@@ -116,11 +116,12 @@ def unpack(segment: bytes, first: int = 0, last: int | None = None):
     return out[:min(n - first * size, (last - first) * size)]
 
 
-def chunk_encoder(path: str, kept: int = 400_000):
-    """Function from texts to arrays of ids of a tokenizer file. Chunks of white space and what follows it are looked up.
+def chunk_encoder(path: str, kept: int = 600_000):
+    """Function from texts to the ids of a tokenizer file, as bytes of uint32. Chunks of white space and what follows are looked up.
 
     A chunk ends where a blank or line feed follows a visible character; no match of the tokenizer's pattern crosses such a
-    place, so chunks are encoded on their own, and words that recur are encoded once. At most `kept` chunks are remembered.
+    place, so the ids of a text are those of its chunks, and words that recur are encoded once. New chunks are encoded many
+    in a row: a row's ids fall to its chunks by the bytes that each id stands for. At most `kept` chunks are remembered.
     """
     import os
     import re
@@ -131,21 +132,37 @@ def chunk_encoder(path: str, kept: int = 400_000):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
+    sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
+    for token, number in tokenizer.get_vocab().items():
+        sizes[number] = len(token)  # a byte-level vocabulary spells each byte as one letter
     plain, other = re.compile("[ \\n]*[^ \\n]+|[ \\n]+"), re.compile(f"[{OTHER_SPACE}]")
     cut = re.compile(f"(?<=[^ \\n{OTHER_SPACE}])(?=[ \\n])")
-    known: dict[str, list[int]] = {}
+    known: dict[str, bytes] = {}
+
+    def learn(missing):
+        rows = [x for x in missing if x[:1] in (" ", "\n") and not x[-1:].isspace()]  # may stand side by side
+        alone = list(set(missing).difference(rows))
+        for start in range(0, len(alone), 1000):
+            part = alone[start:start + 1000]
+            known.update(zip(part, (np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+        for start in range(0, len(rows), 2000):
+            part = rows[start:start + 2000]
+            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
+            flat, first = ids.tobytes(), 0
+            for chunk, end in zip(part, (4 * ends).tolist()):
+                known[chunk] = flat[first:end]
+                first = end
 
     def encode(texts):
         chunks = [cut.split(x) if other.search(x) else plain.findall(x) for x in texts]
-        missing = list(set(chain.from_iterable(chunks)).difference(known))
+        missing = set(chain.from_iterable(chunks)).difference(known)
         if len(known) + len(missing) > kept:
             known.clear()
-            missing = list(set(chain.from_iterable(chunks)))
-        for start in range(0, len(missing), 1000):
-            part = missing[start:start + 1000]
-            known.update(zip(part, (x.ids for x in tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+            missing = set(chain.from_iterable(chunks))
+        learn(missing)
         look = known.__getitem__
-        return [np.fromiter(chain.from_iterable(map(look, x)), dtype=np.uint32) for x in chunks]
+        return [b"".join(map(look, x)) for x in chunks]
 
     return encode
 
@@ -167,22 +184,22 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, id_col: str = "d
         from pyspark import TaskContext
         shard, number = TaskContext.get().partitionId(), 0
         encode = chunk_encoder(path)
-        tail = np.array([] if end_id is None else [end_id], dtype=np.uint32)
+        tail = np.array([] if end_id is None else [end_id], dtype=np.uint32).tobytes()
         ids, parts, held = [], [], 0
 
         def segment():
-            lengths = [len(x) for x in parts]
-            flat, named = np.concatenate(parts), [x for x in ids if x is not None]
+            lengths = [len(x) // 4 for x in parts]
+            flat, named = np.frombuffer(b"".join(parts), np.uint32), [x for x in ids if x is not None]
             return pd.DataFrame({"shard": [shard], "segment": [number], "n_ids": [len(flat)], "n_null": [len(ids) - len(named)],
                                  "ids": [named], "lengths": [lengths], "words": [pack(flat)]})
 
         for batch in batches:
             texts, keys = batch["_text"].tolist(), batch["_key"].tolist()
-            for start in range(0, len(texts), 64):
-                for key, found in zip(keys[start:start + 64], encode([x or "" for x in texts[start:start + 64]])):
+            for start in range(0, len(texts), 128):
+                for key, found in zip(keys[start:start + 128], encode([x or "" for x in texts[start:start + 128]])):
                     ids.append(None if key is None else value(key))
-                    parts.append(np.concatenate([found, tail]))
-                    held += len(parts[-1])
+                    parts.append(found + tail)
+                    held += len(parts[-1]) // 4
                     if held >= segment_ids:
                         yield segment()
                         ids, parts, held, number = [], [], 0, number + 1
