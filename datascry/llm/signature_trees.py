@@ -18,7 +18,7 @@ FREQUENT = 200_000
 UNIT, BESIDE = 1000, 512
 #: Hash rows that are broadcast at most when texts are fetched.
 BROADCAST_TEXTS = 400_000
-LEAF, FAN = 16, 4
+FAN = 8
 
 
 def needed(x, y):
@@ -92,7 +92,7 @@ def signatures(rows: DataFrame, frequent) -> DataFrame:
     """(_id, th, tg, n, digest, bits, keys) of rows(_id, _text, th, tg).
 
     keys are the first n - ceil(0.8 n) + 1 shingles, rare ones first: two linked sets share one of them. bits is the bitmap of
-    all shingles by their low bits, 2 to 4 bits per shingle, so that a wide bitmap folds onto a narrow one.
+    all shingles by their low bits, 4 to 8 bits per shingle, so that a wide bitmap folds onto a narrow one.
     """
     sent = rows.sparkSession.sparkContext.broadcast(frequent)
 
@@ -128,7 +128,7 @@ def signatures(rows: DataFrame, frequent) -> DataFrame:
 def bitmap(found):
     """uint64 words of the bitmap of a set of hashes."""
     import numpy as np
-    width = 1 << max(6, int(2 * len(found) - 1).bit_length())
+    width = 1 << max(6, int(4 * len(found) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(found & np.uint64(width - 1)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").view(np.uint64)
@@ -150,71 +150,57 @@ def lacking(x, y) -> int:
 
 
 class Node:
-    """Documents first to last of a sorted list: all their bits united, the bits they share, and their range of sizes."""
+    """A run of items, each one document or one component: all their bits united, the bits they share, and their range of sizes."""
 
-    def __init__(self, first, last, children, any_bits, all_bits, least, most, comps):
+    def __init__(self, first, last, children, any_bits, all_bits, least, most, reach):
         self.first, self.last, self.children = first, last, children
-        self.any, self.all, self.least, self.most, self.comps = any_bits, all_bits, least, most, comps
+        self.any, self.all, self.least, self.most, self.reach = any_bits, all_bits, least, most, reach
 
 
-def grow(maps, sizes, comps) -> Node:
-    """Signature tree of documents sorted by size: leaves of LEAF neighbours, FAN nodes below each inner one."""
+def united(parts, shared: bool):
     import numpy as np
+    width = min(len(x) for x in parts)
+    return (np.bitwise_and if shared else np.bitwise_or).reduce([fold(x, width) for x in parts])
 
-    def node(first, last, children, parts_any, parts_all):
-        width = min(len(x) for x in parts_any)
-        any_bits = np.bitwise_or.reduce([fold(x, width) for x in parts_any])
-        # a shared bit stays shared when folded, as long as it is counted once
-        all_bits = np.bitwise_and.reduce([fold(x, width) for x in parts_all])
-        inside = comps[first:last]
-        return Node(first, last, children, any_bits, all_bits, int(sizes[first]), int(sizes[last - 1]), int(inside[0]) if (inside == inside[0]).all() else None)
 
-    level = [node(k, min(k + LEAF, len(maps)), [], maps[k:k + LEAF], maps[k:k + LEAF]) for k in range(0, len(maps), LEAF)]
+def grow(items) -> Node:
+    """Signature tree of (any bits, all bits, least, most, reach) sorted by size: FAN neighbours below each node, up to one root."""
+    level = [Node(k, k + 1, [], *x) for k, x in enumerate(items)]
     while len(level) > 1:
-        level = [node(g[0].first, g[-1].last, g, [x.any for x in g], [x.all for x in g]) for g in (level[k:k + FAN] for k in range(0, len(level), FAN))]
+        level = [Node(g[0].first, g[-1].last, g, united([x.any for x in g], False), united([x.all for x in g], True), min(x.least for x in g), max(x.most for x in g), max(x.reach for x in g))
+                 for g in (level[k:k + FAN] for k in range(0, len(level), FAN))]
     return level[0]
 
 
 def apart(a: Node, b: Node) -> bool:
-    """No pair of a and b can link anew: sizes too far apart, one component already, or too little possible overlap."""
+    """No pair of a and b can link: sizes too far apart, or too little possible overlap.
+
+    The largest overlap of x in a with y in b is |x| less the bits that all of a share and none of b has, and no more than
+    what follows their common shingle in the order (reach); it must come up to the least that any pair of them needs.
+    """
     if 100 * a.most < SHARE * b.least or 100 * b.most < SHARE * a.least:
         return True
-    if a.comps is not None and a.comps == b.comps:
-        return True
-    # the largest overlap of x in a with y in b is |x| less the bits all of a share and none of b has; it must reach needed()
-    return (a.most - lacking(a.all, b.any) < needed(a.least, b.least) or b.most - lacking(b.all, a.any) < needed(a.least, b.least))
+    need = needed(a.least, b.least)
+    return min(a.reach, b.reach) < need or a.most - lacking(a.all, b.any) < need or b.most - lacking(b.all, a.any) < need
 
 
-def joined(left, right, own: bool):
-    """Pairs (row of left, row of right) that may link, by traversing both trees at once; `own`: left and right are one list."""
-    import numpy as np
-    pairs = []
-    roots = [grow(side["maps"], side["n"], side["comp"]) for side in (left, right)] if not own else [grow(left["maps"], left["n"], left["comp"])] * 2
-    stack = [tuple(roots)]
+def joined(left, right=None):
+    """Pairs (place in left, place in right) of items that may link, by traversing both trees at once; without right, pairs inside left."""
+    own, pairs = right is None, []
+    root = grow(left)
+    stack = [(root, root if own else grow(right))]
     while stack:
         a, b = stack.pop()
-        if apart(a, b):
+        if a is b and own:
+            stack += [(a.children[i], a.children[j]) for i in range(len(a.children)) for j in range(i, len(a.children))]
+        elif apart(a, b):
             continue
-        if a.children or b.children:
-            if own and a is b:
-                stack += [(a.children[i], a.children[j]) for i in range(len(a.children)) for j in range(i, len(a.children))]
-            elif not b.children or (a.children and a.last - a.first >= b.last - b.first):
-                stack += [(x, b) for x in a.children]
-            else:
-                stack += [(a, x) for x in b.children]
-            continue
-        for i in range(a.first, a.last):
-            start = max(b.first, i + 1) if own else b.first
-            if start >= b.last:
-                continue
-            x, y, others = left["n"][i], right["n"][start:b.last], np.arange(start, b.last)
-            least = -(-SHARE * (x + y) // (100 + SHARE))
-            may = (np.minimum(x - left["pos"][i], y - right["pos"][start:b.last]) >= least) & (right["comp"][start:b.last] != left["comp"][i])
-            for j in others[may]:
-                need = needed(int(x), int(right["n"][j]))
-                p, q = left["maps"][i], right["maps"][j]
-                if x - lacking(p, q) >= need and right["n"][j] - lacking(q, p) >= need:
-                    pairs.append((i, int(j)))
+        elif not (a.children or b.children):
+            pairs.append((a.first, b.first))
+        elif not b.children or (a.children and a.last - a.first >= b.last - b.first):
+            stack += [(x, b) for x in a.children]
+        else:
+            stack += [(a, x) for x in b.children]
     return pairs
 
 
@@ -261,39 +247,109 @@ def texts_of(rows: DataFrame, kinds: DataFrame, pairs: DataFrame) -> DataFrame:
     return written(found.dropDuplicates(["rid"]), "jaccard-texts")
 
 
-def tree_pairs(members: DataFrame, kinds: DataFrame) -> DataFrame:
-    """(a, b) of different components in one group that signature trees cannot tell apart. members: (key, rid, n, pos, comp).
+def component_nodes(kinds: DataFrame) -> DataFrame:
+    """(comp, any, all): the united and the shared bits of each component; kinds: (rid, comp, bits). Combined in parts first."""
 
-    Groups beyond UNIT rows are cut into blocks along the sizes; blocks whose sizes can link meet in units of their own.
+    def run(frame):
+        import numpy as np
+        import pandas as pd
+        every = [np.frombuffer(x, np.uint64) for x in frame["any"]]
+        shared = [np.frombuffer(x, np.uint64) for x in frame["all"]]
+        return pd.DataFrame({"comp": [frame["comp"].iloc[0]], "any": [united(every, False).tobytes()], "all": [united(shared, True).tobytes()]})
+
+    schema = "comp long, any binary, all binary"
+    sizes = kinds.groupBy("comp").agg(F.count("*").alias("size"))
+    rows = kinds.join(sizes, "comp").select("comp", "size", F.col("bits").alias("any"), F.col("bits").alias("all"), F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / UNIT)).alias("part"))
+    one = rows.where("size = 1").select("comp", "any", "all")
+    parts = rows.where("size > 1").select("comp", "part", "any", "all").groupBy("comp", "part").applyInPandas(run, schema)
+    return one.unionByName(parts.groupBy("comp").applyInPandas(run, schema)).join(sizes, "comp")
+
+
+def near_components(members: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b) components that share a group and that the signature trees cannot tell apart. members: (key, comp, n, pos).
+
+    A component is one item of a group's tree, whatever its size. Groups of the same components are traversed once. Groups
+    beyond UNIT items are cut into blocks along the sizes; blocks whose sizes can link meet in units of their own.
     """
-    order = Window.partitionBy("key").orderBy("n", "rid")
-    rows = members.withColumn("block", F.floor((F.row_number().over(order) - 1) / UNIT).cast("int"))
-    rows = written(rows.join(kinds.select("rid", "bits"), "rid"), "jaccard-members")
-    ranges = rows.groupBy("key", "block").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    second = ranges.select("key", F.col("block").alias("other"), F.col("low").alias("other_low"), F.col("high").alias("other_high"))
-    units = ranges.join(second, "key").where((F.col("block") <= F.col("other")) & (100 * F.col("high") >= SHARE * F.col("other_low")))
-    units = units.select("key", "block", "other")
+    items = members.groupBy("key", "comp").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.max(F.col("n") - F.col("pos")).alias("reach"))
+    names = items.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("comp")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "comp")).alias("y")).where("m > 1")
+    items = items.join(names, "key").groupBy("m", "x", "y", "comp").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("reach").alias("reach"))
+    items = items.withColumn("key", F.xxhash64("m", "x", "y"))
+    order = Window.partitionBy("key").orderBy("low", "comp")
+    rows = written(items.select("key", "comp", "low", "high", "reach", F.floor((F.row_number().over(order) - 1) / UNIT).cast("int").alias("block")), "tree-items")
+    ranges = rows.groupBy("key", "block").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    second = ranges.select("key", F.col("block").alias("other"), F.col("low").alias("other_low"))
+    units = ranges.join(second, "key").where((F.col("block") <= F.col("other")) & (100 * F.col("high") >= SHARE * F.col("other_low"))).select("key", "block", "other")
     sides = units.select("key", "block", "other", F.col("block").alias("mine"), F.lit(0).alias("side")).unionByName(
         units.where("block < other").select("key", "block", "other", F.col("other").alias("mine"), F.lit(1).alias("side")))
-    work = rows.withColumnRenamed("block", "mine").join(sides, ["key", "mine"]).drop("mine")
+    work = rows.join(nodes.select("comp", "any", "all"), "comp").withColumnRenamed("block", "mine").join(sides, ["key", "mine"]).drop("mine")
 
-    def run(frame):
+    def traverse(frame):
+        left, right = frame[frame["side"] == 0].sort_values(["low", "comp"]), frame[frame["side"] == 1].sort_values(["low", "comp"])
+        pairs = joined(tree_items(left), tree_items(right) if len(right) else None)
+        right = right if len(right) else left
+        a, b = left["comp"].to_numpy(), right["comp"].to_numpy()
+        return [(min(a[i], b[j]), max(a[i], b[j])) for i, j in pairs]
+
+    return in_groups(work, ["key", "block", "other"], traverse).distinct()
+
+
+def tree_items(frame):
+    import numpy as np
+    return [(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64), low, high, reach) for p, q, low, high, reach in
+            zip(frame["any"], frame["all"], frame["low"].tolist(), frame["high"].tolist(), frame["reach"].tolist())]
+
+
+def in_groups(work: DataFrame, keys: list[str], traverse) -> DataFrame:
+    """(a, b) from traverse(rows of one group), for all groups; rows are sorted by the keys, a task holds one group at a time."""
+
+    def run(batches):
         import numpy as np
         import pandas as pd
+        held = None
+        for batch in batches:
+            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
+            codes = [held[k].to_numpy() for k in keys]
+            changes = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in codes])) + 1
+            out = []
+            for a, b in zip([0, *changes[:-1]], changes):
+                out += traverse(held.iloc[a:b])
+            held = held.iloc[changes[-1]:].reset_index(drop=True) if len(changes) else held
+            yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+        if held is not None and len(held):
+            yield pd.DataFrame(traverse(held), columns=["a", "b"], dtype="int64")
+
+    return work.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(run, "a long, b long")
 
-        def side(rows):
-            rows = rows.sort_values(["n", "rid"])
-            return {"n": rows["n"].to_numpy(np.int64), "pos": rows["pos"].to_numpy(np.int64), "comp": rows["comp"].to_numpy(np.int64),
-                    "rid": rows["rid"].to_numpy(np.int64), "maps": [np.frombuffer(x, np.uint64) for x in rows["bits"]]}
 
-        left, right = side(frame[frame["side"] == 0]), side(frame[frame["side"] == 1])
-        own = not len(right["n"])
-        right = left if own else right
-        pairs = joined(left, right, own) if len(left["n"]) else []
-        out = [(min(left["rid"][i], right["rid"][j]), max(left["rid"][i], right["rid"][j])) for i, j in pairs]
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+def member_pairs(near: DataFrame, kinds: DataFrame) -> DataFrame:
+    """(a, b) documents of components that may link. near: (a, b) components; kinds: (rid, comp, n, bits).
 
-    return work.groupBy("key", "block", "other").applyInPandas(run, "a long, b long").distinct()
+    The members of the larger component stand in blocks, those of all smaller ones beside it are dealt to chunks; each block
+    meets each chunk once, so a large component is not repeated for every other one.
+    """
+    sizes = kinds.groupBy("comp").agg(F.count("*").alias("size"))
+    sized = near.join(sizes.select(F.col("comp").alias("a"), F.col("size").alias("sa")), "a").join(sizes.select(F.col("comp").alias("b"), F.col("size").alias("sb")), "b")
+    swap = F.col("sb") > F.col("sa")
+    sized = sized.select(F.when(swap, F.col("b")).otherwise(F.col("a")).alias("large"), F.when(swap, F.col("a")).otherwise(F.col("b")).alias("comp"), F.greatest("sa", "sb").alias("size"))
+    visitors = sized.join(kinds.select("comp", "rid"), "comp").select("large", "size", "rid").distinct()
+    counts = visitors.groupBy("large").agg(F.ceil(F.count("*") / UNIT).cast("int").alias("chunks"), F.ceil(F.max("size") / UNIT).cast("int").alias("blocks"))
+    place = lambda n: F.pmod(F.xxhash64("rid"), F.col(n)).cast("int")
+    hosts = kinds.select(F.col("comp").alias("large"), "rid").join(counts, "large")
+    hosts = hosts.select("large", place("blocks").alias("block"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "rid", F.lit(0).alias("side"))
+    guests = visitors.join(counts, "large")
+    guests = guests.select("large", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), place("chunks").alias("chunk"), "rid", F.lit(1).alias("side"))
+    facts = kinds.select("rid", F.col("bits").alias("any"), F.col("bits").alias("all"), F.col("n").alias("low"), F.col("n").alias("high"), F.col("n").alias("reach"))
+    work = hosts.unionByName(guests).join(facts, "rid")
+
+    def traverse(frame):
+        left, right = frame[frame["side"] == 0].sort_values(["low", "rid"]), frame[frame["side"] == 1].sort_values(["low", "rid"])
+        if not (len(left) and len(right)):
+            return []
+        a, b = left["rid"].to_numpy(), right["rid"].to_numpy()
+        return [(min(a[i], b[j]), max(a[i], b[j])) for i, j in joined(tree_items(left), tree_items(right))]
+
+    return in_groups(work, ["large", "block", "chunk"], traverse).distinct()
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -332,19 +388,16 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     links = written(verified(stars, texts_of(rows, classes, stars)), "star-links")
     comps = components(links)
 
-    # groups that still hold several components; of groups with the same members the one with the earliest shingle does
+    # the centre has met all others of its group; what is left are pairs of the others from different components
     own = comps.select(F.col("id").alias("rid"), "comp")
-    with_comp = groups.join(own, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    with_comp = with_comp.join(own.select(F.col("rid").alias("crid"), F.col("comp").alias("ccomp")), "crid", "left").withColumn("ccomp", F.coalesce("ccomp", "crid"))
-    facts = with_comp.groupBy("key").agg(
-        F.max(F.col("comp") != F.col("ccomp")).alias("open"), F.count("*").alias("m"), F.bit_xor(F.xxhash64("rid")).alias("x"),
-        F.bit_xor(F.xxhash64(F.lit(1), "rid")).alias("y"), F.min("crid").alias("c"), F.min("cpos").alias("p"))
-    chosen = facts.where("open").groupBy("c", "m", "x", "y").agg(F.min(F.struct("p", "key")).alias("k")).select("k.key")
-    chosen = written(chosen, "open-groups")
-    inside = written(with_comp.join(chosen, "key"), "open-members")
-    members = inside.select("key", "rid", "n", "pos", "comp").unionByName(
-        inside.select("key", F.col("crid").alias("rid"), F.col("cn").alias("n"), F.col("cpos").alias("pos"), F.col("ccomp").alias("comp")).distinct())
-    more = written(tree_pairs(members, classes), "tree-pairs")
+    with_comp = groups.select("key", "rid", "n", "pos").join(own, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    several = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    inside = written(with_comp.join(several, "key"), "open-members")
+    shown = inside.select("comp").distinct()
+    kinds = classes.select("rid", "n", "bits").join(own, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).join(shown, "comp", "leftsemi")
+    kinds = written(kinds.select("rid", "comp", "n", "bits"), "open-kinds")
+    near = written(near_components(inside, component_nodes(kinds)), "near-components")
+    more = written(member_pairs(near, kinds), "tree-pairs")
     late = verified(more, texts_of(rows, classes, more))
     comps = components(links.unionByName(late))
 
