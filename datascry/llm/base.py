@@ -13,9 +13,9 @@ PLAIN_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def ascii_lower():
-    """Table for str.translate that lower-cases A-Z and leaves every other letter alone."""
-    return str.maketrans(UPPER, LOWER)
+def ascii_lower(text: str) -> str:
+    """Lower-cases A-Z and leaves every other letter alone: lower() of bytes knows ASCII only."""
+    return text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

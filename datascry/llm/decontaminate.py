@@ -21,11 +21,11 @@ def window_index(items, size: int):
     windows share does no harm.
     """
     import numpy as np
-    find, lower = re.compile(PLAIN_WORD).findall, ascii_lower()
+    find, lower = re.compile(PLAIN_WORD).findall, ascii_lower
     words: dict[str, int] = {}
     windows: dict[tuple, list] = {}
     for item, text in items:
-        ids = [words.setdefault(w, len(words) + 1) for w in find((text or "").translate(lower))]
+        ids = [words.setdefault(w, len(words) + 1) for w in find(lower(text or ""))]
         length = min(size, len(ids))
         for start in range(len(ids) - length + 1) if length else ():
             owners = windows.setdefault(tuple(ids[start:start + length]), [])
@@ -52,7 +52,7 @@ def scan_text(text, find, lower, index):
     """(words of the text, marks of the words inside a window, items with a window in the text)."""
     import numpy as np
     words, hashes, windows = index
-    found = find((text or "").translate(lower))
+    found = find(lower(text or ""))
     ids = np.fromiter(map(words.get, found, (0,) * len(found)), dtype=np.uint64, count=len(found))
     marks, items = np.zeros(len(found) + 1, dtype=np.int64), set()
     for size, known in hashes.items():
@@ -101,7 +101,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         n, n_hit, spans = len(found), int(hit.sum()), []
         if n_hit:
             edges = np.flatnonzero(np.diff(np.concatenate([[0], hit.astype(np.int8), [0]])))
-            places = [m.span() for m in re.finditer(PLAIN_WORD, text.translate(ascii_lower()))]
+            places = [m.span() for m in re.finditer(PLAIN_WORD, ascii_lower(text))]
             spans = [{"from": places[a][0], "to": places[b - 1][1]} for a, b in zip(edges[::2], edges[1::2])]
         names = ",".join(sorted(items))
         out = [key, n, n_hit, len(items), hashlib.sha256(names.encode()).hexdigest(), n_hit > 0 and one_in * n_hit >= n, spans]
@@ -119,7 +119,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def run(batches):
             import pandas as pd
-            find, lower, index = re.compile(PLAIN_WORD).findall, ascii_lower(), sent.value
+            find, lower, index = re.compile(PLAIN_WORD).findall, ascii_lower, sent.value
             for batch in batches:
                 out = [report(key, text, *scan_text(text, find, lower, index)) for key, text in zip(batch["_id"].tolist(), batch["_text"].tolist())]
                 yield pd.DataFrame(out, columns=names)
@@ -133,7 +133,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
         def scan(batches, sent=sent):
             import pandas as pd
-            find, lower, index = re.compile(PLAIN_WORD).findall, ascii_lower(), sent.value
+            find, lower, index = re.compile(PLAIN_WORD).findall, ascii_lower, sent.value
             for batch in batches:
                 out = []
                 for key, text in zip(batch["_row"].tolist(), batch["_text"].tolist()):
@@ -149,11 +149,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     def finish(batches):
         import numpy as np
         import pandas as pd
-        find, lower = re.compile(PLAIN_WORD).findall, ascii_lower()
+        find, lower = re.compile(PLAIN_WORD).findall, ascii_lower
         for batch in batches:
             out = []
             for key, text, places, items in zip(batch["_id"].tolist(), batch["_text"].tolist(), batch["hit"], batch["items"]):
-                found = find((text or "").translate(lower))
+                found = find(lower(text or ""))
                 hit = np.zeros(len(found), dtype=bool)
                 hit[[] if places is None else np.asarray(places, dtype=int)] = True
                 out.append(report(key, text, found, hit, set([] if items is None else items)))

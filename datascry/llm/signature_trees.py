@@ -30,7 +30,7 @@ def shingler(size: int = WORDS, held: int = 300_000):
     """Function from a text to the sorted hashes of its different shingles, 64 bits each."""
     import numpy as np
     import xxhash
-    find, lower = re.compile(SPACED_WORD).findall, ascii_lower()
+    find, lower = re.compile(SPACED_WORD).findall, ascii_lower
     known: dict[str, int] = {}
 
     class Words(dict):
@@ -43,7 +43,7 @@ def shingler(size: int = WORDS, held: int = 300_000):
     look = Words(known).__getitem__
 
     def shingles(text):
-        words = find((text or "").translate(lower))
+        words = find(lower(text or ""))
         if not words:
             return np.zeros(0, np.uint64)
         codes = np.fromiter(map(look, words), np.uint64, len(words))
