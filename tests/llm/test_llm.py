@@ -150,8 +150,11 @@ def test_line_templates(spark):
 
 # 4 ---------------------------------------------------------------------------------------------------------------------------
 
-def test_kneser_ney_sums_to_one_and_matches_plain(spark):
+@pytest.mark.parametrize("few", [4_000_000, 0])
+def test_kneser_ney_sums_to_one_and_matches_plain(spark, monkeypatch, few):
+    from datascry.llm import ngram_quality
     from datascry.llm.ngram_quality import LetterModel, letter_perplexity
+    monkeypatch.setattr(ngram_quality, "BROADCAST_GRAMS", few)
     texts = ["the cat sat on the mat", "the dog sat on the log", "a cat and a dog"] * 3 + ["they that then"]
     teach = spark.createDataFrame([("en", t) for t in texts], "model string, _text string")
     letters = LetterModel(teach, 3)
