@@ -142,12 +142,9 @@ def _(t):
 
 
 @query("multilabel_binarize", """select user_id, max(case when event_type = 'click' then 1 else 0 end) as tag_click, max(case when event_type = 'error' then 1 else 0 end) as tag_error,
-       max(case when event_type = 'view' then 1 else 0 end) as tag_view from events where value > 20 group by 1""")
+       max(case when event_type = 'view' then 1 else 0 end) as tag_view from events group by 1""")
 def _(t):
-    class Big:
-        events = t.events.filter("value > 20")
-
-    rows = tags(Big).select("user_id", s.parse_multilabel("tags").alias("tags"))
+    rows = tags(t).select("user_id", s.parse_multilabel("tags").alias("tags"))
     return en.multilabel_binarize(rows, "tags").select("user_id", "tag_click", "tag_error", "tag_view")
 
 

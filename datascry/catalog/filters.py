@@ -86,11 +86,11 @@ def _(t):
     return f.search_any_column(t.customer, "Build")
 
 
-@query("drill_through", """with xs as (select distinct x_num from (select l_quantity as x_num from lineitem where l_quantity > 40)),
+@query("drill_through", """with xs as (select distinct x_num from (select l_quantity as x_num from lineitem)),
        gap as (select min(g) / 2 as half from (select lead(x_num) over (order by x_num) - x_num as g from xs))
        select l_orderkey, l_linenumber, l_quantity from lineitem, gap where l_quantity between 44 - half and 44 + half""")
 def _(t):
-    points = t.lineitem.filter("l_quantity > 40").select(F.col("l_quantity").alias("x_num"))
+    points = t.lineitem.select(F.col("l_quantity").alias("x_num"))
     hit = f.drill_through(t.lineitem, "l_quantity", x_num=44, points=points)
     return hit.select("l_orderkey", "l_linenumber", "l_quantity")
 

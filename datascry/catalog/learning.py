@@ -213,29 +213,29 @@ def _(t):
     return ev.confusion_matrix(guessed(t), "y", "p")
 
 
-CURVE = """(with s as (select round(round(o_totalprice / (select max(o_totalprice) from orders), 3) * 1000)::int as b, case when o_orderstatus = 'F' or o_totalprice > 350000 then 1 else 0 end as y from orders),
+CURVE = """(with s as (select (o_totalprice - 100000) / 1000 as b, case when o_orderstatus = 'F' or o_totalprice > 350000 then 1 else 0 end as y from orders),
   g as (select b, sum(y) as pos, count(*) - sum(y) as neg from s group by 1)
-  select b / 1000 as threshold, row_number() over (order by b desc) as k, count(*) over () as points, sum(pos) over (order by b desc) as tp, sum(neg) over (order by b desc) as fp, sum(pos) over () as ap, sum(neg) over () as an from g)"""
+  select b as threshold, row_number() over (order by b desc) as k, count(*) over () as points, sum(pos) over (order by b desc) as tp, sum(neg) over (order by b desc) as fp, sum(pos) over () as ap, sum(neg) over () as an from g)"""
 THIN = "where k = 1 or points <= 100 or floor((k - 1) * 99 / (points - 1)) <> floor((k - 2) * 99 / (points - 1))"
 
 
 def curve_rows(t):
     top = t.orders.agg(F.max("o_totalprice")).scalar()
     label = ((F.col("o_orderstatus") == "F") | (F.col("o_totalprice") > 350000)).cast("int")
-    return t.orders.select(F.round(F.col("o_totalprice") / top, 3).alias("score"), label.alias("label"))
+    return t.orders.select(F.round(F.col("o_totalprice") / top, 3).alias("score"), ((F.col("o_totalprice") - 100000) / 1000).alias("margin"), label.alias("label"))
 
 
 @query("roc_curve", f"""with c as (select *, tp / ap as tpr, fp / an as fpr from {CURVE}), a as (select *, (fpr - coalesce(lag(fpr) over (order by k), 0)) * (tpr + coalesce(lag(tpr) over (order by k), 0)) / 2 as area from c),
        z as (select *, sum(area) over () as auc from a) select threshold, round(fpr, 6) as fpr, round(tpr, 6) as tpr, round(auc, 6) as auc from z {THIN}""")
 def _(t):
-    out = ev.roc_curve(curve_rows(t), "label", "score")
+    out = ev.roc_curve(curve_rows(t), "label", "margin")
     return out.select("threshold", *[F.round(c, 6).alias(c) for c in ("fpr", "tpr", "auc")])
 
 
 @query("pr_curve", f"""with c as (select *, tp / (tp + fp) as pr, tp / ap as re, ap / (ap + an) as baseline from {CURVE}), a as (select *, (re - coalesce(lag(re) over (order by k), 0)) * pr as step from c),
        z as (select *, sum(step) over () as average from a) select threshold, round(pr, 6) as precision, round(re, 6) as recall, round(average, 6) as average_precision, round(baseline, 6) as baseline from z {THIN}""")
 def _(t):
-    out = ev.pr_curve(curve_rows(t), "label", "score")
+    out = ev.pr_curve(curve_rows(t), "label", "margin")
     return out.select("threshold", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "average_precision", "baseline")])
 
 

@@ -80,7 +80,7 @@ def _(t):
     return bx.box_area_hist(boxes(t))
 
 
-@query("box_aspect_hist", f"""select round(floor(r / 0.25) * 0.25, 2) as x_num, count(*) as n from (select case when h > 0 then w / h else 0 end as r from {BOXES}) group by 1 order by 1 limit 40""")
+@query("box_aspect_hist", f"""select round(floor(r / 0.25) * 0.25, 2) as x_num, count(*) as n from (select case when h > 0 then w / h else 0 end as r from {BOXES}) group by 1""")
 def _(t):
     return bx.box_aspect_hist(boxes(t))
 

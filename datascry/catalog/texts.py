@@ -145,6 +145,6 @@ def _(t):
     tags = F.filter(F.array(F.when(F.col("quality") == 1, "good"), F.when(F.col("toxic") == 1, "toxic"), F.col("lang")), lambda x: x.isNotNull())
     vectors = tx.Tfidf.fit(both, "text", TERMS, STOP).vectors(both, "text").select("doc_id", "features", tags.alias("tags"))
     rows = split_train_test(vectors, "doc_id")
-    known = [r["t"] for r in rows.select(F.explode("tags").alias("t")).distinct().orderBy("t").limit(100).collect()]
+    known = [r["t"] for r in rows.select(F.explode("tags").alias("t")).distinct().orderBy("t").collect()]
     models = m.train_multilabel(rows.filter("split = 'train'"), "tags", known)
     return m.subset_accuracy(m.predict_multilabel(models, rows.filter("split = 'test'")), "tags", known)

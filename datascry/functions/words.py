@@ -8,16 +8,17 @@ from pyspark.sql import functions as F
 from datascry.functions.scalars import column
 
 # The sentiment word lists and the characters stripped from words.
-POSITIVE_WORDS = (
-    "love loved loving likes like liked awesome amazing great excellent good wonderful fantastic beautiful perfect "
-    "enjoy enjoyed happy pleasant glad satisfactory satisfied recommend best superb masterpiece outstanding brilliant "
-    "witty smart touching heartwarming delight delightful incredible feast"
-).split()
-NEGATIVE_WORDS = (
-    "hate hated hating dislike disliked bad terrible awful horrible worst poor boring bored disappoint disappointed "
-    "disappointing waste wasteful annoy annoyed annoying painful lifeless useless broken fail failed disaster "
-    "embarrassment flat stupid mess shame mediocre"
-).split()
+POSITIVE_WORDS = [
+    "love", "loved", "loving", "likes", "like", "liked", "awesome", "amazing", "great", "excellent", "good", "wonderful", "fantastic",
+    "beautiful", "perfect", "enjoy", "enjoyed", "happy", "pleasant", "glad", "satisfactory", "satisfied", "recommend", "best", "superb",
+    "masterpiece", "outstanding", "brilliant", "witty", "smart", "touching", "heartwarming", "delight", "delightful", "incredible",
+    "feast",
+]
+NEGATIVE_WORDS = [
+    "hate", "hated", "hating", "dislike", "disliked", "bad", "terrible", "awful", "horrible", "worst", "poor", "boring", "bored",
+    "disappoint", "disappointed", "disappointing", "waste", "wasteful", "annoy", "annoyed", "annoying", "painful", "lifeless", "useless",
+    "broken", "fail", "failed", "disaster", "embarrassment", "flat", "stupid", "mess", "shame", "mediocre",
+]
 STRIPPED = ".,!?\"'()[]{}"
 SENTIMENT_LIMIT = 0.1
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from datascry.functions.scalars import box_area, box_aspect, hash_bucket
+from datascry.functions.scalars import box_area, box_aspect
 from datascry.operators.correlate import corr_pearson
 from datascry.operators.keys import attach, spread
+from datascry.operators.sampling import sample_n
 from datascry.session import cut_lineage
 
 KEYS = ["image_stem", "class_id"]
@@ -49,16 +50,16 @@ def box_area_hist(boxes: DataFrame, bins: int = 20) -> DataFrame:
     return boxes.groupBy(at.alias("x_num")).agg(F.count("*").alias("n"))
 
 
-def box_aspect_hist(boxes: DataFrame, size: float = 0.25, shown: int = 40) -> DataFrame:
-    """Boxes per bin of width / height, the first bins only."""
+def box_aspect_hist(boxes: DataFrame, size: float = 0.25, shown: int | None = None) -> DataFrame:
+    """Boxes per bin of width / height, all bins unless the first `shown` are asked for."""
     at = F.round(F.floor(box_aspect("w", "h") / size) * size, 2)
-    return boxes.groupBy(at.alias("x_num")).agg(F.count("*").alias("n")).orderBy("x_num").limit(shown)
+    bins = boxes.groupBy(at.alias("x_num")).agg(F.count("*").alias("n")).orderBy("x_num")
+    return bins if shown is None else bins.limit(shown)
 
 
 def box_centre_points(boxes: DataFrame, key, n: int = 2000) -> DataFrame:
     """About n box centres, chosen by key hash."""
-    total = boxes.count()
-    rows = boxes if total <= n else boxes.filter(hash_bucket(key) < int(round(1_000_000 * n / total)))
+    rows = sample_n(boxes, key, n)
     keys = [key] if isinstance(key, str) else list(key)
     return rows.select(*keys, "cx", "cy")
 

@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 from datascry.functions.scalars import NUMERIC
 from datascry.operators.profile import distinct_counts, long_rows
 
-MAX_COLUMNS = 30
 MIN_ROWS = 5
 FEW_PAIRS = 3
 
@@ -153,11 +152,12 @@ def corr_point_biserial(df: DataFrame, binary: str, num: str) -> DataFrame:
     return category_number_table(df, [binary], [num])
 
 
-def corr_mixed(df: DataFrame, cols: list[str], t: str | None = None, limit: int = 100, exact: bool = True) -> DataFrame:
-    """Strongest associations of any column types: (x, y, value). At most 30 columns, the target first."""
-    if len(cols) > MAX_COLUMNS:
+def corr_mixed(df: DataFrame, cols: list[str], t: str | None = None, limit: int = 100, exact: bool = True,
+               most: int | None = None) -> DataFrame:
+    """Strongest associations of any column types: (x, y, value). All columns, or the first `most` with the target first."""
+    if most is not None and len(cols) > most:
         cols = ([t] if t in cols else []) + [c for c in cols if c != t]
-        cols = cols[:MAX_COLUMNS]
+        cols = cols[:most]
     levels = {r["column"]: r["nunique"] for r in distinct_counts(df, cols, exact=exact).collect()}
     nums = [c for c in cols if isinstance(df.schema[c].dataType, NUMERIC) and levels.get(c, 0) > 2]
     cats = [c for c in cols if c not in nums and not isinstance(df.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType))]

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datascry.functions.scalars import hash_bucket
+from datascry.operators.sampling import sample_n
 
-SCORE_BINS = 1000
+# Ranges of score values whose running counts are taken side by side.
+SCORE_RANGES = 512
 CURVE_POINTS = 100
 
 
@@ -58,50 +59,60 @@ def evaluate_split(scored: DataFrame, y: str, p: str = "prediction", split: str
     return metrics_regression(rows, y, p), None
 
 
-def _bins(scored: DataFrame, label: Column, score: str) -> DataFrame:
-    """Positives and negatives per score bin: at most SCORE_BINS + 1 rows."""
-    at = F.round(F.col(score).cast("double") * SCORE_BINS, 0).cast("int")
-    return scored.groupBy(at.alias("bin")).agg(F.count(F.when(label, 1)).alias("pos"), F.count(F.when(~label, 1)).alias("neg"))
-
-
 def _cumulative(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """True and false positives from the highest score bin down; the table is bounded by the bins."""
-    bins = _bins(scored, F.col(label) == 1, score)
-    w = Window.partitionBy(F.lit(1)).orderBy(F.desc("bin"))
+    """True and false positives from the highest score down, per different score; NaN and null scores are left out.
+
+    Counts run inside ranges of scores first and over the ranges then, so no task sees all scores.
+    """
+    value, positive = F.col(score).cast("double"), F.col(label) == 1
+    counts = scored.filter(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("threshold")).agg(
+        F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
+    shares = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
+    cuts = counts.agg(F.array_distinct(F.percentile_approx("threshold", shares, SCORE_RANGES * 10))).first()[0] or []
+    part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("threshold"))) if cuts else F.lit(0)
+    parts = counts.withColumn("part", part)
+    sums = parts.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("n")).orderBy(F.desc("part")).collect()
+    starts, tp, fp, at = [], 0, 0, 0
+    for row in sums:
+        starts.append((row["part"], tp, fp, at))
+        tp, fp, at = tp + row["pos"], fp + row["neg"], at + row["n"]
+    table = scored.sparkSession.createDataFrame(starts, "part int, tp0 long, fp0 long, at0 long")
+    w = Window.partitionBy("part").orderBy(F.desc("threshold"))
     upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    every = Window.partitionBy(F.lit(1))
-    return bins.select(
-        (F.col("bin") / SCORE_BINS).alias("threshold"), F.row_number().over(w).alias("at"), F.count("*").over(every).alias("points"),
-        F.sum("pos").over(upto).alias("tp"), F.sum("neg").over(upto).alias("fp"),
-        F.sum("pos").over(every).alias("all_pos"), F.sum("neg").over(every).alias("all_neg"))
+    return parts.join(F.broadcast(table), "part").select(
+        "threshold", "pos", "neg", (F.col("at0") + F.row_number().over(w)).alias("at"), F.lit(at).alias("points"),
+        (F.col("tp0") + F.sum("pos").over(upto)).alias("tp"), (F.col("fp0") + F.sum("neg").over(upto)).alias("fp"),
+        F.lit(tp).cast("long").alias("all_pos"), F.lit(fp).cast("long").alias("all_neg"))
 
 
 def _thin(points: DataFrame) -> DataFrame:
-    """At most CURVE_POINTS evenly spaced points of the bounded curve, first and last kept."""
+    """At most CURVE_POINTS evenly spaced points of the curve, first and last kept."""
     keep = (F.col("points") <= CURVE_POINTS) | (
         F.floor((F.col("at") - 1) * (CURVE_POINTS - 1) / (F.col("points") - 1)) != F.floor((F.col("at") - 2) * (CURVE_POINTS - 1) / (F.col("points") - 1)))
     return points.filter((F.col("at") == 1) | keep).drop("at", "points")
 
 
+def _share(part, whole) -> Column:
+    """part / whole, null where there is none."""
+    return F.try_divide(part, whole)
+
+
 def roc_curve(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """(threshold, fpr, tpr, auc) from score bins, the area by trapezoids over all bins."""
+    """(threshold, fpr, tpr, auc) per different score, thinned after the area by trapezoids over all scores is taken."""
     c = _cumulative(scored, label, score).withColumns({
-        "tpr": F.col("tp") / F.col("all_pos"), "fpr": F.col("fp") / F.col("all_neg")})
-    w = Window.partitionBy(F.lit(1)).orderBy("at")
-    area = (F.col("fpr") - F.coalesce(F.lag("fpr").over(w), F.lit(0.0))) * (F.col("tpr") + F.coalesce(F.lag("tpr").over(w), F.lit(0.0))) / 2
-    sized = c.withColumn("area", area).withColumn("auc", F.sum("area").over(Window.partitionBy(F.lit(1))))
-    return _thin(sized.select("at", "points", "threshold", "fpr", "tpr", "auc"))
+        "tpr": _share(F.col("tp"), F.col("all_pos")), "fpr": _share(F.col("fp"), F.col("all_neg")),
+        "before": _share(F.col("tp") - F.col("pos"), F.col("all_pos")), "step": _share(F.col("neg"), F.col("all_neg"))})
+    area = c.agg(F.sum(F.col("step") * (F.col("tpr") + F.col("before")) / 2)).first()[0]
+    return _thin(c.select("at", "points", "threshold", "fpr", "tpr", F.lit(area).cast("double").alias("auc")))
 
 
 def pr_curve(scored: DataFrame, label: str, score: str) -> DataFrame:
-    """(threshold, precision, recall, average_precision, baseline)."""
+    """(threshold, precision, recall, average_precision, baseline) per different score, thinned last."""
     c = _cumulative(scored, label, score).withColumns({
-        "precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": F.col("tp") / F.col("all_pos"),
+        "precision": F.col("tp") / (F.col("tp") + F.col("fp")), "recall": _share(F.col("tp"), F.col("all_pos")),
         "baseline": F.col("all_pos") / (F.col("all_pos") + F.col("all_neg"))})
-    w = Window.partitionBy(F.lit(1)).orderBy("at")
-    step = (F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0))) * F.col("precision")
-    sized = c.withColumn("step", step).withColumn("average_precision", F.sum("step").over(Window.partitionBy(F.lit(1))))
-    return _thin(sized.select("at", "points", "threshold", "precision", "recall", "average_precision", "baseline"))
+    area = c.agg(F.sum(_share(F.col("pos"), F.col("all_pos")) * F.col("precision"))).first()[0]
+    return _thin(c.select("at", "points", "threshold", "precision", "recall", F.lit(area).cast("double").alias("average_precision"), "baseline"))
 
 
 def calibration_curve(scored: DataFrame, label: str, score: str, bins: int = 10) -> DataFrame:
@@ -119,8 +130,7 @@ def pred_vs_actual_classes(scored: DataFrame, y: str, p: str = "prediction") ->
 
 def scatter_sample(scored: DataFrame, key, y: str, p: str = "prediction", n: int = 200) -> DataFrame:
     """About n (actual, predicted) points, chosen by key hash."""
-    total = scored.count()
-    rows = scored if total <= n else scored.filter(hash_bucket(key) < int(round(1_000_000 * n / total)))
+    rows = sample_n(scored, key, n)
     keys = [key] if isinstance(key, str) else list(key)
     return rows.select(*keys, F.col(y).alias("actual"), F.col(p).alias("predicted"))
 

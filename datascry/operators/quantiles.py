@@ -37,93 +37,84 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
     return _ranked(df, cols, probs, by) if by else _bracketed(df, cols, probs)
 
 
+def _number(c: str):
+    """The column as double; NaN counts as missing."""
+    x = F.col(f"`{c}`").cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Each target rank is enclosed by two sketched values, checked by counting, until few rows lie between them.
+    """Each target rank is enclosed between two values until few rows lie between them.
 
+    A round takes two values near the rank from a sketch of the rows inside and counts the rows below and at each. The rank
+    is then at one of the two, which settles it, or strictly on one side of each: every round either settles a rank or takes
+    at least one value out of its open interval, so it ends on any data, and a round usually leaves 2 * BRACKET of the rows.
     Every round is one aggregate over the table with a bounded result; nothing is shuffled by value.
     """
-    x = {c: F.col(c).cast("double") for c in cols}
-    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.percentile_approx(x[c], [max(0.0, p - BRACKET) for p in probs] + [min(1.0, p + BRACKET) for p in probs], SKETCH).alias(f"q{i}")
-                     for i, c in enumerate(cols)]).first()
+    x = {c: _number(c) for c in cols}
+    first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     total = {c: first[f"n{i}"] for i, c in enumerate(cols)}
-    jobs = {}  # (column, prob) -> [low, high]
-    for i, c in enumerate(cols):
-        for k, p in enumerate(probs):
-            if total[c]:
-                jobs[(c, k)] = [first[f"q{i}"][k], first[f"q{i}"][k + len(probs)]]
-    ranks = {(c, k): (math.floor(probs[k] * (total[c] - 1)), math.ceil(probs[k] * (total[c] - 1))) for c, k in jobs}
+    ranks = {(c, k): (math.floor(p * (total[c] - 1)), math.ceil(p * (total[c] - 1))) for c in cols if total[c] for k, p in enumerate(probs)}
+    jobs = {(c, r): (None, None, 0, total[c]) for (c, _), pair in ranks.items() for r in pair}  # above, below, rows up to above, rows inside
     values: dict = {}
-    below: dict = {}
+
+    def inside(c, low, high):
+        held = [x[c].isNotNull()] + ([x[c] > F.lit(low)] if low is not None else []) + ([x[c] < F.lit(high)] if high is not None else [])
+        return reduce(lambda a, b: a & b, held)
+
     while jobs:
+        ready = [j for j in jobs if jobs[j][3] <= BUFFER_ROWS]
+        if ready:
+            # The middle of a rank's step names that rank without rounding. Only rows near some target reach the buffers.
+            wide = df.select(*[F.when(inside(c, *jobs[(c, r)][:2]), x[c]).alias(f"v{j}") for j, (c, r) in enumerate(ready)])
+            some = reduce(lambda a, b: a | b, [F.col(f"v{j}").isNotNull() for j in range(len(ready))])
+            found = wide.filter(some).agg(*[F.expr(f"percentile_disc({(r - jobs[(c, r)][2] + 0.5) / jobs[(c, r)][3]!r}D) within group (order by v{j})").alias(f"v{j}")
+                                            for j, (c, r) in enumerate(ready)]).first()
+            for j, job in enumerate(ready):
+                values[job] = found[f"v{j}"]
+                del jobs[job]
+            continue
         order = list(jobs)
-        inside = lambda c, k: x[c].between(*[F.lit(v) for v in jobs[(c, k)]])
-        counted = df.agg(*[F.count(F.when(x[c] < F.lit(jobs[(c, k)][0]), 1)).alias(f"b{j}") for j, (c, k) in enumerate(order)],
-                         *[F.count(F.when(inside(c, k), 1)).alias(f"i{j}") for j, (c, k) in enumerate(order)]).first()
-        ready, wide = [], []
-        for j, (c, k) in enumerate(order):
-            below[(c, k)], held = counted[f"b{j}"], counted[f"i{j}"]
-            lo, hi = ranks[(c, k)]
-            if not (below[(c, k)] <= lo and hi < below[(c, k)] + held):
-                # The sketch missed: fall back to the open bracket, which always holds.
-                jobs[(c, k)] = [float("-inf"), float("inf")]
-                wide.append((c, k, 0, total[c]))
-            elif held <= BUFFER_ROWS or jobs[(c, k)][0] == jobs[(c, k)][1]:
-                ready.append((c, k, below[(c, k)], held))
+        shares = {j: [min(1.0, max(0.0, (j[1] + 0.5 - jobs[j][2]) / jobs[j][3] + d)) for d in (-BRACKET, BRACKET)] for j in order}
+        row = df.agg(*[F.percentile_approx(F.when(inside(j[0], *jobs[j][:2]), x[j[0]]), shares[j], SKETCH).alias(f"s{i}") for i, j in enumerate(order)]).first()
+        near = {j: (min(row[f"s{i}"]), max(row[f"s{i}"])) for i, j in enumerate(order)}
+        counted = df.agg(*[F.count(F.when(inside(c, *jobs[(c, r)][:2]) & test, 1)).alias(f"c{i}_{k}") for i, (c, r) in enumerate(order)
+                           for k, test in enumerate((x[c] < F.lit(near[(c, r)][0]), x[c] <= F.lit(near[(c, r)][0]), x[c] < F.lit(near[(c, r)][1]), x[c] <= F.lit(near[(c, r)][1])))]).first()
+        for i, job in enumerate(order):
+            low, high, under, held = jobs[job]
+            (a, b), (to_a, with_a, to_b, with_b) = near[job], [counted[f"c{i}_{k}"] for k in range(4)]
+            at = job[1] - under
+            if to_a <= at < with_a or to_b <= at < with_b:
+                values[job] = a if at < with_a else b
+                del jobs[job]
+            elif at < to_a:
+                jobs[job] = (low, a, under, to_a)
+            elif at < to_b:
+                jobs[job] = (a, b, under + with_a, to_b - with_a)
             else:
-                wide.append((c, k, below[(c, k)], held))
-        if ready:
-            exact = []
-            for j, (c, k, under, held) in enumerate(ready):
-                # The middle of a rank's step names that rank without rounding.
-                exact.append(F.array(*[_value_at(c, *jobs[(c, k)], (r - under + 0.5) / held) for r in ranks[(c, k)]]).alias(f"v{j}"))
-            # Only rows near some target reach the buffers.
-            near = [inside(c, k) for c, k, _, _ in ready if jobs[(c, k)][0] != jobs[(c, k)][1]]
-            close = df.filter(reduce(lambda a, b: a | b, near)) if near else df.limit(1)
-            row = close.agg(*exact).first()
-            for j, (c, k, _, _) in enumerate(ready):
-                values[(c, k)] = row[f"v{j}"]
-                del jobs[(c, k)]
-        if wide:
-            shares = {}
-            for c, k, under, held in wide:
-                lo, hi = ranks[(c, k)]
-                shares[(c, k)] = [min(1.0, max(0.0, s)) for s in ((lo - under) / held - BRACKET, (hi + 1 - under) / held + BRACKET)]
-            row = df.agg(*[F.percentile_approx(F.when(inside(c, k), x[c]), shares[(c, k)], SKETCH).alias(f"w{j}")
-                           for j, (c, k, _, _) in enumerate(wide)]).first()
-            for j, (c, k, _, _) in enumerate(wide):
-                jobs[(c, k)] = list(row[f"w{j}"])
+                jobs[job] = (b, high, under + with_b, held - with_b)
     rows = []
     for c in cols:
         q = None
         if total[c]:
             q = []
             for k, p in enumerate(probs):
-                pos, (lo, hi) = p * (total[c] - 1), values[(c, k)]
-                q.append(lo + (pos - math.floor(pos)) * (hi - lo))
+                pos, (lo, hi) = p * (total[c] - 1), (values[(c, r)] for r in ranks[(c, k)])
+                q.append(lo if lo == hi else lo + (pos - math.floor(pos)) * (hi - lo))
         rows.append((c, total[c], q))
     return df.sparkSession.createDataFrame(rows, "column string, n bigint, q array<double>")
 
 
-def _value_at(c: str, low: float, high: float, share: float):
-    """Aggregate: the value inside [low, high] at a share of their ordered rows."""
-    if low == high:
-        return F.lit(low)
-    number = f"cast(`{c.replace('`', '``')}` as double)"
-    held = number if math.isinf(low) else f"case when {number} between {low!r}D and {high!r}D then {number} end"
-    return F.expr(f"percentile_disc({share!r}D) within group (order by {held})")
-
-
 def _one_pass(df, cols, by, quantile) -> DataFrame:
-    stats = [F.struct(F.lit(c).alias("column"), F.count(F.col(c)).alias("n"),
-                      quantile(F.col(c).cast("double")).alias("q")).alias(f"s{i}") for i, c in enumerate(cols)]
+    stats = [F.struct(F.lit(c).alias("column"), F.count(_number(c)).alias("n"),
+                      quantile(_number(c)).alias("q")).alias(f"s{i}") for i, c in enumerate(cols)]
     wide = df.groupBy(*by).agg(*stats) if by else df.agg(*stats)
     return wide.select(*by, F.inline(F.array(*[f"s{i}" for i in range(len(cols))])))
 
 
 def _ranked(df, cols, probs, by) -> DataFrame:
     """Counts per distinct value, cut into value ranges; running counts find the rows at each target rank."""
-    doubles = df.select(*by, *[F.col(c).cast("double").alias(c) for c in cols])
+    doubles = df.select(*by, *[_number(c).alias(c) for c in cols])
     values = (doubles.unpivot(by, cols, "column", "value").filter("value is not null")
               .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
     shares = [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from datascry.functions.scalars import hash_bucket, to_numeric
+from datascry.functions.scalars import column, hash_bucket, to_numeric
 from datascry.operators.keys import attach
 from datascry.operators.ordered import Sequence, numbered_by_hash
 
@@ -61,18 +61,28 @@ def keep_share(df: DataFrame, key, share: float, salt: str = "") -> DataFrame:
     return df.filter(hash_bucket(key, SCALE, salt) < int(round(share * SCALE)))
 
 
+def fewest(df: DataFrame, key, n: int, salt: str = "") -> DataFrame:
+    """The n rows with the smallest 60-bit hashes of the key: as many at any size of the table."""
+    cols = [key] if isinstance(key, (str, Column)) else list(key)
+    text = F.concat(F.concat_ws("|", *[column(c).cast("string") for c in cols]), F.lit(salt))
+    return df.orderBy(F.substring(F.md5(text), 1, 15), *cols).limit(n)
+
+
 def sample_n(df: DataFrame, key, n: int, salt: str = "") -> DataFrame:
     """About n rows when the table is larger, all rows otherwise."""
     total = df.count()
-    return df if total <= n else keep_share(df, key, n / total, salt)
+    return df if total <= n else _share_or_fewest(df, key, n, total, salt)
+
+
+def _share_or_fewest(df: DataFrame, key, n: int, total: int, salt: str) -> DataFrame:
+    """A share by hash; below a thousandth, where millionths are too coarse, exactly the n smallest hashes."""
+    return keep_share(df, key, n / total, salt) if n * 1000 >= total else fewest(df, key, n, salt)
 
 
 def sample_stratified(df: DataFrame, key, t: str, n: int, salt: str = "") -> DataFrame:
     """About n rows with class shares kept in expectation: the same hash threshold holds for every class."""
     total = df.count()
-    if total <= n:
-        return df
-    return keep_share(df, key, n / total, salt)
+    return df if total <= n else _share_or_fewest(df, key, n, total, salt)
 
 
 def split_train_test(df: DataFrame, key, t: str | None = None, frac: float = 0.8, exact: bool = False,

@@ -125,7 +125,7 @@ def analyze_text(df: DataFrame, key: str, target: str, text_column: str | None =
         "projection": text.svd_projection(rows, [key, target], text_column, 2, max_features, stop),
     }
     split = sampling.split_train_test(rows, key)
-    plan = models.Features(target, "classification", classes=[r[0] for r in rows.select(F.col(target).cast("string")).distinct().limit(1000).collect()])
+    plan = models.Features(target, "classification", classes=[r[0] for r in rows.select(F.col(target).cast("string")).distinct().collect()])
     plan.classes.sort()
     coded = models.with_label(split, plan)
     model = text.Tfidf.fit(coded.filter("split = 'train'"), text_column, max_features, stop)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,20 +91,30 @@ def read_delimited(spark: SparkSession, path: str, sep: str = ",", schema=None,
 
 
 def read_json_document(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON array of objects; or objects whose first list of objects is the table; or one row per object."""
+    """A JSON array of objects; or objects whose first list of objects is the table; or one row per object.
+
+    Every document is judged by its own keys; columns that only some documents have are null elsewhere. An empty list gives no row.
+    """
     doc = spark.read.option("multiLine", True).json(path)
     lists = [f.name for f in doc.schema.fields
              if isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType)]
     if not lists:
         return doc
-    # Spark sorts inferred fields; the document's own key order decides which list comes first.
+    # Spark sorts inferred fields; each document's own key order decides which of its lists is the table.
     body = F.ltrim("value")
-    head = spark.read.option("wholetext", True).text(path).select(
-        F.substring(body, 1, 1).alias("start"), F.json_object_keys("value").alias("keys")).first()
-    if head["start"] == "[":
-        return doc
-    key = next((k for k in head["keys"] or [] if k in lists), lists[0])
-    return doc.select(F.explode(F.col(f"`{key}`")).alias("row")).select("row.*")
+    first = F.get(F.filter(F.json_object_keys("value"), lambda k: k.isin(lists)), 0)
+    case = F.when(F.substring(body, 1, 1) == "[", F.lit("[")).otherwise(F.coalesce(F.concat(F.lit("."), first), F.lit("{")))
+    texts = spark.read.option("wholetext", True).text(path).filter(F.trim("value") != "").withColumn("case", case)
+    parts = []
+    for kind in sorted(r["case"] for r in texts.select("case").distinct().collect()):
+        rows = texts.filter(F.col("case") == kind)
+        if kind == "[":
+            rows = rows.select(F.explode(F.from_json("value", T.ArrayType(doc.schema))).alias("row"))
+        else:
+            rows = rows.select(F.from_json("value", doc.schema).alias("row"))
+            rows = rows if kind == "{" else rows.select(F.explode(F.col(f"row.`{kind[1:]}`")).alias("row"))
+        parts.append(rows.select("row.*"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else doc
 
 
 def normalize_columns(df: DataFrame) -> DataFrame:
