@@ -352,6 +352,13 @@ def member_pairs(near: DataFrame, kinds: DataFrame) -> DataFrame:
     return in_groups(work, ["large", "block", "chunk"], traverse).distinct()
 
 
+def still_open(groups: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, rid, n, pos, comp) of the groups whose classes are in several components."""
+    with_comp = groups.join(comps.withColumnRenamed("id", "rid"), "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
+    several = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+    return written(with_comp.join(several, "key"), "open-members")
+
+
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, _th (hash of the text): components of documents whose shingle sets link.
 
@@ -360,7 +367,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     1. Documents with equal sets are one class, of one row. 2. Every class gives its rarest shingles, as many as any linked
     class must share one of; a group is the classes that give the same one. 3. In each group one class is compared with all
-    others; the links make first components, so large groups of copies cost one comparison a copy. 4. In groups that still
+    others, then in those still open the class that is in most of them; the links make first components, so large groups of
+    copies cost a comparison or two a copy. 4. In groups that still
     hold several components, signature trees are traversed against each other and pairs of different components that can
     overlap enough are verified. No link between different components is missed: a linked pair shares a group, and there it
     is either in one component already or its bounds let it through to the comparison of whole sets.
@@ -389,10 +397,17 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     comps = components(links)
 
     # the centre has met all others of its group; what is left are pairs of the others from different components
+    inside = still_open(groups.select("key", "rid", "n", "pos"), comps)
+    # a second centre per group: the class that is in most open groups, as the original of many copies is
+    often = inside.groupBy("rid").agg(F.count("*").alias("often"))
+    second = Window.partitionBy("key").orderBy(F.desc("often"), "rid").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    again = inside.join(often, "rid").select("key", "rid", "n", "pos", "comp", *[F.first(c).over(second).alias(f"c{c}") for c in ("rid", "n", "pos", "comp")])
+    stars = again.where((F.col("comp") != F.col("ccomp")) & fits).select(F.col("crid").alias("a"), F.col("rid").alias("b"), F.col("cn").alias("na"), F.col("n").alias("nb")).distinct()
+    stars = written(possible(stars, classes), "second-star-pairs")
+    links = written(links.unionByName(verified(stars, texts_of(rows, classes, stars))), "both-star-links")
+    comps = components(links)
+    inside = still_open(again.where("rid <> crid").select("key", "rid", "n", "pos"), comps)
     own = comps.select(F.col("id").alias("rid"), "comp")
-    with_comp = groups.select("key", "rid", "n", "pos").join(own, "rid", "left").withColumn("comp", F.coalesce("comp", "rid"))
-    several = with_comp.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
-    inside = written(with_comp.join(several, "key"), "open-members")
     shown = inside.select("comp").distinct()
     kinds = classes.select("rid", "n", "bits").join(own, "rid", "left").withColumn("comp", F.coalesce("comp", "rid")).join(shown, "comp", "leftsemi")
     kinds = written(kinds.select("rid", "comp", "n", "bits"), "open-kinds")
