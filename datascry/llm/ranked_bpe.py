@@ -48,6 +48,13 @@ def safe_pieces(text: str, longest: int) -> Iterator[str]:
     yield text[start:]
 
 
+def small(batches, rows: int = 500):
+    """Batches of at most `rows` rows, so that a task holds the ids of few texts at a time."""
+    for batch in batches:
+        for start in range(0, len(batch), rows):
+            yield batch.iloc[start:start + rows]
+
+
 def encode_ranked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text",
                   longest: int = 50_000) -> DataFrame:
     """(id, token_ids array<int>) of every row: each match of `pattern` merged by the ranks in `path`, no special tokens.
@@ -61,7 +68,7 @@ def encode_ranked(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
         import numpy as np
         import pandas as pd
         encoding = rank_encoding(path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             ids = []
             for text in batch["_text"]:
                 found = []
@@ -100,7 +107,7 @@ def encoding_digests(docs: DataFrame, path: str, pattern: str, id_col: str = "do
     def run(batches):
         import pandas as pd
         encoding = rank_encoding(path, pattern)
-        for batch in batches:
+        for batch in small(batches):
             ids = [x if x is not None else [] for x in batch["token_ids"]]
             more = {"token_ids": ids} if keep_ids else {}
             yield pd.DataFrame({
