@@ -154,15 +154,24 @@ def chunk_encoder(path: str, kept: int = 600_000):
                 known[chunk] = flat[first:end]
                 first = end
 
+    def chunks_of(text):
+        if other.search(text):
+            return cut.split(text)
+        if "\0" in text or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
+            return plain.findall(text)
+        return [x for x in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if x]  # single blanks: each starts a chunk
+
     def encode(texts):
-        chunks = [cut.split(x) if other.search(x) else plain.findall(x) for x in texts]
-        missing = set(chain.from_iterable(chunks)).difference(known)
-        if len(known) + len(missing) > kept:
-            known.clear()
-            missing = set(chain.from_iterable(chunks))
-        learn(missing)
-        look = known.__getitem__
-        return [b"".join(map(look, x)) for x in chunks]
+        chunks = [chunks_of(x) for x in texts]
+        found = [list(map(known.get, x)) for x in chunks]
+        missing = {c for x, y in zip(chunks, found) if None in y for c, ids in zip(x, y) if ids is None}
+        if missing:
+            if len(known) + len(missing) > kept:
+                known.clear()
+                missing = set(chain.from_iterable(chunks))
+            learn(missing)
+            found = [list(map(known.get, x)) if None in y else y for x, y in zip(chunks, found)]
+        return [b"".join(x) for x in found]
 
     return encode
 
@@ -185,12 +194,12 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, id_col: str = "d
         shard, number = TaskContext.get().partitionId(), 0
         encode = chunk_encoder(path)
         tail = np.array([] if end_id is None else [end_id], dtype=np.uint32).tobytes()
-        ids, parts, held = [], [], 0
+        ids, parts, held, before = [], [], 0, 0
 
         def segment():
             lengths = [len(x) // 4 for x in parts]
             flat, named = np.frombuffer(b"".join(parts), np.uint32), [x for x in ids if x is not None]
-            return pd.DataFrame({"shard": [shard], "segment": [number], "n_ids": [len(flat)], "n_null": [len(ids) - len(named)],
+            return pd.DataFrame({"shard": [shard], "segment": [number], "before": [before], "n_ids": [len(flat)], "n_null": [len(ids) - len(named)],
                                  "ids": [named], "lengths": [lengths], "words": [pack(flat)]})
 
         for batch in batches:
@@ -202,29 +211,27 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, id_col: str = "d
                     held += len(parts[-1]) // 4
                     if held >= segment_ids:
                         yield segment()
-                        ids, parts, held, number = [], [], 0, number + 1
+                        ids, parts, held, number, before = [], [], 0, number + 1, before + held
         if ids:
             yield segment()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(id_col).cast("string").alias("_key"), F.col(text_col).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     spread = rows.repartitionByRange(partitions(docs.sparkSession), "_id", "_row").sortWithinPartitions("_id", "_row").select("_key", "_text")
-    spread.mapInPandas(run, f"shard int, segment int, n_ids long, n_null int, ids array<{kind}>, lengths array<int>, words binary").write.parquet(out_dir)
+    spread.mapInPandas(run, f"shard int, segment int, before long, n_ids long, n_null int, ids array<{kind}>, lengths array<int>, words binary").write.parquet(out_dir)
 
 
 def read_token_files(spark, out_dir: str, digest: bool = False) -> DataFrame:
     """(id, start, n_tokens, token_ids) of every document in the files; with `digest`, ids_crc32 in place of the ids.
 
-    `start` counts the ids of all documents before: sums per shard, then per segment, then inside a segment, so no task sees
-    more than one shard's segment list.
+    `start` counts the ids of all documents before: sums over the shards, of which there are as many as the files were written
+    by tasks, then what each segment tells of its shard, then inside the segment. Segments are read where they lie, without a shuffle.
     """
     files = spark.read.parquet(out_dir)
     kind = files.schema["ids"].dataType.elementType.simpleString()
     sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     before = sizes.select("shard", (F.sum("n").over(Window.orderBy("shard")) - F.col("n")).alias("shard_start"))
-    index = files.select("shard", "segment", "n_ids")
-    starts = index.select("shard", "segment", (F.sum("n_ids").over(Window.partitionBy("shard").orderBy("segment")) - F.col("n_ids")).alias("inside"))
-    starts = starts.join(F.broadcast(before), "shard").select("shard", "segment", (F.col("inside") + F.col("shard_start")).alias("first"))
-    rows = files.select("shard", "segment", "n_null", "ids", "lengths", "words").join(starts, ["shard", "segment"]).select("first", "n_null", "ids", "lengths", "words")
+    rows = files.select("shard", "before", "n_null", "ids", "lengths", "words").join(F.broadcast(before), "shard")
+    rows = rows.select((F.col("before") + F.col("shard_start")).alias("first"), "n_null", "ids", "lengths", "words")
 
     def run(batches):
         import zlib
