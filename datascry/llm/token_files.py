@@ -23,8 +23,9 @@ BLOCK = 256
 def pack(ids) -> bytes:
     """Unsigned 64-bit ids as one segment: head (magic, block size, ids, blocks), word offset of each block, words.
 
-    Every block of 256 ids starts a new word, so blocks are independent: all blocks are packed side by side, one word of
-    each in a step. A word takes the most ids that its width allows; the rest of a block's last word is zero.
+    Every block of 256 ids starts a new word, so blocks are independent: the places where words begin are found for all blocks
+    side by side, then the words are filled by selector. A word takes the most ids that its width allows; the rest of a
+    block's last word is zero.
     """
     import numpy as np
     ids = np.asarray(ids, dtype=np.uint64)
@@ -36,42 +37,43 @@ def pack(ids) -> bytes:
         whole[:n] = ids
         padded[:, :BLOCK] = whole.reshape(blocks, BLOCK)
         lengths[-1] = n - (blocks - 1) * BLOCK
+    # the first selector wide enough for each id (ESCAPE - 1: none), and its maximum over runs of ids, longer ones from shorter
+    narrow = padded.astype(np.uint32) if n and ids.max() < 1 << 32 else padded
+    needs = {1: np.zeros(padded.shape, np.uint8)}
+    for width in WIDTHS:
+        if 1 << width <= np.iinfo(narrow.dtype).max:
+            needs[1] += narrow >= narrow.dtype.type(1 << width)
+    for count in COUNTS[-2::-1]:
+        half = -(-count // 2)
+        size = BLOCK + 65 - count
+        needs[count] = np.maximum(needs[half][:, :size], needs[half][:, count - half:count - half + size])
     # the selector that a word starting at each place would take: the first whose ids all fit, from many ids to one
-    choice = np.full((blocks, BLOCK), ESCAPE, dtype=np.int64)
+    choice = np.full((blocks, BLOCK), ESCAPE, dtype=np.uint8)
     for selector in range(len(COUNTS) - 1, -1, -1):
-        count, limit = COUNTS[selector], np.uint64(1 << WIDTHS[selector])
-        wide = np.zeros((blocks, BLOCK + 65), dtype=np.int32)
-        np.cumsum(padded >= limit, axis=1, out=wide[:, 1:])
-        fits = wide[:, count:count + BLOCK] == wide[:, :BLOCK]
-        choice[fits] = selector
-    counts = np.array(COUNTS + [0, 1])
-    at, words, owners = np.zeros(blocks, dtype=np.int64), [], []
-    live = np.arange(blocks)
+        np.putmask(choice, needs[COUNTS[selector]][:, :BLOCK] <= selector, np.uint8(selector))
+    steps = np.array(COUNTS + [0, 1])
+    begins = np.zeros((blocks, BLOCK), dtype=bool)
+    at, live = np.zeros(blocks, dtype=np.int64), np.arange(blocks)
     while len(live):
-        here = at[live]
-        chosen = choice[live, here]
-        word = chosen.astype(np.uint64) << np.uint64(60)
-        raw = np.zeros(len(live), dtype=np.uint64)
-        for selector in np.unique(chosen):
-            mine = np.nonzero(chosen == selector)[0]
-            if selector == ESCAPE:
-                raw[mine] = padded[live[mine], here[mine]]
-                continue
-            places = here[mine][:, None] + np.arange(COUNTS[selector])
-            shifts = (np.arange(COUNTS[selector]) * WIDTHS[selector]).astype(np.uint64)
-            word[mine] |= np.bitwise_or.reduce(padded[live[mine][:, None], places] << shifts, axis=1)
-        words.append(word)
-        owners.append(live)
-        if (chosen == ESCAPE).any():
-            words.append(raw[chosen == ESCAPE])
-            owners.append(live[chosen == ESCAPE])
-        at[live] += counts[chosen]
+        begins[live, at[live]] = True
+        at[live] += steps[choice[live, at[live]]]
         live = live[at[live] < lengths[live]]
-    flat = np.concatenate(words) if words else np.zeros(0, dtype=np.uint64)
-    owner = np.concatenate(owners) if owners else np.zeros(0, dtype=np.int64)
+    owner, place = np.nonzero(begins)
+    chosen = choice[owner, place]
+    ends = np.cumsum(1 + (chosen == ESCAPE))
+    words = chosen.astype(np.uint64) << np.uint64(60)
+    flat = np.zeros(ends[-1] if len(ends) else 0, dtype=np.uint64)
+    for selector in np.unique(chosen).tolist():
+        mine = np.flatnonzero(chosen == selector)
+        if selector == ESCAPE:
+            flat[ends[mine] - 1] = padded[owner[mine], place[mine]]
+            continue
+        first = owner[mine] * padded.shape[1] + place[mine]
+        for k in range(COUNTS[selector]):
+            words[mine] |= padded.ravel()[first + k] << np.uint64(k * WIDTHS[selector])
+    flat[ends - 1 - (chosen == ESCAPE)] = words
     offsets = np.zeros(blocks + 1, dtype="<u4")
-    offsets[1:] = np.cumsum(np.bincount(owner, minlength=blocks))
-    flat = flat[np.argsort(owner, kind="stable")]
+    offsets[1:] = np.cumsum(np.bincount(owner, weights=1 + (chosen == ESCAPE), minlength=blocks)) if blocks else 0
     return struct.pack("<4sIQI", MAGIC, BLOCK, n, blocks) + offsets.tobytes() + flat.astype("<u8").tobytes()
 
 
@@ -125,7 +127,6 @@ def chunk_encoder(path: str, kept: int = 600_000):
     """
     import os
     import re
-    from itertools import chain
 
     import numpy as np
     from tokenizers import Tokenizer
@@ -137,40 +138,50 @@ def chunk_encoder(path: str, kept: int = 600_000):
         sizes[number] = len(token)  # a byte-level vocabulary spells each byte as one letter
     plain, other = re.compile("[ \\n]*[^ \\n]+|[ \\n]+"), re.compile(f"[{OTHER_SPACE}]")
     cut = re.compile(f"(?<=[^ \\n{OTHER_SPACE}])(?=[ \\n])")
-    known: dict[str, bytes] = {}
+    new: list[str] = []
+
+    class Chunks(dict):
+        def __missing__(self, chunk):  # an empty place, filled when the new chunks are encoded
+            new.append(chunk)
+            place = self[chunk] = bytearray()
+            return place
+
+    known = Chunks()
+
+    def fill(chunks, ids):
+        ids = list(ids)
+        for place, found in zip(map(known.__getitem__, chunks), ids):
+            place.extend(found)
+        known.update(zip(chunks, ids))
 
-    def learn(missing):
-        rows = [x for x in missing if x[:1] in (" ", "\n") and not x[-1:].isspace()]  # may stand side by side
-        alone = list(set(missing).difference(rows))
+    def learn():
+        rows = [x for x in new if x[:1] in (" ", "\n") and not x[-1].isspace()]  # may stand side by side
+        alone = list(set(new).difference(rows)) if len(rows) < len(new) else []
+        new.clear()
         for start in range(0, len(alone), 1000):
             part = alone[start:start + 1000]
-            known.update(zip(part, (np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast(part, add_special_tokens=False))))
+            fill(part, (np.array(x.ids, np.uint32).tobytes() for x in tokenizer.encode_batch_fast(part, add_special_tokens=False)))
         for start in range(0, len(rows), 2000):
             part = rows[start:start + 2000]
-            ids = np.array(tokenizer.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum([len(x.encode()) for x in part])) + 1
-            flat, first = ids.tobytes(), 0
-            for chunk, end in zip(part, (4 * ends).tolist()):
-                known[chunk] = flat[first:end]
-                first = end
+            joined = "".join(part)
+            ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, np.uint32)
+            widths = list(map(len, part)) if joined.isascii() else [len(x) if x.isascii() else len(x.encode()) for x in part]
+            ends = (4 * np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(widths)) + 4).tolist()
+            flat = ids.tobytes()
+            fill(part, map(flat.__getitem__, map(slice, [0, *ends], ends)))
 
     def chunks_of(text):
-        if other.search(text):
+        if not text.replace("\n", "").isprintable() and other.search(text):  # no character of other is printable
             return cut.split(text)
         if "\0" in text or any(x in text for x in ("  ", "\n\n", " \n", "\n ")):
             return plain.findall(text)
-        return [x for x in text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") if x]  # single blanks: each starts a chunk
+        return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")  # single blanks: each starts a chunk
 
     def encode(texts):
-        chunks = [chunks_of(x) for x in texts]
-        found = [list(map(known.get, x)) for x in chunks]
-        missing = {c for x, y in zip(chunks, found) if None in y for c, ids in zip(x, y) if ids is None}
-        if missing:
-            if len(known) + len(missing) > kept:
-                known.clear()
-                missing = set(chain.from_iterable(chunks))
-            learn(missing)
-            found = [list(map(known.get, x)) if None in y else y for x, y in zip(chunks, found)]
+        if len(known) > kept:
+            known.clear()
+        found = [list(map(known.__getitem__, chunks_of(x))) for x in texts]
+        learn()
         return [b"".join(x) for x in found]
 
     return encode
@@ -204,8 +215,8 @@ def write_token_files(docs: DataFrame, out_dir: str, path: str, id_col: str = "d
 
         for batch in batches:
             texts, keys = batch["_text"].tolist(), batch["_key"].tolist()
-            for start in range(0, len(texts), 128):
-                for key, found in zip(keys[start:start + 128], encode([x or "" for x in texts[start:start + 128]])):
+            for start in range(0, len(texts), 512):
+                for key, found in zip(keys[start:start + 512], encode([x or "" for x in texts[start:start + 512]])):
                     ids.append(None if key is None else value(key))
                     parts.append(found + tail)
                     held += len(parts[-1]) // 4
