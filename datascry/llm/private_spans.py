@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datascry.llm.base import named
+from datascry.llm.char_crf import best_paths, symbols, train
 
 #: Fixed by the task, in this order.
 KINDS = ["email", "ip", "card", "phone"]
@@ -79,8 +80,6 @@ def windows_of(text: str, finder):
 
 def coded(text: str, start: int):
     import numpy as np
-
-    from datascry.llm.char_crf import symbols
     part = symbols(text[start:start + WINDOW])
     return np.concatenate([part, np.full(WINDOW - len(part), 130)])
 
@@ -207,7 +206,6 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Null and empty texts have no spans; texts of any length are read whole, at most 512 windows at a time; a table without any
     match trains on made data alone; repeated rows return as they stand; a null id stays null; other columns are ignored.
     """
-    from datascry.llm.char_crf import train
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).cast("string").alias("_id"), F.col(text_col).alias("_text"))
     likely = rows.where(F.col("_text").rlike("@[A-Za-z0-9-]+\\.|[0-9]\\.[0-9]+\\.[0-9]+\\.|[0-9]{6}|\\+[0-9]")).select(F.xxhash64("_id", "_text").alias("h"), F.col("_text"))
@@ -220,8 +218,6 @@ def private_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def run(batches):
         import numpy as np
         import pandas as pd
-
-        from datascry.llm.char_crf import best_paths
         finder, p = re.compile(TRIGGER), sent.value
         for batch in batches:
             texts = [x or "" for x in batch["_text"].tolist()]
