@@ -208,6 +208,21 @@ def test_quality_keeps_clean_and_rejects_noise(spark):
     assert quality(empty(table), labels).count() == 0
 
 
+def test_quality_rejects_repetition_and_light_junk(spark):
+    from datascry.llm.ngram_quality import quality
+    rng = random.Random(2)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    rows = [(k, " ".join(rng.choices(words, k=rng.randint(3, 200))), "en") for k in range(300)]
+    rows += [(1000 + k, " ".join(w for w in rng.choices(words, k=8) for _ in range(25)), "en") for k in range(10)]  # letters as usual, words repeat
+    rows += [(2000 + k, "".join(w + rng.choice(" | ") for w in rng.choices(words, k=120)).replace(" ", " | "), "en") for k in range(10)]  # a menu
+    labels = spark.createDataFrame([(k, 1) for k in range(0, 300, 2)], "doc_id long, quality int")
+    got = {r.doc_id: r for r in quality(spark.createDataFrame(rows, "doc_id long, text string, lang string"), labels).collect()}
+    assert not any(got[k].kept for k in [*range(1000, 1010), *range(2000, 2010)])
+    assert sum(not got[k].kept for k in range(1, 300, 2)) <= 5  # clean texts without a label
+    for r in got.values():
+        assert r.kept == (r.low_limit <= r.perplexity <= r.high_limit and (r.repeated is None or r.repeated <= r.repeated_limit))
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("slice_bytes", [1 << 20, 400])
