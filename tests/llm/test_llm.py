@@ -223,6 +223,20 @@ def test_quality_rejects_repetition_and_light_junk(spark):
         assert r.kept == (r.low_limit <= r.perplexity <= r.high_limit and (r.repeated is None or r.repeated <= r.repeated_limit))
 
 
+def test_quality_rejects_toxic_texts(spark):
+    from datascry.llm.ngram_quality import quality
+    rng = random.Random(3)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 6))) for _ in range(400)]
+    insults = [w + "ish" for w in words[:10]]
+    say = lambda bad: " ".join(rng.choice(insults) if rng.random() < bad else rng.choice(words) for _ in range(rng.randint(40, 200)))
+    rows = [(k, say(0), "en") for k in range(200)] + [(1000 + k, say(0.06), "en") for k in range(60)]
+    labels = [(k, 1, 0) for k in range(0, 200, 2)] + [(1000 + k, 1, 1) for k in range(0, 60, 2)] + [(1000, 1, 0)]  # one contradicts
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.kept for r in quality(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert sum(got[k] for k in range(1001, 1060, 2)) <= 1  # toxic texts without a label
+    assert sum(not got[k] for k in range(1, 200, 2)) <= 4
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("slice_bytes", [1 << 20, 400])
