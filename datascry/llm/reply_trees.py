@@ -73,7 +73,7 @@ def format_trees(messages: DataFrame, tree_col: str = "conv_id", node_col: str =
     turn, in code points. `parse_turns` and `loss_text` read them back.
 
     Null texts and roles are empty, null scores zero. A parent that is null or not in its tree makes a root. Where a node's key is repeated in a
-    tree, one row stays, that with the least (parent, role, text, score). Messages on or below a cycle of parents are on no path from a root
+    tree, one row stays, that with the least (parent, role, digest of the text, score). Messages on or below a cycle of parents are on no path from a root
     and left out. A null tree is a tree. Texts of any length are handled whole; one conversation is one string, as long as Spark's
     strings may be. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
@@ -81,8 +81,9 @@ def format_trees(messages: DataFrame, tree_col: str = "conv_id", node_col: str =
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
     rows = messages.select(F.col(tree_col).alias("tree"), F.col(node_col).alias("node"), F.col(parent_col).cast(kinds[node_col]).alias("parent"),
                            F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"), score.alias("worth"))
-    rows = rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "role", "text", "worth")).alias("m")).select("tree", "node", "m.*")
-    rows = written(rows.withColumn("rid", F.monotonically_increasing_id()), "messages")
+    texts = written(rows.withColumn("rid", F.monotonically_increasing_id()), "messages")  # from here on numbers travel, texts only at the end
+    least = F.min(F.struct("parent", "role", F.sha2("text", 256).alias("digest"), "worth", "rid")).alias("m")
+    rows = written(texts.groupBy("tree", "node").agg(least).select("tree", "node", "m.parent", "m.worth", "m.rid"), "message-keys")
     above = rows.where("node is not null").select(F.col("tree").alias("a_tree"), F.col("node").alias("a_node"), F.col("rid").alias("a_rid"))
     asking = rows.where("parent is not null").select("rid", "tree", "parent")
     found = asking.join(above, F.col("tree").eqNullSafe(F.col("a_tree")) & (F.col("parent") == F.col("a_node"))).select("rid", F.col("a_rid").alias("up"))
@@ -96,7 +97,7 @@ def format_trees(messages: DataFrame, tree_col: str = "conv_id", node_col: str =
     ranked = written(ranked.select(F.col("rid").alias("leaf"), "tree", "depth", "branch", F.col("total").alias("score")), "branches")
     placed = chosen_paths(ranked.select(F.col("leaf").alias("rid"), "depth"), jumps)
     role_size = F.length(escaped_role(F.col("role"))) + len(OPEN) + len(NAMED)
-    turns = placed.join(rows.select("rid", turn_text(F.col("role"), F.col("text")).alias("turn"), (F.col("role") == learned_role).alias("learned"), role_size.alias("start")), "rid")
+    turns = placed.join(texts.select("rid", turn_text(F.col("role"), F.col("text")).alias("turn"), (F.col("role") == learned_role).alias("learned"), role_size.alias("start")), "rid")
     whole = turns.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("depth", "turn", "learned", "start"))).alias("turns"))
     mask = F.filter(F.transform("turns", lambda t, i: F.struct(i.alias("turn"), t["start"].alias("start"), (F.length(t["turn"]) - len(CLOSE)).alias("end"), t["learned"].alias("learned"))),
                     lambda m: m["learned"])
