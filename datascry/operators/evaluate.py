@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from datascry.operators.ordered import running_totals
 from datascry.operators.sampling import sample_n
 
-# Ranges of score values whose running counts are taken side by side.
-SCORE_RANGES = 512
 CURVE_POINTS = 100
 
 
@@ -62,27 +61,14 @@ def evaluate_split(scored: DataFrame, y: str, p: str = "prediction", split: str
 def _cumulative(scored: DataFrame, label: str, score: str) -> DataFrame:
     """True and false positives from the highest score down, per different score; NaN and null scores are left out.
 
-    Counts run inside ranges of scores first and over the ranges then, so no task sees all scores.
+    Scores are counted first and lie in ranges; ranges are added up once, running sums stay inside a range.
     """
     value, positive = F.col(score).cast("double"), F.col(label) == 1
-    counts = scored.filter(value.isNotNull() & ~F.isnan(value)).groupBy(value.alias("threshold")).agg(
+    counts = scored.filter(value.isNotNull() & ~F.isnan(value)).groupBy((-value).alias("down")).agg(
         F.count(F.when(positive, 1)).alias("pos"), F.count(F.when(~positive, 1)).alias("neg"))
-    shares = [i / SCORE_RANGES for i in range(1, SCORE_RANGES)]
-    cuts = counts.agg(F.array_distinct(F.percentile_approx("threshold", shares, SCORE_RANGES * 10))).first()[0] or []
-    part = F.size(F.filter(F.lit(cuts).cast("array<double>"), lambda c: c <= F.col("threshold"))) if cuts else F.lit(0)
-    parts = counts.withColumn("part", part)
-    sums = parts.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.count("*").alias("n")).orderBy(F.desc("part")).collect()
-    starts, tp, fp, at = [], 0, 0, 0
-    for row in sums:
-        starts.append((row["part"], tp, fp, at))
-        tp, fp, at = tp + row["pos"], fp + row["neg"], at + row["n"]
-    table = scored.sparkSession.createDataFrame(starts, "part int, tp0 long, fp0 long, at0 long")
-    w = Window.partitionBy("part").orderBy(F.desc("threshold"))
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    return parts.join(F.broadcast(table), "part").select(
-        "threshold", "pos", "neg", (F.col("at0") + F.row_number().over(w)).alias("at"), F.lit(at).alias("points"),
-        (F.col("tp0") + F.sum("pos").over(upto)).alias("tp"), (F.col("fp0") + F.sum("neg").over(upto)).alias("fp"),
-        F.lit(tp).cast("long").alias("all_pos"), F.lit(fp).cast("long").alias("all_neg"))
+    told = running_totals(counts, [], ["down"], {"tp": "pos", "fp": "neg", "at": F.lit(1)})
+    return told.select((-F.col("down")).alias("threshold"), "pos", "neg", "at", F.col("at_all").alias("points"), "tp", "fp",
+                       F.col("tp_all").alias("all_pos"), F.col("fp_all").alias("all_neg"))
 
 
 def _thin(points: DataFrame) -> DataFrame:

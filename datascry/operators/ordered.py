@@ -1,29 +1,25 @@
 """Ordered operators over one or many series, without giving any task a whole hot series.
 
 A key whose rows are few enough (checked with a pre-aggregated count) takes an ordinary window per key.
-Beyond that limit rows are numbered exactly through value ranges of the order column, and window functions
+Beyond that limit rows are numbered exactly through range partitions of the whole order, and window functions
 run over blocks of consecutive row numbers; rows near a block's edge are repeated into the neighbour block.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from datascry.functions.scalars import NUMERIC, TEMPORAL, micros
 from datascry.operators.keys import attach
+from datascry.session import stored
 
 HOT_ROWS = 2_000_000
-MAX_RANGES = 1024
 
 RN = "__rn"
 BLOCK = "__block"
 RANGE = "__range"
-TIE = "__tie"
 HOME = "__home"
 
 
@@ -34,37 +30,38 @@ def largest_group(df: DataFrame, key: list[str]) -> int:
     return df.groupBy(*key).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
 
 
-def sort_number(c: str, dtype: T.DataType) -> Column:
-    """A number that never falls while the column rises, used only to cut ranges."""
-    if isinstance(dtype, NUMERIC):
-        return F.col(c).cast("double")
-    if isinstance(dtype, TEMPORAL):
-        return micros(c, dtype).cast("double")
-    if isinstance(dtype, T.StringType):
-        head = F.rpad(F.substring(F.hex(F.encode(F.col(c), "utf-8")), 1, 12), 12, "0")
-        return F.conv(head, 16, 10).cast("double")
-    raise ValueError(f"cannot order series by {dtype.simpleString()}")
+def in_ranges(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
+    """`df` with its range partition number in RANGE: rows of a group are split by their whole order, so no hot group stays in one task.
+
+    The number of ranges is that of shuffle partitions, and the table is stored, so that sizes and rows are counted on the same ranges.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return stored(df.repartitionByRange(n, *group, *order).withColumn(RANGE, F.spark_partition_id()), "in-ranges")
 
 
-def range_index(x: Column, bounds: list[float]) -> Column:
-    """How many bounds are <= x. Two levels keep the comparisons per row near twice the square root."""
-    if not bounds:
-        return F.lit(0)
-    step = max(1, math.isqrt(len(bounds)))
-    coarse = F.lit([float(b) for b in bounds[::step]])
-    fine = [[float(b) for b in bounds[i:i + step]] for i in range(0, len(bounds), step)]
-    level = F.size(F.filter(coarse, lambda b: b <= x))
-    inner = F.try_element_at(F.array(*[F.lit(part) for part in fine]), F.when(level > 0, level).otherwise(1))
-    return F.when(level == 0, 0).otherwise((level - 1) * step + F.size(F.filter(inner, lambda b: b <= x)))
+def starts_of(ranges: DataFrame, group: list[str], sums: dict[str, Column]) -> DataFrame:
+    """Per group and range: each sum over the ranges before it, and <name>_all over the whole group.
 
+    Without a group that is one row per range.
+    """
+    sizes = ranges.groupBy(*group, RANGE).agg(*[v.alias(n) for n, v in sums.items()])
+    every = Window.partitionBy(*group)
+    before = every.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    return sizes.select(*group, RANGE, *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums], *[F.sum(n).over(every).alias(f"{n}_all") for n in sums])
 
-def range_bounds(df: DataFrame, x: Column, ranges: int) -> list[float]:
-    """Cut points that split the column into ranges of about equal row counts; a heavy value appears repeatedly."""
-    if ranges < 2:
-        return []
-    shares = [i / ranges for i in range(1, ranges)]
-    found = df.agg(F.percentile_approx(x, shares, ranges * 10)).first()[0]
-    return [b for b in (found or []) if b is not None]
+
+def running_totals(df: DataFrame, group: list[str], order: list[str], values: dict[str, Column | str]) -> DataFrame:
+    """`df` with <name> = sum of the value over the group's rows up to this one, and <name>_all over the group.
+
+    Rows go to ranges of the order; totals of whole ranges are added up once, and running sums stay inside a range.
+    """
+    values = {n: F.col(v) if isinstance(v, str) else v for n, v in values.items()}
+    ranges = in_ranges(df, group, order)
+    starts = starts_of(ranges, group, {n: F.sum(v) for n, v in values.items()}).withColumnsRenamed({n: f"__{n}" for n in values})
+    upto = Window.partitionBy(*group, RANGE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    local = ranges.withColumns({f"__to_{n}": F.sum(v).over(upto) for n, v in values.items()})
+    joined = attach(local, starts, group + [RANGE], "inner")
+    return joined.select(*[c for c in df.columns if c not in values], *[(F.col(f"__{n}") + F.col(f"__to_{n}")).alias(n) for n in values], *[f"{n}_all" for n in values])
 
 
 class Sequence:
@@ -89,27 +86,10 @@ class Sequence:
         """Exact 1-based position of every row in its series."""
         if not self.hot:
             return self.df.withColumn(name, F.row_number().over(self._window()).cast("long"))
-        total = self.df.count()
-        ranges = min(MAX_RANGES, max(2, math.ceil(total / max(1, self.limit // 4))))
-        first = sort_number(self.order[0], self.df.schema[self.order[0]].dataType)
-        bounds = range_bounds(self.df, first, ranges)
-        heavy = sorted({b for b, after in zip(bounds, bounds[1:]) if b == after})
-        cuts = sorted(set(bounds))
-        split = {RANGE: F.coalesce(range_index(first, cuts), F.lit(-1))}
-        if heavy and len(self.order) > 1:
-            second = sort_number(self.order[1], self.df.schema[self.order[1]].dataType)
-            among = self.df.filter(first.isin(heavy))
-            ties = sorted(set(range_bounds(among, second, ranges)))
-            split[TIE] = F.when(first.isin(heavy), F.coalesce(range_index(second, ties), F.lit(-1))).otherwise(len(ties) + 1)
-        else:
-            split[TIE] = F.lit(0)
-        parts = self.df.withColumns(split)
-        group = self.key + [RANGE, TIE]
-        sizes = parts.groupBy(*group).agg(F.count("*").alias("__n"))
-        before = Window.partitionBy(*self.key).orderBy(RANGE, TIE).rowsBetween(Window.unboundedPreceding, -1)
-        starts = sizes.select(*group, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-        local = parts.withColumn("__local", F.row_number().over(Window.partitionBy(*group).orderBy(*self.order)))
-        joined = attach(local, starts, group)
+        parts = in_ranges(self.df, self.key, self.order)
+        starts = starts_of(parts, self.key, {"__start": F.count("*")})
+        local = parts.withColumn("__local", F.row_number().over(Window.partitionBy(*self.key, RANGE).orderBy(*self.order)))
+        joined = attach(local, starts, self.key + [RANGE])
         return joined.select(*self.df.columns, (F.col("__start") + F.col("__local")).alias(name))
 
     def _blocks(self, before: int, after: int) -> DataFrame:

@@ -3,30 +3,27 @@
 from __future__ import annotations
 
 import math
-from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from datascry.operators.keys import attach
-from datascry.operators.ordered import largest_group
+from datascry.operators.ordered import largest_group, running_totals
 
-# Values one exact-percentile buffer may hold; larger groups are ranked through value ranges.
-BUFFER_ROWS = 2_000_000
+# Rows of a group up to which percentile buffers are used, and rows within open digits up to which their values are counted one by one.
+BUFFER_ROWS = 250_000
 # Rows of a whole table up to which buffers are faster than two more passes.
 TABLE_ROWS = 100_000
-# Half width of the first bracket around a rank, and the accuracy of the sketches that find it.
-BRACKET = 0.002
-SKETCH = 2_000
-VALUE_RANGES = 512
+# Bits of the first digit (sign, exponent and four bits of the fraction: few values occur) and of the later ones.
+FIRST_BITS, NEXT_BITS = 16, 12
+TOP = 1 << 63
 
 
 def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str] | None = None, exact: bool = True,
               limit: int | None = None) -> DataFrame:
     """One row per group and column: (by..., column, n, q) with `q` an array aligned to `probs`.
 
-    Exact results come from percentile buffers while every group is known to be small, from narrowing brackets over
-    a whole table, and from ranked value counts for large groups.
+    Exact results come from percentile buffers while every group is known to be small, from radix selection over
+    a whole table, and from running counts of distinct values for large groups.
     """
     by = list(by or [])
     limit = (BUFFER_ROWS if by else TABLE_ROWS) if limit is None else limit
@@ -34,7 +31,7 @@ def quantiles(df: DataFrame, cols: list[str], probs: list[float], by: list[str]
         return _one_pass(df, cols, by, lambda c: F.percentile_approx(c, probs, 10_000))
     if largest_group(df.select(*by, *cols), by) <= limit:
         return _one_pass(df, cols, by, lambda c: F.percentile(c, F.array(*[F.lit(p) for p in probs])))
-    return _ranked(df, cols, probs, by) if by else _bracketed(df, cols, probs)
+    return _ranked(df, cols, probs, by) if by else _selected(df, cols, probs)
 
 
 def _number(c: str):
@@ -43,56 +40,93 @@ def _number(c: str):
     return F.when(~F.isnan(x), x)
 
 
-def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
-    """Each target rank is enclosed between two values until few rows lie between them.
-
-    A round takes two values near the rank from a sketch of the rows inside and counts the rows below and at each. The rank
-    is then at one of the two, which settles it, or strictly on one side of each: every round either settles a rank or takes
-    at least one value out of its open interval, so it ends on any data, and a round usually leaves 2 * BRACKET of the rows.
-    Every round is one aggregate over the table with a bounded result; nothing is shuffled by value.
+def order_code(x):
+    """Whole numbers of 64 bits in the order of the doubles; -0.0 counts as 0.0."""
+    import numpy as np
+    bits = (np.asarray(x, np.float64) + 0.0).view(np.uint64)
+    return np.where(bits >= TOP, ~bits, bits | np.uint64(TOP))
+
+
+def from_code(code: int) -> float:
+    import struct
+    return struct.unpack("<d", struct.pack("<Q", code - TOP if code >= TOP else ~code & (2 * TOP - 1)))[0]
+
+
+def _digit_counts(df: DataFrame, x: dict, jobs: list[tuple], done: int, bits: int) -> DataFrame:
+    """(job, digit, n, low, high): how often each next digit occurs among the values whose first `done` bits are the job's, and the
+    least and largest code with it (as signed numbers). jobs: (column, prefix)."""
+    cols = list(dict.fromkeys(c for c, _ in jobs))
+    wanted = [[(j, prefix) for j, (c, prefix) in enumerate(jobs) if c == name] for name in cols]
+
+    def count(batches):
+        import numpy as np
+        import pandas as pd
+        held: dict[int, list] = {}
+
+        def merged(parts):
+            digits, n, low, high = (np.concatenate(p) for p in zip(*parts))
+            turn = np.argsort(digits, kind="stable")
+            digits = digits[turn]
+            starts = np.flatnonzero(np.concatenate([[True], digits[1:] != digits[:-1]]))
+            return digits[starts], np.add.reduceat(n[turn], starts), np.minimum.reduceat(low[turn], starts), np.maximum.reduceat(high[turn], starts)
+
+        for batch in batches:
+            for k, asked in enumerate(wanted):
+                values = batch.iloc[:, k].to_numpy(np.float64)
+                code = order_code(np.sort(values[~np.isnan(values)]))
+                for j, prefix in asked:
+                    low, high = prefix << 64 - done, (prefix + 1 << 64 - done) - 1
+                    inside = code[np.searchsorted(code, np.uint64(low), "left"):np.searchsorted(code, np.uint64(high), "right")]
+                    if len(inside):
+                        digit = ((inside >> np.uint64(64 - done - bits)) & np.uint64((1 << bits) - 1)).astype(np.int64)
+                        starts = np.flatnonzero(np.concatenate([[True], digit[1:] != digit[:-1]]))
+                        signed, stops = (inside ^ np.uint64(TOP)).view(np.int64), np.concatenate([starts[1:], [len(digit)]])
+                        parts = held.setdefault(j, [])
+                        parts.append((digit[starts], stops - starts, signed[starts], signed[stops - 1]))
+                        if len(parts) >= 64:
+                            held[j] = [merged(parts)]
+        for j, parts in held.items():
+            digits, n, low, high = merged(parts)
+            yield pd.DataFrame({"job": j, "digit": digits, "n": n, "low": low, "high": high})
+
+    counted = df.select(*[x[c].alias(f"x{k}") for k, c in enumerate(cols)]).mapInPandas(count, "job int, digit long, n long, low long, high long")
+    return counted.groupBy("job", "digit").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
+
+
+def _selected(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
+    """Radix selection: digit by digit of an order-preserving code, the digit that holds each wanted rank.
+
+    A round counts the next digit of all columns and ranks in one aggregate; counts are formed inside the tasks, and the driver
+    gets one row per rank. The first digit has 16 bits, the others 12, so five rounds settle any data. A digit that holds a single
+    value settles its ranks at once; when no more than BUFFER_ROWS values are left inside the open digits, the rest of the code is one
+    digit and the round is the last. No column is gathered or sorted as a whole.
     """
     x = {c: _number(c) for c in cols}
     first = df.agg(*[F.count(x[c]).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     total = {c: first[f"n{i}"] for i, c in enumerate(cols)}
     ranks = {(c, k): (math.floor(p * (total[c] - 1)), math.ceil(p * (total[c] - 1))) for c in cols if total[c] for k, p in enumerate(probs)}
-    jobs = {(c, r): (None, None, 0, total[c]) for (c, _), pair in ranks.items() for r in pair}  # above, below, rows up to above, rows inside
-    values: dict = {}
-
-    def inside(c, low, high):
-        held = [x[c].isNotNull()] + ([x[c] > F.lit(low)] if low is not None else []) + ([x[c] < F.lit(high)] if high is not None else [])
-        return reduce(lambda a, b: a & b, held)
-
-    while jobs:
-        ready = [j for j in jobs if jobs[j][3] <= BUFFER_ROWS]
-        if ready:
-            # The middle of a rank's step names that rank without rounding. Only rows near some target reach the buffers.
-            wide = df.select(*[F.when(inside(c, *jobs[(c, r)][:2]), x[c]).alias(f"v{j}") for j, (c, r) in enumerate(ready)])
-            some = reduce(lambda a, b: a | b, [F.col(f"v{j}").isNotNull() for j in range(len(ready))])
-            found = wide.filter(some).agg(*[F.expr(f"percentile_disc({(r - jobs[(c, r)][2] + 0.5) / jobs[(c, r)][3]!r}D) within group (order by v{j})").alias(f"v{j}")
-                                            for j, (c, r) in enumerate(ready)]).first()
-            for j, job in enumerate(ready):
-                values[job] = found[f"v{j}"]
-                del jobs[job]
-            continue
-        order = list(jobs)
-        shares = {j: [min(1.0, max(0.0, (j[1] + 0.5 - jobs[j][2]) / jobs[j][3] + d)) for d in (-BRACKET, BRACKET)] for j in order}
-        row = df.agg(*[F.percentile_approx(F.when(inside(j[0], *jobs[j][:2]), x[j[0]]), shares[j], SKETCH).alias(f"s{i}") for i, j in enumerate(order)]).first()
-        near = {j: (min(row[f"s{i}"]), max(row[f"s{i}"])) for i, j in enumerate(order)}
-        counted = df.agg(*[F.count(F.when(inside(c, *jobs[(c, r)][:2]) & test, 1)).alias(f"c{i}_{k}") for i, (c, r) in enumerate(order)
-                           for k, test in enumerate((x[c] < F.lit(near[(c, r)][0]), x[c] <= F.lit(near[(c, r)][0]), x[c] < F.lit(near[(c, r)][1]), x[c] <= F.lit(near[(c, r)][1])))]).first()
-        for i, job in enumerate(order):
-            low, high, under, held = jobs[job]
-            (a, b), (to_a, with_a, to_b, with_b) = near[job], [counted[f"c{i}_{k}"] for k in range(4)]
-            at = job[1] - under
-            if to_a <= at < with_a or to_b <= at < with_b:
-                values[job] = a if at < with_a else b
-                del jobs[job]
-            elif at < to_a:
-                jobs[job] = (low, a, under, to_a)
-            elif at < to_b:
-                jobs[job] = (a, b, under + with_a, to_b - with_a)
-            else:
-                jobs[job] = (b, high, under + with_b, held - with_b)
+    spark = df.sparkSession
+    # (column, first bits of the code) -> (rows below, rows inside, ranks inside)
+    open_ = {(c, 0): (0, total[c], {r for (name, _), pair in ranks.items() if name == c for r in pair}) for c in cols if total[c]}
+    done, values = 0, {}
+    while open_:  # a whole code is a single value
+        jobs = list(open_)
+        bits = FIRST_BITS if not done else min(NEXT_BITS, 64 - done)
+        if done and sum(held for _, held, _ in open_.values()) <= BUFFER_ROWS:
+            bits = 64 - done
+        asked = spark.createDataFrame([(j, r - open_[job][0]) for j, job in enumerate(jobs) for r in sorted(open_[job][2])], "job int, at long")
+        upto = Window.partitionBy("job").orderBy("digit").rowsBetween(Window.unboundedPreceding, 0)
+        counts = _digit_counts(df, x, jobs, done, bits).withColumn("upto", F.sum("n").over(upto))
+        found = counts.join(F.broadcast(asked), "job").filter("upto - n <= at and at < upto").collect()
+        further: dict = {}
+        for row in found:
+            (c, prefix), (below, _, _) = jobs[row["job"]], open_[jobs[row["job"]]]
+            if row["low"] == row["high"]:
+                values[(c, below + row["at"])] = from_code(row["low"] + TOP)
+                continue
+            key = (c, (prefix << bits) | row["digit"])
+            further.setdefault(key, (below + row["upto"] - row["n"], row["n"], set()))[2].add(below + row["at"])
+        open_, done = further, done + bits
     rows = []
     for c in cols:
         q = None
@@ -102,7 +136,7 @@ def _bracketed(df: DataFrame, cols: list[str], probs: list[float]) -> DataFrame:
                 pos, (lo, hi) = p * (total[c] - 1), (values[(c, r)] for r in ranks[(c, k)])
                 q.append(lo if lo == hi else lo + (pos - math.floor(pos)) * (hi - lo))
         rows.append((c, total[c], q))
-    return df.sparkSession.createDataFrame(rows, "column string, n bigint, q array<double>")
+    return spark.createDataFrame(rows, "column string, n bigint, q array<double>")
 
 
 def _one_pass(df, cols, by, quantile) -> DataFrame:
@@ -113,25 +147,12 @@ def _one_pass(df, cols, by, quantile) -> DataFrame:
 
 
 def _ranked(df, cols, probs, by) -> DataFrame:
-    """Counts per distinct value, cut into value ranges; running counts find the rows at each target rank."""
+    """Counts per distinct value, added up through ranges of values; the rows at each target rank follow from them."""
     doubles = df.select(*by, *[_number(c).alias(c) for c in cols])
     values = (doubles.unpivot(by, cols, "column", "value").filter("value is not null")
               .groupBy(*by, "column", "value").agg(F.count("*").alias("n")))
-    shares = [i / VALUE_RANGES for i in range(1, VALUE_RANGES)]
-    bounds = values.groupBy("column").agg(F.array_distinct(F.percentile_approx("value", shares, VALUE_RANGES * 10)).alias("cuts"))
     group = by + ["column"]
-    parts = values.join(F.broadcast(bounds), "column").select(
-        *group, "value", "n", F.size(F.filter("cuts", lambda b: b <= F.col("value"))).alias("part"))
-    sizes = parts.groupBy(*group, "part").agg(F.sum("n").alias("size"))
-    w = Window.partitionBy(*group).orderBy("part")
-    starts = sizes.select(
-        *group, "part",
-        F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"),
-        F.sum("size").over(Window.partitionBy(*group)).alias("total"))
-    inside = Window.partitionBy(*group, "part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    local = parts.withColumn("upto", F.sum("n").over(inside))
-    joined = attach(local, starts, group + ["part"], "inner")
-    ranked = joined.select(*group, "value", "n", "total", (F.col("start") + F.col("upto")).alias("upto"))
+    ranked = running_totals(values, group, ["value"], {"upto": "n"}).withColumnRenamed("upto_all", "total")
     at = [F.lit(p) * (F.col("total") - 1) for p in probs]
     holds = lambda k: (F.col("upto") - F.col("n") <= k) & (k < F.col("upto"))
     aggs = [F.max("total").alias("n")]

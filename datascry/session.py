@@ -52,3 +52,10 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=eager)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a Parquet table in the shared folder, read back: later steps see the same rows in the same partitions, also after a loss."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
