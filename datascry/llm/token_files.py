@@ -122,7 +122,7 @@ def chunk_encoder(path: str, kept: int = 600_000):
     """Function from texts to the ids of a tokenizer file, as bytes of uint32. Chunks of white space and what follows are looked up.
 
     A chunk ends where a blank or line feed follows a visible character; no match of the tokenizer's pattern crosses such a
-    place, so the ids of a text are those of its chunks, and words that recur are encoded once. New chunks are encoded many
+    place, nor does a special token that stands in a text, so the ids of a text are those of its chunks, and words that recur are encoded once. New chunks are encoded many
     in a row: a row's ids fall to its chunks by the bytes that each id stands for. At most `kept` chunks are remembered.
     """
     import os
@@ -132,7 +132,6 @@ def chunk_encoder(path: str, kept: int = 600_000):
     from tokenizers import Tokenizer
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     sizes = np.zeros(tokenizer.get_vocab_size(), np.int64)
     for token, number in tokenizer.get_vocab().items():
         sizes[number] = len(token)  # a byte-level vocabulary spells each byte as one letter

@@ -21,7 +21,7 @@ def odd_texts():
     rng = random.Random(4)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
     texts = [" ".join(rng.choices(words, k=rng.randint(6, 80))) for _ in range(40)]
-    texts += [None, "", "   \n\t ", "a", "A b\u00a0c  d\t\te\r\nf", "\u65e5\u672c \u8a9e \U0001f389!!", texts[0], texts[0], "x" * 3000, " ".join(rng.choices(words, k=4000)), "<|endoftext|> 's 'LL"]
+    texts += [None, "", "   \n\t ", "a", "A b\u00a0c  d\t\te\r\nf", "\u65e5\u672c \u8a9e \U0001f389!!", texts[0], texts[0], "x" * 3000, " ".join(rng.choices(words, k=4000)), "<|endoftext|> 's 'LL", "x <|endoftext|> y", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n \n<|endoftext|>", "<|endoftext|"]
     return texts
 
 
@@ -64,7 +64,6 @@ def test_token_files(spark, docs, tmp_path):
     got = read_token_files(spark, str(tmp_path / "f")).collect()
     digests = read_token_files(spark, str(tmp_path / "f"), digest=True).collect()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     want = sorted((-1 if i is None else i, tuple(whole.encode(t or "", add_special_tokens=False).ids) + (2,)) for i, t in rows_of(docs))
     assert sorted((-1 if r.id is None else r.id, tuple(r.token_ids)) for r in got) == want
     start = 0
