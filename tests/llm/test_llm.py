@@ -134,6 +134,8 @@ def test_line_templates(spark):
     names, own = ["sport", "news", "home", "art"], ["one alone stands here", "quite other words than those", "a third", "and a last line of this kind"]
     rows = [(k, own[k] + "\n" + fixed.format(names[k % 4]) + f"\nview {k} of 12 pages\n\nshared tail", "clash") for k in range(4)]
     rows += [(9, None, "c"), (10, "", "c"), (11, " \n\t", "c"), (12, "shared tail", "c"), (12, "shared tail", "c"), (13, "only twice", "c"), (14, "only twice", "c"), (None, "view 9 of 12 pages", "c")]
+    passage = " ".join(f"w{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(50))
+    rows += [(15, f"own start\n{passage}", "c"), (16, f"{passage}\nown end", "c"), (17, passage.rsplit(" ", 1)[0], "c"), (18, passage.rsplit(" ", 1)[0] + "\nmore", "c")]
     got = drop_recurring_lines(spark.createDataFrame(rows, "doc_id long, text string, leaf string")).collect()
     text = defaultdict(list)
     for r in got:
@@ -144,6 +146,8 @@ def test_line_templates(spark):
         assert text[k] == [own[k] + "\n"]
     assert text[9] == [None] and text[10] == [""] and text[11] == [" \n\t"] and text[12] == ["", ""]
     assert text[13] == text[14] == ["only twice"] and text[None] == ["view 9 of 12 pages"]  # two documents are too few; null comes first
+    assert text[15] == [f"own start\n{passage}"] and text[16] == ["own end"]  # fifty words recur in two documents, forty-nine do not
+    assert text[18] == [passage.rsplit(" ", 1)[0] + "\nmore"]
     assert drop_recurring_lines(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
@@ -466,11 +470,14 @@ def test_pipeline_stages(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.unionByName(docs.limit(3)).unionByName(spark.createDataFrame([(10 ** 6, None, "en", "s", 0), (10 ** 6 + 1, "", None, "s", 0)], docs.schema))
+    for clash in ("key", "kept", "_dropped", "_i", "_t", "carried_0", "comp", "h"):
+        docs = docs.withColumn(clash, F.col("doc_id"))
     sizes = []
     for _, stage in pipe.STAGES[:-1]:
         assert stage(spark, docs.where("false"), sf_dir).count() == 0
         docs_next = written(stage(spark, docs, sf_dir), "test-stage")
         assert docs_next.columns == docs.columns
+        assert docs_next.where("not (key <=> doc_id and kept <=> doc_id and _dropped <=> doc_id and carried_0 <=> doc_id)").isEmpty()
         sizes.append(docs_next.count())
         docs = docs_next
     assert sizes == sorted(sizes, reverse=True) and sizes[-1] > 0
