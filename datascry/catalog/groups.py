@@ -15,7 +15,7 @@ def _(t):
 
 @query("pca_2d")
 def _(t):
-    rows, _table = cu.kmeans_auto_k(t.customer, ["c_acctbal", "c_nationkey"], ks=(2, 3))
+    rows, _table = cu.kmeans_auto_k(t.customer, ["c_acctbal", "c_nationkey"])
     return cu.pca_2d(rows, ["c_custkey", "cluster"]).select("c_custkey", "cluster", F.round("pc1", 6).alias("pc1"), F.round("pc2", 6).alias("pc2"))
 
 

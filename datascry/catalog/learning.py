@@ -102,43 +102,44 @@ def _(t):
 @query("train_random_forest")
 def _(t):
     fit, test = parts(line_rows(t))
-    return m.leaderboard({"random_forest": m.train_random_forest(fit, "regression", trees=10)}, test, "regression")
+    return m.leaderboard({"random_forest": m.train_random_forest(fit, "regression")}, test, "regression")
 
 
 @query("train_boosted")
 def _(t):
     fit, test = parts(line_rows(t))
-    return m.leaderboard({"boosted": m.train_boosted(fit, "regression", trees=5)}, test, "regression")
+    return m.leaderboard({"boosted": m.train_boosted(fit, "regression")}, test, "regression")
 
 
 @query("train_mlp")
 def _(t):
     fit, test = class_parts(t)
-    return m.leaderboard({"mlp": m.train_mlp(fit, 2, iterations=20)}, test, "classification")
+    return m.leaderboard({"mlp": m.train_mlp(fit, 2)}, test, "classification")
 
 
 @query("tune")
 def _(t):
-    fit, _test = parts(line_rows(t))
-    _model, score, best = m.tune(fit, "regression", trials=3)
+    rows = VectorAssembler(inputCols=["s_nationkey", "s_suppkey"], outputCol="features").transform(t.supplier.withColumn("label", F.col("s_acctbal")))
+    fit, _test = parts(split_train_test(rows, "s_suppkey"))
+    _model, score, best = m.tune(fit.select("features", "label"), "regression")
     return t.spark.createDataFrame([(float(score), int(best["numTrees"]), int(best["maxDepth"]))], "score double, trees int, depth int")
 
 
 @query("cross_validate")
 def _(t):
-    rows = documents(t).drop("text")
+    rows = documents(t)
     plan = m.plan_features(rows, p.profile(rows), "quality")
     ready = m.with_label(m.prepare(rows, plan), plan)
     from pyspark.ml import Pipeline
 
-    pipeline = Pipeline(stages=[*m.featurize(plan).getStages(), m.classifier("logistic", 2, iterations=20)])
-    return m.cross_validate(pipeline, ready, "doc_id", "classification", k=3)
+    pipeline = Pipeline(stages=[*m.featurize(plan).getStages(), m.classifier("logistic", 2)])
+    return m.cross_validate(pipeline, ready, "doc_id", "classification")
 
 
 @query("leaderboard")
 def _(t):
     fit, test = parts(line_rows(t))
-    models = {f: m.train(f, fit, "regression", **({"trees": 5} if f in ("random_forest", "boosted") else {})) for f in ("linear", "ridge", "random_forest")}
+    models = {f: m.train(f, fit, "regression") for f in ("linear", "ridge", "lasso", "random_forest", "boosted")}
     return m.leaderboard(models, test, "regression")
 
 
@@ -263,7 +264,7 @@ def _(t):
 @query("feature_importance")
 def _(t):
     fit, _test = parts(line_rows(t))
-    return m.feature_importance(m.train_random_forest(fit, "regression", trees=10), LINE_FEATURES, t.spark)
+    return m.feature_importance(m.train_random_forest(fit, "regression"), LINE_FEATURES, t.spark)
 
 
 def line_pipeline(t):
@@ -277,7 +278,7 @@ def line_pipeline(t):
 @query("permutation_importance")
 def _(t):
     model, test = line_pipeline(t)
-    return m.permutation_importance(model, test, LINE_FEATURES, "regression", repeats=2)
+    return m.permutation_importance(model, test, LINE_FEATURES, "regression")
 
 
 @query("pdp_ice")
@@ -299,7 +300,7 @@ def _(t):
 
     rows = t.embeddings.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features"), (F.col("embedding")[3] * 2 + F.col("embedding")[7] * 0.5).cast("double").alias("label"))
     names = [f"e{i}" for i in range(64)]
-    kept = m.rfe_select(rows, "regression", names, trees=5)
+    kept = m.rfe_select(rows, "regression", names)
     return t.spark.createDataFrame([(n,) for n in kept], "feature string")
 
 

@@ -183,7 +183,7 @@ def regression_metrics(scored, y):
 def _(t):
     out = None
     for family in ("linear", "ridge", "lasso", "random_forest", "boosted"):
-        scored = fc.forecast_regression(daily(t), ["o_orderpriority"], "day", "y", family, **({"trees": 10} if family in ("random_forest", "boosted") else {}))[1]
+        scored = fc.forecast_regression(daily(t), ["o_orderpriority"], "day", "y", family)[1]
         one = regression_metrics(scored, "y").select(F.lit(family).alias("model"), "*")
         out = one if out is None else out.unionByName(one)
     return out

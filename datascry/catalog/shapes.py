@@ -40,7 +40,7 @@ def _(t):
 
 @query("classify_vectors")
 def _(t):
-    return vec.classify_vectors(t.embeddings, "embedding", "label", "vec_id", trees=20)
+    return vec.classify_vectors(t.embeddings, "embedding", "label", "vec_id")
 
 
 @query("segmentation_metrics", """with p as (select label, x > 0 as t, x + sin(vec_id + pos) * 0.1 > 0 as p from (select vec_id, label, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as pos from embeddings)),

@@ -132,7 +132,7 @@ def _(t):
     from datascry.operators.sampling import split_train_test
 
     rows = split_train_test(text_rows(t)[1], "doc_id")
-    fitted = m.train_text_models(rows.filter("split = 'train'"), 2, trees=5)
+    fitted = m.train_text_models(rows.filter("split = 'train'"), 2)
     return m.leaderboard(fitted, rows.filter("split = 'test'"), "classification")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -146,13 +146,12 @@ class CleanerModel:
         return df.withColumns(new) if new else df
 
     def to_json(self) -> str:
-        """The fitted plan as text. Donors of a nearest-row imputer are included while they fit one task."""
+        """The fitted plan as text. Donors of a nearest-row imputer are included while they fit one task, else the path of their stored table."""
         values = []
         for (column, kind), v in self.values.items():
             if isinstance(v, KnnImputer):
-                if v.donors is None:
-                    raise ValueError("the donor table is too large for a JSON plan; keep it as a written table")
-                v = {"cols": v.cols, "k": v.k, "means": v.means, "donors": [[None if x != x else x for x in r] for r in v.donors.tolist()]}
+                donors = None if v.donors is None else [[None if x != x else x for x in r] for r in v.donors.tolist()]
+                v = {"cols": v.cols, "k": v.k, "means": v.means, "donors": donors, "path": v.path}
             elif isinstance(v, MiceImputer):
                 v = {"cols": v.cols, "means": v.means, "scales": v.scales, "steps": v.steps}
             elif isinstance(v, IsolationForest):
@@ -168,7 +167,9 @@ class CleanerModel:
         data = json.loads(text)
         values = {}
         for column, kind, v in data["values"]:
-            if kind == "impute_knn" and v is not None:
+            if kind == "impute_knn" and v is not None and v["donors"] is None:
+                v = KnnImputer.load(SparkSession.active(), v["cols"], v["k"], v["means"], v["path"])
+            elif kind == "impute_knn" and v is not None:
                 donors = np.array([[float("nan") if x is None else x for x in r] for r in v["donors"]], dtype=float)
                 v = KnnImputer(v["cols"], v["k"], v["means"], donors, None)
             elif kind == "impute_mice" and v is not None:

@@ -11,10 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascry.operators.keys import attach, spread
+from datascry.operators.ordered import RANGE, in_ranges
+from datascry.session import stored
 
-# Donor rows one task may hold; larger donor tables are met block by block.
+# Donor rows one task may hold, and rows of a block of donors or of incomplete rows beyond that.
 DONOR_ROWS = 50_000
 QUERY_ROWS = 20_000
+# Boxes of donor blocks that travel with the tasks at most; blocks grow with the table so that there are no more.
+MAX_BOXES = 50_000
+# Donor blocks that an incomplete block meets first, per missing column.
+NEAREST_BLOCKS = 2
+BLOCK = "__block"
 
 
 def any_null(cols: list[str]):
@@ -58,15 +65,74 @@ def nearest_values(queries: np.ndarray, donors: np.ndarray, k: int):
                 yield start + i, j, d[near], donors[by_value[near], j]
 
 
+def _cuts_below(x, cuts: list[float]):
+    return F.size(F.filter(F.lit(cuts), lambda b: b <= x))
+
+
+def blocked(df: DataFrame, cols: list[str], rows: int) -> DataFrame:
+    """`df` with a column BLOCK: blocks of about `rows` rows that lie near each other, stored.
+
+    The order is that of the missing pattern, then of interleaved bits of each column's place among its quantiles (a Z curve), then of
+    the values. Range partitions of that order are cut into blocks, so no pattern and no value fills a task. Blocks also end where the
+    pattern changes, unless there are so many patterns that blocks would get too many.
+    """
+    used = cols[:60]
+    bits = max(1, min(6, 60 // len(used)))
+    shares = [i / (1 << bits) for i in range(1, 1 << bits)]
+    cuts = df.agg(*[F.percentile_approx(c, shares, 1000).alias(f"c{i}") for i, c in enumerate(used)]).first()
+    code = F.lit(0).cast("long")
+    for i, c in enumerate(used):
+        place = F.coalesce(_cuts_below(F.col(c), cuts[f"c{i}"] or [0.0]), F.lit(0)).cast("long")
+        for k in range(bits):
+            code = code.bitwiseOR(F.shiftleft(F.shiftright(place, k).bitwiseAND(F.lit(1).cast("long")), k * len(used) + i))
+    pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
+    ranges = in_ranges(df.withColumns({"__pattern": pattern, "__z": code}), [], ["__pattern", "__z", *cols])
+    pieces = ranges.select(RANGE, "__pattern").distinct().count()
+    part = [RANGE, "__pattern"] if pieces <= MAX_BOXES else [RANGE]
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("__pattern", "__z", *cols)) - 1
+    placed = ranges.withColumn("__at", F.floor(place / rows).cast("long"))
+    return stored(placed.withColumn(BLOCK, F.xxhash64(*part, "__at")).drop("__pattern", "__z", "__at", RANGE), "blocks")
+
+
+def boxes_of(blocks: DataFrame, cols: list[str]) -> DataFrame:
+    """One row per block: rows, and per column (in order) least, largest and number of known values."""
+    return blocks.groupBy(BLOCK).agg(F.count("*").alias("rows"), F.array(*[F.min(c) for c in cols]).alias("low"), F.array(*[F.max(c) for c in cols]).alias("high"),
+                                     F.array(*[F.count(c) for c in cols]).alias("known"))
+
+
+class Boxes:
+    """Bounds around blocks of rows, as matrices; a bound of a column is used only where every row of the block knows it."""
+
+    def __init__(self, frame: pd.DataFrame):
+        self.ids, self.rows = frame[BLOCK].to_numpy(np.int64), frame["rows"].to_numpy(np.int64)
+        stacked = lambda c: np.array([[np.nan if x is None else x for x in r] for r in frame[c]], dtype=float)
+        self.low, self.high, self.known = stacked("low"), stacked("high"), stacked("known")
+        whole = self.known == self.rows[:, None]
+        self.low, self.high = np.where(whole, self.low, np.nan), np.where(whole, self.high, np.nan)
+        self.most = (self.known > 0).sum(1)
+
+    def least_distances(self, other: Boxes, i: int):
+        """At most the distance of any row of block i of `other` from any row of each own block; infinite where they share nothing useful."""
+        width = self.low.shape[1]
+        with np.errstate(invalid="ignore"):
+            gap = np.maximum(np.maximum(self.low - other.high[i], other.low[i] - self.high), 0.0)
+        bound = (np.nan_to_num(gap) ** 2).sum(1) * (width / np.maximum(np.minimum(self.most, other.most[i]), 1))
+        have, lack = other.known[i] > 0, other.known[i] < other.rows[i]
+        useful = ((self.known > 0) & have).any(1) & ((self.known > 0) & lack).any(1)
+        return np.where(useful, bound * (1 - 1e-9), np.inf)
+
+
 class KnnImputer:
     """Mean of the k nearest donors. Donors are the distinct training rows with how often each occurs, at most k.
 
-    Up to DONOR_ROWS donors (counted first) travel with the tasks. Beyond that donors stay a table, and bounded
-    blocks of donors meet bounded blocks of distinct incomplete rows; only the k best per pair of blocks leave a task.
+    Up to DONOR_ROWS donors (counted first) travel with the tasks. Beyond that donors are a stored table of blocks that lie near each
+    other, with a box around each. A block of incomplete rows first meets the few donor blocks nearest to it; the k-th distances found
+    bound the rest, and it then meets those blocks whose box is within that bound, no others. Only the k best per pair of
+    blocks leave a task. The stored table is part of the fitted plan.
     """
 
-    def __init__(self, cols: list[str], k: int, means: list[float], donors: np.ndarray | None, table: DataFrame | None):
-        self.cols, self.k, self.means, self.donors, self.table = cols, k, means, donors, table
+    def __init__(self, cols: list[str], k: int, means: list[float], donors: np.ndarray | None, table: DataFrame | None, path: str | None = None):
+        self.cols, self.k, self.means, self.donors, self.table, self.path = cols, k, means, donors, table, path
 
     @staticmethod
     def fit(df: DataFrame, cols: list[str], k: int = 5, limit: int = DONOR_ROWS) -> KnnImputer:
@@ -75,10 +141,17 @@ class KnnImputer:
         # Equal rows beyond k never change which k values are nearest.
         counted = rows.groupBy(*cols).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("__copies"))
         table = counted.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
-        if table.count() <= limit:
+        n = table.count()
+        if n <= limit:
             donors = table.toPandas().to_numpy(dtype=float)
             return KnnImputer(cols, k, means, donors, None)
-        return KnnImputer(cols, k, means, None, table)
+        blocks = blocked(table, cols, max(DONOR_ROWS // 16, 1, -(-n // MAX_BOXES)))
+        return KnnImputer(cols, k, means, None, blocks, blocks.inputFiles()[0].rsplit("/", 1)[0])
+
+    @staticmethod
+    def load(spark, cols: list[str], k: int, means: list[float], path: str) -> KnnImputer:
+        """An imputer whose donor table was stored by `fit`."""
+        return KnnImputer(cols, k, means, None, spark.read.parquet(path), path)
 
     def transform(self, df: DataFrame) -> DataFrame:
         cols = self.cols
@@ -103,28 +176,62 @@ class KnnImputer:
 
         return fill
 
-    def _fill_from_table(self, holes: DataFrame) -> DataFrame:
+    def _pairs(self, sides: DataFrame, donors: Boxes, within: bool) -> DataFrame:
+        """(__q, __d): the first donor blocks of each incomplete block or, `within`, the others no farther than its column `radius`."""
+        k = self.k
+
+        def run(frames):
+            for frame in frames:
+                asked = Boxes(frame)
+                for i in range(len(frame)):
+                    far = donors.least_distances(asked, i)
+                    order = np.lexsort((np.arange(len(far)), far))
+                    order = order[np.isfinite(far[order])]
+                    first: set = set()
+                    for j in np.flatnonzero(asked.known[i] < asked.rows[i]):
+                        enough = order[np.cumsum(donors.known[order, j]) - donors.known[order, j] < k]
+                        first |= set(enough[donors.known[enough, j] > 0].tolist()) | set(order[donors.known[order, j] > 0][:NEAREST_BLOCKS].tolist())
+                    chosen = [d for d in order.tolist() if (d in first) != within and (not within or far[d] <= frame["radius"].iloc[i])]
+                    yield pd.DataFrame({"__q": asked.ids[i], "__d": donors.ids[chosen]})
+
+        return sides.mapInPandas(run, "__q long, __d long")
+
+    def _met(self, asked: DataFrame, pairs: DataFrame) -> DataFrame:
+        """(cols..., __q, column, distance, value): the k nearest donors of each incomplete row in each block that its block meets."""
         cols, k = self.cols, self.k
-        asked = holes.select(*cols).distinct()
-        n_q = max(1, -(-asked.count() // QUERY_ROWS))
-        n_d = max(1, -(-self.table.count() // DONOR_ROWS))
-        # Both sides need block numbers of one type: equal numbers of different types hash to different partitions.
-        row_hash = lambda n: F.pmod(F.xxhash64(*cols), F.lit(n)).cast("int")
-        # Equal donors repeat at most k times, so hashed blocks stay near their size.
-        left = asked.withColumns({"q": row_hash(n_q), "d": F.explode(F.sequence(F.lit(0), F.lit(n_d - 1)))})
-        right = self.table.withColumns({"d": row_hash(n_d), "q": F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)))})
-        schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols] + [
-            T.StructField("column", T.IntegerType()), T.StructField("distance", T.DoubleType()), T.StructField("value", T.DoubleType())])
+        left = asked.withColumnRenamed(BLOCK, "__q").join(pairs, "__q").select(*cols, "__q", "__d")
+        # A shared donor block is repeated for every block that asks for it; names of its own keep both sides of the cogroup apart.
+        right = self.table.withColumnRenamed(BLOCK, "__d").join(pairs, "__d").select(*[F.col(c).alias(c) for c in [*cols, "__q", "__d"]])
+        schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols] + [T.StructField("__q", T.LongType()), T.StructField("column", T.IntegerType()),
+                                                                                 T.StructField("distance", T.DoubleType()), T.StructField("value", T.DoubleType())])
 
         def best(queries, donors):
             q = queries[cols].to_numpy(dtype=float)
             found = [np.column_stack([np.repeat(q[i][None, :], len(v), 0), np.full(len(v), j), dist, v])
                      for i, j, dist, v in nearest_values(q, donors[cols].to_numpy(dtype=float), k) if len(v)]
             out = pd.DataFrame(np.vstack(found) if found else np.empty((0, len(cols) + 3)), columns=[*cols, "column", "distance", "value"])
-            return out.astype({"column": "int32"})
+            out.insert(len(cols), "__q", queries["__q"].iloc[0] if len(queries) else 0)
+            return out.astype({"column": "int32", "__q": "int64"})
 
-        blocks = ["q", "d"]
-        near = spread(left, blocks).groupBy(*blocks).cogroup(spread(right, blocks).groupBy(*blocks)).applyInPandas(best, schema)
+        keys = ["__q", "__d"]
+        near = spread(left, keys).groupBy(*keys).cogroup(spread(right, keys).groupBy(*keys)).applyInPandas(best, schema)
+        w = Window.partitionBy(*cols, "column").orderBy("distance", "value")
+        return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+
+    def _fill_from_table(self, holes: DataFrame) -> DataFrame:
+        cols, k = self.cols, self.k
+        some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols])
+        asked = blocked(holes.select(*cols).filter(some).distinct(), cols, max(1, QUERY_ROWS // 16))
+        sides = boxes_of(asked, cols)
+        donors = Boxes(boxes_of(self.table, cols).toPandas())  # MAX_BOXES and the shuffle partitions bound their number
+        first = stored(self._met(asked, self._pairs(sides, donors, False)), "nearest-first")
+        # The k-th distance of every missing cell bounds its block; a cell with fewer donors so far leaves the block unbounded.
+        cells = first.groupBy(*cols, "__q", "column").agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter(F.col("n") >= k)
+        reach = cells.groupBy(F.col("__q").alias(BLOCK)).agg(F.count("*").alias("settled"), F.max("far").alias("far"))
+        lacking = F.aggregate("known", F.lit(0).cast("long"), lambda s, x: s + F.col("rows") - x)
+        bounded = sides.join(reach, BLOCK, "left").withColumn("radius", F.when(F.col("settled") >= lacking, F.col("far")).otherwise(F.lit(float("inf"))))
+        rest = self._met(asked, self._pairs(bounded.drop("settled", "far"), donors, True))
+        near = first.unionByName(rest).drop("rk")
         w = Window.partitionBy(*cols, "column").orderBy("distance", "value")
         picked = near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
         filled = picked.groupBy(*cols).pivot("column", list(range(len(cols)))).agg(F.avg("value"))

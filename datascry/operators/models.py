@@ -23,7 +23,9 @@ from datascry.functions.scalars import INTEGRAL, hash_bucket
 from datascry.operators.cleaning import CleanerModel
 from datascry.operators.evaluate import metrics_classification, metrics_regression
 from datascry.operators.filters import feature_roles
+from datascry.operators.ordered import numbered_by_hash
 from datascry.operators.profile import TARGET_NAMES
+from datascry.session import stored
 
 SEED = 42
 TEXT_TERMS = 15
@@ -399,41 +401,33 @@ def feature_importance(model, names: list[str], spark: SparkSession, k: int = 10
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
-def permutation_importance(model, test: DataFrame, features: list[str], task: str, label: str = "label", repeats: int = 5, k: int = 10,
-                           partitions: int | None = None) -> DataFrame:
-    """Drop of the score when one input column is shuffled: (feature, importance).
+def permutation_importance(model, test: DataFrame, features: list[str], task: str, label: str = "label", repeats: int = 5, k: int = 10) -> DataFrame:
+    """Drop of the score when one input column is shuffled over all rows: (feature, importance), the mean of `repeats` shuffles.
 
-    `model` starts from the raw columns (a pipeline). Rows are dealt out once, evenly; a column is then shuffled
-    inside every partition, so nothing moves per feature.
+    `model` starts from the raw columns (a pipeline). Rows are numbered once by one hash and once per repeat by another; a row
+    takes the feature of the row with its number, so every value can come from any row. One join a repeat serves all features.
     """
-    parts = partitions or int(test.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    kept = test.repartition(parts).persist()
+    rows = stored(test.withColumn("__row", F.monotonically_increasing_id()), "permuted")
+    rows = stored(numbered_by_hash(rows.withColumn("__seed", F.lit(0)), ["__row", "__seed"], [], "__n").drop("__seed"), "permuted")
 
     def score(df):
         scored = model.transform(df)
         return metrics_classification(scored, label).first()["accuracy"] if task == "classification" else metrics_regression(scored, label).first()["r2"]
 
-    try:
-        base = score(kept)
-        rows = []
+    base, drops = score(test), {c: 0.0 for c in features}
+    for r in range(repeats):
+        shuffled = stored(shuffle_columns(rows, features, SEED + r), "permuted")
         for c in features:
-            drops = [base - score(shuffle_column(kept, c, SEED + r)) for r in range(repeats)]
-            rows.append((c, float(sum(drops) / repeats)))
-    finally:
-        kept.unpersist()
-    rows = sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
-    return test.sparkSession.createDataFrame(rows, "feature string, importance double")
-
+            drops[c] += base - score(shuffled.withColumn(c, F.col(f"__other.{c}")))
+    table = sorted(((c, float(d / repeats)) for c, d in drops.items()), key=lambda r: (-r[1], r[0]))[:k]
+    return test.sparkSession.createDataFrame(table, "feature string, importance double")
 
-def shuffle_column(df: DataFrame, c: str, seed: int) -> DataFrame:
-    """The same rows with one column permuted inside each batch of its partition."""
-    def permute(frames):
-        import numpy as np
-        rng = np.random.default_rng(seed)
-        for frame in frames:
-            yield frame.assign(**{c: frame[c].to_numpy()[rng.permutation(len(frame))]})
 
-    return df.mapInPandas(permute, df.schema)
+def shuffle_columns(numbered: DataFrame, columns: list[str], seed: int) -> DataFrame:
+    """Rows numbered in __n from 1, with __other: the struct of `columns` of the row that has their number in the order of another hash."""
+    other = numbered.select("__row", F.struct(*[F.col(c).alias(c) for c in columns]).alias("__other"), F.lit(seed).alias("__seed"))
+    other = numbered_by_hash(other, ["__row", "__seed"], [], "__n").select("__n", "__other")
+    return numbered.join(other, "__n")
 
 
 def pdp_ice(model, df: DataFrame, feature: str, key, grid: int = 20, ice: int = 10, output: str = "prediction") -> DataFrame:

@@ -120,3 +120,33 @@ def test_knn_against_brute_force_on_both_paths(spark, monkeypatch):
     model = im.KnnImputer.fit(df, cols, limit=40)
     assert model.donors is None
     assert np.allclose(run(model), want)
+
+
+def test_knn_meets_only_blocks_within_the_bound(spark, monkeypatch):
+    monkeypatch.setattr(im, "DONOR_ROWS", 1600)  # blocks of 100 and 20 rows
+    monkeypatch.setattr(im, "QUERY_ROWS", 320)
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 0.5, (1000, 4)) for c in (0.0, 50.0, 100.0)]).round(3)
+    x[:, ::3][rng.random((3000, 2)) < 0.06] = np.nan
+    x[:3] = np.nan
+    x[:3, 0] = [0.0, 50.0, 100.0]   # many missing
+    x[5] = np.nan                   # nothing known: the means
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double, d double").repartition(3)
+    cols = ["a", "b", "c", "d"]
+    met = []
+    plain = im.KnnImputer._pairs
+
+    def watched(self, sides, donors, within):
+        pairs = plain(self, sides, donors, within)
+        met.append((pairs.count(), sides.count() * len(donors.ids)))
+        return pairs
+
+    monkeypatch.setattr(im.KnnImputer, "_pairs", watched)
+    model = im.KnnImputer.fit(df, cols, limit=40)
+    got = np.array([[r[c] for c in cols] for r in model.transform(df).orderBy("id").collect()])
+    want = brute_knn(x, x)
+    want[5] = np.nanmean(x, axis=0)
+    assert np.allclose(got, want)
+    assert sum(n for n, _ in met) < met[0][1] / 2, met  # the clusters lie apart: most pairs of blocks are beyond the bound
+    again = im.KnnImputer.load(spark, model.cols, model.k, model.means, model.path)
+    assert np.allclose(np.array([[r[c] for c in cols] for r in again.transform(df).orderBy("id").collect()]), want)
