@@ -16,6 +16,8 @@ from datascry.operators.profile import distinct_counts, long_rows
 
 MIN_ROWS = 5
 FEW_PAIRS = 3
+# Different cells and dictionary entries that a task holds before it sends them on.
+TASK_CELLS = 1_000_000
 
 
 def _number(value: Column) -> Column:
@@ -78,11 +80,49 @@ def _pair_products(df: DataFrame, cols: list[str]) -> DataFrame:
 
 
 def _cells(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
-    """Crosstab counts of several column pairs at once: (x, y, a, b, o)."""
-    rows = F.array(*[F.struct(F.lit(a).alias("x"), F.lit(b).alias("y"), F.col(a).cast("string").alias("a"),
-                              F.col(b).cast("string").alias("b")) for a, b in pairs])
-    long = df.select(F.inline(rows)).filter("a is not null and b is not null")
-    return long.groupBy("x", "y", "a", "b").agg(F.count("*").cast("double").alias("o"))
+    """Crosstab counts of several column pairs at once: (x, y, a, b, o).
+
+    Inside a task every column has a dictionary of the values met so far, and a pair is counted on codes, batch by batch. A row crosses to
+    Python once with its values, not once per pair; only different cells leave the task, and dictionaries start anew when they are full.
+    """
+    cols = list(dict.fromkeys(c for pair in pairs for c in pair))
+    at = [(cols.index(a), cols.index(b)) for a, b in pairs]
+
+    def count(frames):
+        codes: list[dict] = [{} for _ in cols]
+        held: list[list] = [[] for _ in at]
+
+        def merged(parts):
+            cells, places = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
+            return cells, np.bincount(places, np.concatenate([n for _, n in parts]), len(cells))
+
+        def told():
+            names = [np.array(list(known), dtype=object) for known in codes]
+            for k, (i, j) in enumerate(at):
+                if held[k]:
+                    cells, n = merged(held[k])
+                    yield pd.DataFrame({"pair": k, "a": names[i][cells >> 32], "b": names[j][cells & 0xFFFFFFFF], "o": n})
+                    held[k] = []
+            for known in codes:
+                known.clear()
+
+        for frame in frames:
+            numbers = []
+            for c, known in enumerate(codes):
+                local, values = pd.factorize(frame.iloc[:, c])
+                numbers.append(np.append(np.array([known.setdefault(v, len(known)) for v in values], np.int64), -1)[local])
+            for k, (i, j) in enumerate(at):
+                both = (numbers[i] >= 0) & (numbers[j] >= 0)
+                held[k].append(np.unique((numbers[i][both] << 32) | numbers[j][both], return_counts=True))
+                if len(held[k]) >= 32:
+                    held[k] = [merged(held[k])]
+            if sum(map(len, codes)) + sum(len(c) for parts in held for c, _ in parts) > TASK_CELLS:
+                yield from told()
+        yield from told()
+
+    counted = df.select(*[F.col(c).cast("string").alias(f"v{i}") for i, c in enumerate(cols)]).mapInPandas(count, "pair int, a string, b string, o double")
+    name = lambda side: F.element_at(F.lit([p[side] for p in pairs]), F.col("pair") + 1)
+    return counted.groupBy("pair", "a", "b").agg(F.sum("o").alias("o")).select(name(0).alias("x"), name(1).alias("y"), "a", "b", "o")
 
 
 def cramers_v_table(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:

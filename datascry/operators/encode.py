@@ -49,9 +49,9 @@ def standard_scale(df: DataFrame, cols: list[str], train: DataFrame | None = Non
 
 
 def label_codes(df: DataFrame, c: str) -> DataFrame:
-    """Code per class, classes in text order: (label, code)."""
+    """Code per class, classes in text order: (label, code). Classes are numbered through ranges of the whole text, however many there are."""
     labels = df.filter(F.col(c).isNotNull()).select(F.col(c).cast("string").alias("label")).distinct()
-    coded = Sequence(labels, [], ["label"]).numbered("code")
+    coded = Sequence(labels, [], ["label"], limit=0).numbered("code")
     return coded.withColumn("code", F.col("code") - 1)
 
 

@@ -131,11 +131,10 @@ def test_holt_winters_follows_a_season(spark):
     assert np.abs(got - np.array(wave[126:])).max() < 1.0
 
 
-def test_long_series_are_refused(spark, monkeypatch):
+def test_long_series_are_not_refused(spark, monkeypatch):
     monkeypatch.setattr(fc, "SERIES_POINTS", 5)
-    df = spark.range(10).select(F.lit("a").alias("k"), F.col("id").alias("at"), F.lit(1.0).alias("y"))
-    with pytest.raises(ValueError, match="daily_series"):
-        fc.forecast_holt_winters(df, ["k"], "at", "y")
+    df = spark.range(40).select(F.lit("a").alias("k"), F.col("id").alias("at"), F.lit(1.0).alias("y"))
+    assert all(r["forecast"] == pytest.approx(1.0) for r in fc.forecast_holt_winters(df, ["k"], "at", "y").collect())
 
 
 def test_series_text_and_cluster_analyses(spark):
@@ -159,3 +158,21 @@ def test_quality_analysis_runs(table):
     out = analysis.analyze_quality(table, "target")
     assert all(df.count() >= 0 for df in out.values())
     assert {r["column"]: r["type"] for r in out["profile"].collect()}["row_id"] == "identifier"
+
+
+def test_cells_on_codes_and_label_codes_over_ranges(spark, monkeypatch):
+    from collections import Counter
+
+    from datascry.operators import correlate as co
+    from datascry.operators.encode import label_codes
+    rng = np.random.default_rng(0)
+    rows = [(str(a), None if b == 0 else int(b), "u" + str(i)) for i, (a, b) in enumerate(rng.integers(0, 6, (3000, 2)))]
+    df = spark.createDataFrame(rows, "a string, b int, c string").repartition(3)
+    for cells in (1_000_000, 500):  # 500: dictionaries start anew many times
+        monkeypatch.setattr(co, "TASK_CELLS", cells)
+        got = {(r.x, r.y, r.a, r.b): r.o for r in co._cells(df, [("a", "b"), ("b", "c")]).collect()}
+        want = Counter(("a", "b", a, str(b)) for a, b, _ in rows if b is not None) + Counter(("b", "c", str(b), c) for _, b, c in rows if b is not None)
+        assert got == {k: float(v) for k, v in want.items()}
+    names = spark.range(50_000).select(F.concat(F.lit("one long common prefix "), F.lpad("id", 6, "0")).alias("name"))
+    coded = label_codes(names, "name")
+    assert coded.where("code <> cast(right(label, 6) as int)").isEmpty() and coded.count() == 50_000

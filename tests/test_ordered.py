@@ -129,3 +129,23 @@ def test_pacf_of_autoregression(spark):
 def test_window_per_key_is_one_shuffle(series):
     plan = ts.lag_features(series, ["key"], "at", "v", tie="id")._jdf.queryExecution().toString()
     assert plan.split("== Physical Plan ==")[1].count("Exchange hashpartitioning") <= 2
+
+
+def test_long_series_by_blocks_equal_the_whole(spark, monkeypatch):
+    from datascry.operators import forecast as fc
+    rng = np.random.default_rng(8)
+    walk, pull = [1000.0, 1001.0, 1003.0], [5.0, 5.5, 5.2]
+    for e in rng.normal(size=600):
+        walk.append(walk[-1] + 0.4 * (walk[-1] - walk[-2]) + e)
+        pull.append(2 + 0.5 * pull[-1] + 0.2 * pull[-2] + e)
+    wave = 50 + 0.05 * np.arange(500) + 8 * np.sin(np.arange(500) * 2 * np.pi / 7) + rng.normal(size=500)
+    series = {"walk": walk, "pull": pull, "wave": list(wave), "flat": [3.0] * 300, "short": [1.0, 2.0, 4.0, 3.0, 5.0, 6.0, 8.0, 7.0, 9.0, 9.5]}
+    df = spark.createDataFrame([(k, i, float(v)) for k, x in series.items() for i, v in enumerate(x)], "k string, at int, y double").repartition(3)
+    for run in (fc.forecast_ar_per_series, lambda *a, **b: fc.forecast_holt_winters(*a, **b), lambda *a, **b: fc.forecast_holt_winters(*a, season=0, **b)):
+        monkeypatch.setattr(fc, "SERIES_POINTS", 50_000)
+        whole = {(r.k, r.step): r.forecast for r in run(df, ["k"], "at", "y", steps=9).collect()}
+        monkeypatch.setattr(fc, "SERIES_POINTS", 64)
+        parts = {(r.k, r.step): r.forecast for r in run(df, ["k"], "at", "y", steps=9).collect()}
+        assert set(whole) == set(parts) and len(whole) == 45
+        for at, value in whole.items():
+            assert parts[at] == pytest.approx(value, rel=1e-7, abs=1e-7), at
