@@ -30,6 +30,13 @@ def named(out: DataFrame, id_col: str, kind: str) -> DataFrame:
     return out.select(F.col("_id").cast(kind).alias(id_col), *[c for c in out.columns if c != "_id"])
 
 
+def short_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """At most `rows` rows in a batch that goes to Python, for this session from now on: ten thousand long texts at once are too much for a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name, "10000")) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
