@@ -184,3 +184,66 @@ def test_conversations_as_trees(spark):
     rows = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b"), (1, None, "system", "s"), (None, 5, None, None), (2, 7, "assistant", "")]
     df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, at int")
     assert chats(linear_trees(df)) == {(1, 1): [("system", "s"), ("user", "a"), ("assistant", "b"), ("assistant", "b")], (None, 1): [("", "")], (2, 1): [("assistant", "")]}
+
+
+def two_batches(seed=3, dims=64):
+    """600 vectors apart, 20 groups of 60 near copies, and 10 groups of two batches of 15, the batches 0.94 apart."""
+    rng = np.random.default_rng(seed)
+
+    def unit(v):
+        return v / np.linalg.norm(v)
+
+    def around(centre, n):
+        return [unit(centre + 0.004 * rng.standard_normal(dims)) for _ in range(n)]
+
+    rows = [unit(rng.standard_normal(dims)) for _ in range(600)]
+    for _ in range(20):
+        rows += around(unit(rng.standard_normal(dims)), 60)
+    for _ in range(10):
+        one = unit(rng.standard_normal(dims))
+        side = rng.standard_normal(dims)
+        side = unit(side - (side @ one) * one)
+        rows += around(one, 15) + around(0.94 * one + math.sqrt(1 - 0.94 ** 2) * side, 15)
+    rows = np.array(rows)
+    return rows[rng.permutation(len(rows))]
+
+
+def plain_links(rows, at_least):
+    near = rows @ rows.T >= at_least
+    np.fill_diagonal(near, False)
+    low = np.arange(len(rows))
+    while True:
+        new = np.minimum(low, np.where(near, low[None], len(rows)).min(1))
+        if (new == low).all():
+            return near.sum(1), low
+        low = new
+
+
+@pytest.mark.parametrize("block, tile", [(512, 4096), (8, 3)])
+def test_dense_batches_just_above_the_limit(spark, monkeypatch, block, tile):
+    from datascry.llm import nn_descent
+    monkeypatch.setattr(nn_descent, "BLOCK", block)
+    monkeypatch.setattr(nn_descent, "TILE", tile)
+    rows = two_batches()
+    links, low = plain_links(rows, 0.9)
+    df = spark.createDataFrame([(n, [float(c) for c in v], 1) for n, v in enumerate(rows)], "vec_id long, embedding array<double>, box int")
+    got = nn_descent.near_vectors(df).orderBy("vec_id").toPandas()
+    assert (got["n_links"] == links).all() and (got["component_id"] == low).all()
+    assert len(set(low[links > 0])) == 30 and got["audit_recall"].iloc[0] == 1.0
+
+
+def test_vectors_compared_whole_where_the_audit_fails(spark, monkeypatch):
+    from datascry.llm import nn_descent
+    monkeypatch.setattr(nn_descent, "BLOCK", 64)
+    rows = two_batches(5)[:400]
+    links, low = plain_links(rows, 0.9)
+    df = spark.createDataFrame([(n, [float(c) for c in v]) for n, v in enumerate(rows)], "vec_id long, embedding array<double>")
+    got = nn_descent.near_vectors(df, recall=2.0, tries=1).orderBy("vec_id").toPandas()  # no audit reaches this: the exact way
+    assert (got["n_links"] == links).all() and (got["component_id"] == low).all()
+
+
+def test_huge_and_tiny_vectors_link(spark):
+    from datascry.llm.nn_descent import near_vectors
+    rows = [(1, [1e300, 1e300]), (2, [1e-300, 1.1e-300]), (3, [1.0, -1.0]), (4, [0.0, 0.0]), (5, None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4), 5: (0, 5)}
