@@ -35,6 +35,14 @@ def _(t):
     return out.select("event_id", F.round("value", 6).alias("value"), F.round("value_log", 6).alias("value_log"), "ts_hour", "ts_dayofweek")
 
 
+@query("stream_clean_distinct", """with q as (select quantile_cont(value, 0.25) as a, quantile_cont(value, 0.75) as b from events), d as (select distinct * from events where event_type <> 'error')
+       select event_id, round(case when value < a - 1.5 * (b - a) then a - 1.5 * (b - a) when value > b + 1.5 * (b - a) then b + 1.5 * (b - a) else value end, 6) as value from d, q""")
+def _(t):
+    model = cl.fit_cleaner(t.events, [{"column": "all", "actionType": "remove_duplicates"}, *PLAN[:2]])
+    twice = streamed(t, "events").unionByName(streamed(t, "events"))  # every row arrives two times
+    return drained(t, fl.stream_clean(twice, model, training=True, ts="ts"), "distinct").select("event_id", F.round("value", 6).alias("value"))
+
+
 @query("stream_score")
 def _(t):
     from pyspark.ml import Pipeline
@@ -67,7 +75,15 @@ def _(t):
     fl.scheduled_profile(t.spark, source, out, schema, max_files=1)
     # A second call finds nothing new and must not count anything twice.
     table = fl.scheduled_profile(t.spark, source, out, schema, max_files=1)
-    return table.withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "std")})
+    return table.drop("quartiles", "distinct").withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "std")})
+
+
+@query("scheduled_sketches")
+def _(t):
+    """Quartiles and distinct counts of arriving files, from merged sketches."""
+    source, out = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "profile")
+    t.lineitem.repartition(4, "l_orderkey").write.parquet(source)
+    return fl.scheduled_profile(t.spark, source, out, t.lineitem.schema, max_files=1).select("column", "rows", "quartiles", "distinct")
 
 
 @query("stream_window_profile", """with w as (select date_trunc('day', ts) as start, event_type, count(*) as n, avg(value) as mean from events group by 1, 2)

@@ -126,6 +126,51 @@ def test_streams_equal_batches(spark, tmp_path):
         fl.check_streamable(fit_cleaner(rows, [{"column": "all", "actionType": "remove_duplicates"}]), True)
 
 
+def test_stream_with_dedup_and_donor_table_equals_batch(spark, tmp_path):
+    from datascry.operators.cleaning import CleanerModel
+    from datascry.operators.imputers import KnnImputer
+    rows = spark.range(120).select((F.col("id") % 100).alias("id"), F.timestamp_seconds(F.col("id") % 100 + 1_700_000_000).alias("at"), F.lit("clash").alias("__instant"),
+                                   F.when(F.col("id") % 100 % 7 != 0, (F.col("id") % 100) * 1.5).alias("v"), F.when(F.col("id") % 100 % 5 != 0, (F.col("id") % 100) * 2.0).alias("w"))
+    rows.filter("id >= 10").repartition(2).write.parquet(str(tmp_path / "in"))
+    fitted = fit_cleaner(rows, [{"column": "all", "actionType": "remove_duplicates"}, {"column": "id", "actionType": "rename:key"}, {"column": "v", "actionType": "impute_knn"}])
+    stored = KnnImputer.fit(rows.withColumnRenamed("id", "key"), ["key", "v", "w"], limit=10)
+    assert stored.donors is None
+    model = CleanerModel(fitted.renames, fitted.actions, {("v", "impute_knn"): stored})
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+
+    def run():
+        fl.write_cleaned(stream, model, str(tmp_path / "out"), str(tmp_path / "ck"), training=True, ts="at").awaitTermination()
+
+    run()
+    rows.filter("id < 10 or id = 50").repartition(1).write.mode("append").parquet(str(tmp_path / "in"))  # an old copy comes again, within the watermark
+    run()
+    key = lambda df: sorted(map(str, df.select("key", "v", "w", "__instant").collect()))
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert key(got) == key(model.transform(rows, training=True)) and got.count() == 100
+    with pytest.raises(ValueError):
+        fl.stream_clean(stream, model, training=True, ts="at")
+    with pytest.raises(ValueError):
+        fl.write_cleaned(stream, model, str(tmp_path / "no"), str(tmp_path / "ck2"), training=True)
+
+
+def test_sketches_of_arriving_files_stay_within_their_bounds(spark, tmp_path):
+    rows = spark.range(40000).select("id", F.when(F.col("id") % 4 == 0, None).when(F.col("id") % 4 == 1, float("nan")).otherwise((F.col("id") * 7919 % 40000).cast("double")).alias("v"),
+                                     (F.col("id") % 1000).cast("string").alias("s"), F.lit(None).cast("double").alias("none"), F.array("id").alias("a"),
+                                     F.create_map(F.lit("k"), "id").alias("m"), F.lit(5.5).alias("same"))
+    source, out = str(tmp_path / "in"), str(tmp_path / "p")
+    rows.repartition(5).write.parquet(source)
+    fl.scheduled_profile(spark, source, out, rows.schema, max_files=1)
+    assert len(list((tmp_path / "p" / "parts").glob("batch=*"))) == 5
+    got = {r["column"]: r for r in fl.scheduled_profile(spark, source, out, rows.schema, max_files=1).collect()}
+    finite = rows.filter("v is not null and not isnan(v)")
+    n = finite.count()
+    for q, value in zip((0.25, 0.5, 0.75), got["v"]["quartiles"]):
+        assert abs(finite.filter(F.col("v") <= value).count() / n - q) < 0.015
+    assert got["same"]["quartiles"] == [5.5] * 3 and got["same"]["distinct"] == 1 and got["none"]["quartiles"] is None and got["none"]["distinct"] == 0
+    assert got["s"]["quartiles"] is None and abs(got["s"]["distinct"] - 1000) < 30 and abs(got["id"]["distinct"] - 40000) < 1200
+    assert abs(got["a"]["distinct"] - 40000) < 1200 and got["m"]["distinct"] is None and got["id"]["rows"] == 40000
+
+
 def test_scheduled_profile_counts_new_files_once(spark, tmp_path):
     rows = spark.range(100).select("id", (F.col("id") * 1.0 + 1e9).alias("v"))
     source, out = str(tmp_path / "in"), str(tmp_path / "p")
