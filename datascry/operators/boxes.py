@@ -91,43 +91,65 @@ def overlap(a: str, b: str) -> Column:
 
 
 def _distinct_boxes(boxes: DataFrame, prefix: str) -> DataFrame:
-    """Equal boxes once with their number; boxes without area overlap nothing."""
-    counted = boxes.filter("w > 0 and h > 0").groupBy(*KEYS, *SHAPE).agg(F.count("*").alias(f"{prefix}n"))
+    """Equal boxes once with their number; boxes without area or centre overlap nothing."""
+    counted = boxes.filter("w > 0 and h > 0 and cx is not null and cy is not null").groupBy(*KEYS, *SHAPE).agg(F.count("*").alias(f"{prefix}n"))
     return counted.withColumnsRenamed({c: f"{prefix}{c}" for c in SHAPE})
 
 
 def _level(c: str) -> Column:
-    return F.floor(F.log2(F.col(c))).cast("int")
+    """The whole l with 2^l <= c < 2^(l+1), exact next to powers of two."""
+    near = F.floor(F.log2(F.col(c))).cast("int")
+    power = lambda n: F.pow(F.lit(2.0), n)
+    return F.when(power(near) > F.col(c), near - 1).when(power(near + 1) <= F.col(c), near + 1).otherwise(near)
 
 
-def _cells(prefix: str, min_iou: float) -> Column:
-    """Grid cells in which a box with enough overlap can have its centre, for all sizes such a box can have.
+def _axis_cells(prefix: str, axis: str, min_iou: float, truth: bool) -> Column:
+    """Cells of one axis at which a box meets its partners: array of (l, i, up, d).
 
-    An overlap of t bounds the ratio of widths (and heights) by t, and the distance of centres along an axis by
-    (1 - t / 2 - t / 2) of the larger width.
+    Two boxes meet once, at the level of the wider one, where a cell is wider than both. up says that this is the
+    predicted box. An overlap of t bounds the ratio of widths by t, so the other box goes up a bounded number of levels,
+    and the distance of centres by (1 - t) of the larger width, so a predicted box takes the cells within that reach.
     """
-    spread = int(np.ceil(np.log2(1 / min_iou)))
+    steps = int(np.ceil(np.log2(1 / min_iou)))
+    length, centre = F.col(f"{prefix}{'w' if axis == 'x' else 'h'}"), F.col(f"{prefix}c{axis}")
+    own = F.col(f"__level_{axis}")
 
-    def axis(level, centre, length):
+    def place(level, d, up, reach):
         size = F.pow(F.lit(2.0), level + 1)
-        reach = F.greatest(F.col(length), size) * (1 - min_iou)
-        return F.transform(F.sequence(F.floor((F.col(centre) - reach) / size), F.floor((F.col(centre) + reach) / size)),
-                           lambda i: F.struct(level.alias("l"), i.cast("long").alias("i")))
+        width = (length if reach == "own" else size) * (1 - min_iou) + size * 1e-9 if reach else F.lit(0.0)
+        cells = F.sequence(F.floor((centre - width) / size), F.floor((centre + width) / size))
+        return F.transform(cells, lambda i: F.struct(level.cast("int").alias("l"), i.cast("long").alias("i"), F.lit(up).alias("up"), d.cast("int").alias("d")))
+
+    if truth:
+        found = [place(own, F.lit(0), False, None)]
+        if steps:
+            found.append(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda d: place(own + d, d, True, None))))
+    else:
+        found = [F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda d: place(own + d, d, False, "cell")))]
+        if steps:
+            found.append(place(own, F.lit(0), True, "own"))
+    return F.concat(*found)
+
+
+def _placed(boxes: DataFrame, prefix: str, min_iou: float, truth: bool) -> DataFrame:
+    """Boxes with their cells (CELL): at most (steps + 1)^2 for a truth box and 9 (steps + 2)^2 for a predicted one, steps = log2(1 / min_iou)."""
+    leveled = boxes.withColumns({"__level_x": _level(f"{prefix}w"), "__level_y": _level(f"{prefix}h")})
+    listed = leveled.withColumns({f"__on_{a}": _axis_cells(prefix, a, min_iou, truth) for a in "xy"}).drop("__level_x", "__level_y")
+    alone = listed.withColumn("__x", F.explode("__on_x")).withColumn("__y", F.explode("__on_y")).drop("__on_x", "__on_y")
+    # The ratios of both axes together are bounded by the overlap, too; whole levels lose less than one step each.
+    likely = alone.filter(F.col("__x.d") + F.col("__y.d") < float(np.log2(1 / min_iou)) + 2 + 1e-9)
+    return likely.withColumns({f"__{n}{a}": F.col(f"__{a}.{n}") for a in "xy" for n in ("l", "i", "up")}).drop("__x", "__y")
 
-    def steps(length):
-        return F.sequence(_level(length) - spread, _level(length) + spread)
 
-    xs = F.flatten(F.transform(steps(f"{prefix}w"), lambda lv: axis(lv, f"{prefix}cx", f"{prefix}w")))
-    ys = F.flatten(F.transform(steps(f"{prefix}h"), lambda lv: axis(lv, f"{prefix}cy", f"{prefix}h")))
-    return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(
-        x["l"].alias("lx"), x["i"].alias("ix"), y["l"].alias("ly"), y["i"].alias("iy")))))
+#: Columns that two boxes share where they meet.
+CELL = [f"__{n}{a}" for a in "xy" for n in ("l", "i", "up")]
 
 
 def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit: int = GROUP_BOXES) -> DataFrame:
     """Distinct boxes of the same image and class with at least `min_iou` overlap.
 
     (image_stem, class_id, t_cx.., t_n, p_cx.., p_n, iou), where t_n and p_n count equal boxes. Where an image has
-    more boxes of a class than `limit` (checked), boxes only meet within cells of a grid fitted to their size.
+    more boxes of a class than `limit` (checked), boxes only meet within cells of a hierarchical grid, one level per size.
     """
     if not 0 < min_iou <= 1:
         raise ValueError("min_iou must lie in (0, 1]")
@@ -136,12 +158,7 @@ def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit
     if max(most) <= limit:
         both = t.join(p, KEYS)
     else:
-        cell = ["lx", "ix", "ly", "iy"]
-        placed = t.withColumns({"lx": _level("t_w"), "ly": _level("t_h")}).withColumns({
-            "ix": F.floor(F.col("t_cx") / F.pow(F.lit(2.0), F.col("lx") + 1)).cast("long"),
-            "iy": F.floor(F.col("t_cy") / F.pow(F.lit(2.0), F.col("ly") + 1)).cast("long")})
-        spread = p.select("*", F.inline(_cells("p_", min_iou)))
-        both = placed.join(spread, KEYS + cell).drop(*cell)
+        both = _placed(t, "t_", min_iou, True).join(_placed(p, "p_", min_iou, False), KEYS + CELL).drop(*CELL)
     return both.withColumn("iou", overlap("t_", "p_")).filter(F.col("iou") >= min_iou)
 
 

@@ -1,3 +1,5 @@
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -75,6 +77,28 @@ def test_grid_finds_the_same_overlaps(spark):
         assert a == b and (least > 0.6 or len(a) > 5)
 
 
+def test_hierarchical_grid_at_any_overlap(spark):
+    rng = np.random.default_rng(4)
+
+    def many(n):
+        size = 2.0 ** rng.uniform(-9, 0, (n, 2))
+        size[: n // 3] = 2.0 ** rng.integers(-6, 0, (n // 3, 2))  # widths at and just under powers of two
+        size[: n // 6] = np.nextafter(size[: n // 6], 0)
+        return [("a", 1, float(x), float(y), float(w), float(h)) for (x, y), (w, h) in zip(rng.uniform(0, 1, (n, 2)).round(2), size)]
+
+    truth, pred = many(240), many(240)
+    pred += truth[:60] + [(*r[:4], r[4] / 2, r[5]) for r in truth[:40]] + [(r[0], r[1], r[2] + r[4] / 3, *r[3:]) for r in truth[:40]]  # equal, at exactly a half, shifted to a half
+    pred += [("a", 1, 0.5, 0.5, 0.0, 0.1), ("a", 1, None, 0.5, 0.1, 0.1)]
+    schema = "image_stem string, class_id int, cx double, cy double, w double, h double"
+    t, p = spark.createDataFrame(truth, schema), spark.createDataFrame(pred, schema)
+    for least in (0.01, 0.5, 1.0):
+        a, b = (sorted(map(str, bx.box_iou_pairs(t, p, least, limit).collect())) for limit in (10**6, 0))
+        assert a == b and len(a) >= 50  # the overlap of some equal boxes rounds to just under 1
+        cells = [bx._placed(bx._distinct_boxes(df, q), q, least, q == "t_").groupBy(f"{q}cx", f"{q}cy", f"{q}w", f"{q}h").count().agg(F.max("count")).first()[0] for df, q in ((t, "t_"), (p, "p_"))]
+        steps = math.ceil(math.log2(1 / least))
+        assert cells[0] <= (steps + 1) ** 2 and cells[1] <= 9 * (steps + 2) ** 2
+
+
 def test_matching_in_groups_equals_rounds(spark):
     truth = boxes(spark, 60, 1)
     pred = boxes(spark, 90, 1, score=True)
