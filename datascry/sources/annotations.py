@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from datascry.operators.encode import label_codes
 from datascry.operators.merge import file_stem, label_lookup
 
 # File endings and folder names that tell the layouts apart.
@@ -15,8 +16,6 @@ LABEL_FOLDERS = ["labels"]
 MASK_FOLDERS = ["masks", "mask"]
 SKIPPED_FOLDERS = ["__pycache__", "temp", "cache"]
 
-MAX_CLASSES = 100_000
-
 
 def relative_path(path, root: str) -> Column:
     """Path below the dataset root, without the scheme."""
@@ -99,7 +98,8 @@ VOC_SCHEMA = T.StructType([
 def read_voc(spark: SparkSession, root: str, class_names: list[str] | None = None, pattern: str = "*.xml") -> DataFrame:
     """VOC XML annotations as normalised boxes: (image_stem, class_name, class_id, cx, cy, w, h).
 
-    Class ids follow `class_names`; names not listed come after them by the alphabet. Images without a size are skipped.
+    Class ids follow `class_names`; names not listed come after them in text order, numbered through ranges, however many there are.
+    A name listed twice counts at its first place. Images without a size are skipped.
     """
     raw = (spark.read.format("xml").option("rowTag", "annotation").option("recursiveFileLookup", True)
            .option("pathGlobFilter", pattern).schema(VOC_SCHEMA).load(root))
@@ -112,9 +112,7 @@ def read_voc(spark: SparkSession, root: str, class_names: list[str] | None = Non
         ((b.xmin + b.xmax) / 2 / width).alias("cx"), ((b.ymin + b.ymax) / 2 / height).alias("cy"),
         ((b.xmax - b.xmin) / width).alias("w"), ((b.ymax - b.ymin) / height).alias("h")).na.drop()
     given = list(class_names or [])
-    fresh = boxes.select("class_name").distinct().filter(~F.col("class_name").isin(given)) if given else boxes.select("class_name").distinct()
-    found = [r[0] for r in fresh.limit(MAX_CLASSES + 1).collect()]
-    if len(found) > MAX_CLASSES:
-        raise ValueError(f"more than {MAX_CLASSES} class names: the name field does not hold classes")
-    ids = spark.createDataFrame([(n, i) for i, n in enumerate(given + sorted(found))], "class_name string, class_id int")
+    listed = spark.createDataFrame([(n, given.index(n)) for n in dict.fromkeys(given)], "class_name string, class_id int")
+    fresh = label_codes(boxes.join(listed, "class_name", "left_anti"), "class_name")
+    ids = listed.unionByName(fresh.select(F.col("label").alias("class_name"), (F.col("code") + len(given)).cast("int").alias("class_id")))
     return boxes.join(ids, "class_name").select("image_stem", "class_name", "class_id", "cx", "cy", "w", "h")

@@ -136,3 +136,13 @@ def test_state_store(spark, tmp_path):
     assert store.read(2).count() == 2
     with pytest.raises(ValueError):
         store.read(3)
+
+
+def test_voc_classes_are_numbered_after_the_listed_ones(spark, tmp_path):
+    box = "<bndbox><xmin>1</xmin><ymin>1</ymin><xmax>5</xmax><ymax>9</ymax></bndbox>"
+    objects = "".join(f"<object><name>{n}</name>{box}</object>" for n in ("dog", "cat", "Ape", "zoo", "cat", "dog"))
+    (tmp_path / "a.xml").write_text(f"<annotation><filename>x.jpg</filename><size><width>10</width><height>10</height></size>{objects}</annotation>")
+    listed = an.read_voc(spark, str(tmp_path), ["zoo", "emu", "zoo"])
+    assert listed.count() == 6
+    assert {(r.class_name, r.class_id) for r in listed.collect()} == {("zoo", 0), ("Ape", 3), ("cat", 4), ("dog", 5)}
+    assert {(r.class_name, r.class_id) for r in an.read_voc(spark, str(tmp_path)).collect()} == {("Ape", 0), ("cat", 1), ("dog", 2), ("zoo", 3)}
