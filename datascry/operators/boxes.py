@@ -96,53 +96,47 @@ def _distinct_boxes(boxes: DataFrame, prefix: str) -> DataFrame:
     return counted.withColumnsRenamed({c: f"{prefix}{c}" for c in SHAPE})
 
 
-def _level(c: str) -> Column:
-    """The whole l with 2^l <= c < 2^(l+1), exact next to powers of two."""
-    near = F.floor(F.log2(F.col(c))).cast("int")
-    power = lambda n: F.pow(F.lit(2.0), n)
-    return F.when(power(near) > F.col(c), near - 1).when(power(near + 1) <= F.col(c), near + 1).otherwise(near)
+# Powers of two of width or height that share one level of the grid.
+OCTAVES = 2
 
 
-def _axis_cells(prefix: str, axis: str, min_iou: float, truth: bool) -> Column:
-    """Cells of one axis at which a box meets its partners: array of (l, i, up, d).
-
-    Two boxes meet once, at the level of the wider one, where a cell is wider than both. up says that this is the
-    predicted box. An overlap of t bounds the ratio of widths by t, so the other box goes up a bounded number of levels,
-    and the distance of centres by (1 - t) of the larger width, so a predicted box takes the cells within that reach.
-    """
-    steps = int(np.ceil(np.log2(1 / min_iou)))
-    length, centre = F.col(f"{prefix}{'w' if axis == 'x' else 'h'}"), F.col(f"{prefix}c{axis}")
-    own = F.col(f"__level_{axis}")
-
-    def place(level, d, up, reach):
-        size = F.pow(F.lit(2.0), level + 1)
-        width = (length if reach == "own" else size) * (1 - min_iou) + size * 1e-9 if reach else F.lit(0.0)
-        cells = F.sequence(F.floor((centre - width) / size), F.floor((centre + width) / size))
-        return F.transform(cells, lambda i: F.struct(level.cast("int").alias("l"), i.cast("long").alias("i"), F.lit(up).alias("up"), d.cast("int").alias("d")))
-
-    if truth:
-        found = [place(own, F.lit(0), False, None)]
-        if steps:
-            found.append(F.flatten(F.transform(F.sequence(F.lit(1), F.lit(steps)), lambda d: place(own + d, d, True, None))))
-    else:
-        found = [F.flatten(F.transform(F.sequence(F.lit(0), F.lit(steps)), lambda d: place(own + d, d, False, "cell")))]
-        if steps:
-            found.append(place(own, F.lit(0), True, "own"))
-    return F.concat(*found)
+def _bounds(low: Column, high: Column) -> Column:
+    """The whole numbers from floor(low) to floor(high)."""
+    return F.sequence(F.floor(low), F.floor(high))
 
 
 def _placed(boxes: DataFrame, prefix: str, min_iou: float, truth: bool) -> DataFrame:
-    """Boxes with their cells (CELL): at most (steps + 1)^2 for a truth box and 9 (steps + 2)^2 for a predicted one, steps = log2(1 / min_iou)."""
-    leveled = boxes.withColumns({"__level_x": _level(f"{prefix}w"), "__level_y": _level(f"{prefix}h")})
-    listed = leveled.withColumns({f"__on_{a}": _axis_cells(prefix, a, min_iou, truth) for a in "xy"}).drop("__level_x", "__level_y")
-    alone = listed.withColumn("__x", F.explode("__on_x")).withColumn("__y", F.explode("__on_y")).drop("__on_x", "__on_y")
-    # The ratios of both axes together are bounded by the overlap, too; whole levels lose less than one step each.
-    likely = alone.filter(F.col("__x.d") + F.col("__y.d") < float(np.log2(1 / min_iou)) + 2 + 1e-9)
-    return likely.withColumns({f"__{n}{a}": F.col(f"__{a}.{n}") for a in "xy" for n in ("l", "i", "up")}).drop("__x", "__y")
+    """Boxes with their cells (CELL): mostly 2 for a truth box and 4 for a predicted one at an overlap of a half.
+
+    Each axis has levels of OCTAVES powers of two, with cells wider than the boxes of the level. Two boxes meet at the level of the
+    wider one. An overlap of t bounds the ratio of widths by t, so a box stands at its own level and at the few that a partner can have
+    (`up`), and the distance of centres by (1 - t) / (1 + t) of the mean width: a truth box takes the cell of its centre, a predicted one
+    the cells within that reach, three at most.
+    """
+    wide, far = -float(np.log2(min_iou)) / OCTAVES, (1 - min_iou) / (1 + min_iou) / 2
+    margin = 0.0 if truth and min_iou == 1 else 1e-9
+    out = boxes
+    for a, n in (("x", "w"), ("y", "h")):
+        length, centre, level, at = F.col(f"{prefix}{n}"), F.col(f"{prefix}c{a}"), f"__l{a}", f"__i{a}"
+        power = F.log2(length) / OCTAVES
+        size = F.pow(F.lit(2.0), (F.col(level) + 1) * OCTAVES)
+        out = out.withColumn(level, F.explode(_bounds(power, power + wide + margin))).withColumn(f"{prefix}up{a}", F.col(level) > F.floor(power))
+        if truth:
+            out = out.withColumn(at, F.floor(centre / size))
+        else:
+            reach = (F.least(length / min_iou, size) + length) * far + size * 1e-9
+            out = out.withColumn(at, F.explode(_bounds((centre - reach) / size, (centre + reach) / size)))
+    return out
 
 
 #: Columns that two boxes share where they meet.
-CELL = [f"__{n}{a}" for a in "xy" for n in ("l", "i", "up")]
+CELL = ["__lx", "__ix", "__ly", "__iy"]
+
+
+def _met(truth: DataFrame, pred: DataFrame) -> DataFrame:
+    """Placed boxes that share a cell at the level of the wider one, so every pair once."""
+    both = truth.join(pred, KEYS + CELL).filter("not (t_upx and p_upx) and not (t_upy and p_upy)")
+    return both.drop(*CELL, *[f"{p}_up{a}" for p in "tp" for a in "xy"])
 
 
 def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit: int = GROUP_BOXES) -> DataFrame:
@@ -158,7 +152,7 @@ def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit
     if max(most) <= limit:
         both = t.join(p, KEYS)
     else:
-        both = _placed(t, "t_", min_iou, True).join(_placed(p, "p_", min_iou, False), KEYS + CELL).drop(*CELL)
+        both = _met(_placed(t, "t_", min_iou, True), _placed(p, "p_", min_iou, False))
     return both.withColumn("iou", overlap("t_", "p_")).filter(F.col("iou") >= min_iou)
 
 

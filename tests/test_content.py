@@ -99,6 +99,14 @@ def test_hierarchical_grid_at_any_overlap(spark):
         assert cells[0] <= (steps + 1) ** 2 and cells[1] <= 9 * (steps + 2) ** 2
 
 
+def test_grid_repeats_boxes_few_times(spark):
+    rng = np.random.default_rng(6)
+    rows = [("a", 1, *map(float, rng.uniform(0, 1, 2)), *map(float, 2.0 ** rng.uniform(-6, 0, 2))) for _ in range(2000)]
+    df = spark.createDataFrame(rows, "image_stem string, class_id int, cx double, cy double, w double, h double")
+    placed = [bx._placed(bx._distinct_boxes(df, q), q, 0.5, q == "t_").count() / len(rows) for q in ("t_", "p_")]
+    assert placed[0] < 3 and placed[1] < 8
+
+
 def test_matching_in_groups_equals_rounds(spark):
     truth = boxes(spark, 60, 1)
     pred = boxes(spark, 90, 1, score=True)
