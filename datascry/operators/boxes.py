@@ -12,7 +12,7 @@ from datascry.functions.scalars import box_area, box_aspect
 from datascry.operators.correlate import corr_pearson
 from datascry.operators.keys import attach, spread
 from datascry.operators.sampling import sample_n
-from datascry.session import cut_lineage
+from datascry.session import cut_lineage, stored
 
 KEYS = ["image_stem", "class_id"]
 SHAPE = ["cx", "cy", "w", "h"]
@@ -20,6 +20,8 @@ SHAPE = ["cx", "cy", "w", "h"]
 GROUP_BOXES = 1000
 # Candidate pairs of one image and class that may be matched in one task.
 GROUP_PAIRS = 500_000
+# Candidate pairs that one call of the matching gets, on average.
+BUCKET_PAIRS = 100_000
 SCORE_BINS = 1000
 IOU_STEPS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
 
@@ -159,26 +161,30 @@ def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit
 # ---- detection quality -----------------------------------------------------------------------------------------
 
 
-def _match_groups(pairs: DataFrame, limits: list[float]) -> DataFrame:
-    """Greedy matching of each group in one task: predictions by score, each takes its best truth that is still free."""
-    schema = T.StructType([T.StructField("limit", T.DoubleType()), *[pairs.schema[c] for c in (*KEYS, "p_id")]])
+def _match_groups(pairs: DataFrame, limits: list[float], total: int) -> DataFrame:
+    """Greedy matching of whole groups, many a task: predictions by score, each takes its best truth that is still free."""
+    schema = T.StructType([*[pairs.schema[c] for c in (*KEYS, "p_id")], T.StructField("limits", T.ArrayType(T.DoubleType()))])
 
     def match(frame: pd.DataFrame) -> pd.DataFrame:
         ordered = frame.sort_values(["score", "p_id", "iou", "t_id"], ascending=[False, True, False, True])
-        rows = list(zip(ordered["p_id"], ordered["t_id"], ordered["iou"]))
-        room = dict(zip(frame["t_id"], frame["t_n"]))
-        won = []
+        preds = ordered.groupby([*KEYS, "p_id"], sort=False).ngroup().to_numpy()
+        truths = ordered.groupby([*KEYS, "t_id"], sort=False).ngroup().to_numpy()
+        iou, room = ordered["iou"].to_numpy(), dict(zip(truths.tolist(), ordered["t_n"].tolist()))
+        won: dict = {}
         for limit in limits:
             free, done = dict(room), set()
-            for p, t, iou in rows:
-                if iou >= limit and p not in done and free[t]:
+            near = np.flatnonzero(iou >= limit)
+            for p, t in zip(preds[near].tolist(), truths[near].tolist()):
+                if p not in done and free[t]:
                     free[t] -= 1
                     done.add(p)
-            won += [(limit, p) for p in done]
-        out = pd.DataFrame(won, columns=["limit", "p_id"])
-        return out.assign(**{k: frame[k].iloc[0] for k in KEYS})[["limit", *KEYS, "p_id"]]
+                    won.setdefault(p, []).append(limit)
+        first = ordered[[*KEYS, "p_id"]].iloc[np.unique(preds, return_index=True)[1]]
+        return first.iloc[list(won)].assign(limits=list(won.values()))
 
-    return spread(pairs, KEYS).groupBy(*KEYS).applyInPandas(match, schema)
+    bucket = F.pmod(F.xxhash64(*KEYS), F.lit(total // BUCKET_PAIRS + 1))
+    bucketed = spread(pairs.withColumn("__bucket", bucket), ["__bucket"])
+    return bucketed.groupBy("__bucket").applyInPandas(match, schema)
 
 
 def _match_rounds(pairs: DataFrame) -> DataFrame:
@@ -194,24 +200,28 @@ def _match_rounds(pairs: DataFrame) -> DataFrame:
         judged = top.withColumn("rk", F.row_number().over(suitor))
         refused = cut_lineage(judged.filter("rk > t_n").select(*group, "p_id", "t_id"))
         if refused.isEmpty():
-            return judged.filter("rk <= t_n").select(*group, "p_id")
+            return judged.filter("rk <= t_n").groupBy(*KEYS, "p_id").agg(F.collect_list("limit").alias("limits"))
         asks = cut_lineage(asks.join(refused, [*group, "p_id", "t_id"], "left_anti"))
 
 
+def _hits(truth: DataFrame, pred: DataFrame, limits: list[float], pair_limit: int) -> DataFrame:
+    """(image_stem, class_id, p_id, limits): predictions that hit a truth box, with the limits at which they do."""
+    near = box_iou_pairs(truth, pred, min(limits))
+    shapes = near.select(*KEYS, F.concat_ws(",", *[f"t_{c}" for c in SHAPE]).alias("t_id"), "t_n", *[F.col(f"p_{c}").alias(c) for c in SHAPE], "iou")
+    pairs = stored(shapes.join(pred.select(*KEYS, *SHAPE, "p_id", "score"), [*KEYS, *SHAPE]).drop(*SHAPE), "pairs")
+    most, total = pairs.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (most or 0) <= pair_limit:
+        return _match_groups(pairs, limits, total or 0)
+    return _match_rounds(pairs.withColumn("limit", F.explode(F.lit(limits))).filter("iou >= limit"))
+
+
 def match_detections(truth: DataFrame, pred: DataFrame, limits: list[float] | None = None, pair_limit: int = GROUP_PAIRS) -> DataFrame:
     """Predictions that hit a truth box: (limit, image_stem, class_id, p_id). `pred` also has p_id and score.
 
     Equal truth boxes count as one with room for several predictions, so copies never multiply.
     """
-    limits = limits or IOU_STEPS
-    near = box_iou_pairs(truth, pred, min(limits))
-    shapes = near.select(*KEYS, F.concat_ws(",", *[f"t_{c}" for c in SHAPE]).alias("t_id"), "t_n", *[F.col(f"p_{c}").alias(c) for c in SHAPE], "iou")
-    pairs = shapes.join(pred.select(*KEYS, *SHAPE, "p_id", "score"), [*KEYS, *SHAPE]).drop(*SHAPE)
-    most = pairs.groupBy(*KEYS).agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    limits = [float(x) for x in limits]
-    if most <= pair_limit:
-        return _match_groups(pairs, limits)
-    return _match_rounds(pairs.withColumn("limit", F.explode(F.lit(limits))).filter("iou >= limit"))
+    hits = _hits(truth, pred, [float(x) for x in limits or IOU_STEPS], pair_limit)
+    return hits.select(F.explode("limits").alias("limit"), *KEYS, "p_id")
 
 
 def detection_map(truth: DataFrame, pred: DataFrame, pair_limit: int = GROUP_PAIRS) -> DataFrame:
@@ -220,11 +230,13 @@ def detection_map(truth: DataFrame, pred: DataFrame, pair_limit: int = GROUP_PAI
     Scores are cut into at most SCORE_BINS + 1 bins per class, so the curves are bounded; the area is taken under
     the falling envelope of precision.
     """
-    hits = match_detections(truth, pred, pair_limit=pair_limit).withColumn("hit", F.lit(1))
-    limits = F.explode(F.lit([float(x) for x in IOU_STEPS])).alias("limit")
-    every = pred.select(*KEYS, "p_id", F.round(F.col("score") * SCORE_BINS, 0).cast("int").alias("bin"), limits)
-    marked = attach(every, hits, ["limit", *KEYS, "p_id"])
-    bins = marked.groupBy("limit", "class_id", "bin").agg(F.count("hit").alias("tp"), F.count("*").alias("n"))
+    steps = [float(x) for x in IOU_STEPS]
+    every = pred.select(*KEYS, "p_id", F.round(F.col("score") * SCORE_BINS, 0).cast("int").alias("bin"))
+    marked = attach(every, _hits(truth, pred, steps, pair_limit), [*KEYS, "p_id"])
+    # A prediction is one row with its limits; rows per limit begin with the bounded bins.
+    counted = marked.groupBy("class_id", "bin").agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("limits", x)).alias(f"tp{i}") for i, x in enumerate(steps)])
+    tried = F.explode(F.array(*[F.struct(F.lit(x).alias("limit"), F.col(f"tp{i}").alias("tp")) for i, x in enumerate(steps)]))
+    bins = counted.select("class_id", "bin", "n", tried.alias("__at")).select("__at.limit", "class_id", "bin", "__at.tp", "n")
     truths = truth.groupBy("class_id").agg(F.count("*").alias("truths"))
     group = Window.partitionBy("limit", "class_id")
     down = group.orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, 0)

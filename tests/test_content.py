@@ -114,6 +114,15 @@ def test_matching_in_groups_equals_rounds(spark):
     assert a == b and len(a) > 50
 
 
+def test_many_groups_are_matched_in_one_call_and_predictions_stay_one_row(spark, monkeypatch):
+    truth, pred = boxes(spark, 60, 1), boxes(spark, 90, 1, score=True)
+    hits = bx._hits(truth, pred, [0.3, 0.6], 10**6)
+    assert hits.groupBy("image_stem", "class_id", "p_id").count().filter("count > 1").isEmpty()
+    whole = sorted(map(str, bx.match_detections(truth, pred, [0.3, 0.6]).collect()))
+    monkeypatch.setattr(bx, "BUCKET_PAIRS", 5)
+    assert sorted(map(str, bx.match_detections(truth, pred, [0.3, 0.6]).collect())) == whole
+
+
 def test_perfect_and_useless_detections(spark):
     truth = boxes(spark, 40, 1).dropDuplicates()
     hit = truth.withColumns({"p_id": F.concat_ws("-", "image_stem", "cx"), "score": F.lit(0.9)})
