@@ -9,6 +9,10 @@ from datascry.sources import tables as tb
 from pyspark.sql import functions as F
 
 
+# Rows of one written document. A power of two, so that documents end where the row numbers of a task do.
+DOCUMENT_ROWS = 1024
+
+
 def written(t, name):
     return scratch_path(t.spark, name)
 
@@ -54,11 +58,14 @@ def _(t):
 
 @query("scan_json_doc", """select s_suppkey, s_name, s_acctbal, k as part from supplier, (values (0), (1)) v(k)""")
 def _(t):
-    # One document per supplier, each an object around its table.
+    # Documents of up to DOCUMENT_ROWS suppliers, each an object around its table, one to a file.
     path = written(t, "supplier.json")
     row = lambda k: F.struct("s_suppkey", "s_name", "s_acctbal", F.lit(k).alias("part"))
-    doc = F.to_json(F.struct(F.lit("v1").alias("about"), F.array(row(0), row(1)).alias("rows")))
-    t.supplier.select(doc.alias("value"), F.col("s_suppkey").alias("file")).write.partitionBy("file").text(path)
+    at = F.monotonically_increasing_id()
+    rows = t.supplier.select(F.floor(at / DOCUMENT_ROWS).alias("file"), F.array(row(0), row(1)).alias("pair"))
+    table = F.flatten(F.collect_list("pair")).alias("rows")
+    docs = rows.groupBy("file").agg(F.to_json(F.struct(F.lit("v1").alias("about"), table)).alias("value"))
+    docs.select("value", "file").write.partitionBy("file").text(path)
     return tb.read_table(t.spark, path, "json").select("s_suppkey", "s_name", "s_acctbal", F.col("part").cast("int").alias("part"))
 
 
@@ -119,7 +126,10 @@ def _(t):
     doc = F.concat(F.lit("<annotation><filename>x.jpg</filename><size>"), part("width", width), F.lit("<height>10</height></size>"),
                    one(0), one(1), F.lit("</annotation>"))
     path = written(t, "voc")
-    t.supplier.select(doc.alias("value"), F.col("s_suppkey").alias("image")).write.partitionBy("image").text(path)
+    # Files of up to DOCUMENT_ROWS annotations below one root.
+    rows = t.supplier.select(F.floor(F.monotonically_increasing_id() / DOCUMENT_ROWS).alias("file"), doc.alias("doc"))
+    files = rows.groupBy("file").agg(F.concat(F.lit("<annotations>"), F.array_join(F.collect_list("doc"), ""), F.lit("</annotations>")).alias("value"))
+    files.select("value", "file").write.partitionBy("file").text(path)
     boxes = an.read_voc(t.spark, path, pattern="*.txt")
     return boxes.groupBy("class_name").agg(F.count("*").alias("boxes"), F.round(F.avg("cx"), 6).alias("mean_cx"), F.round(F.avg("w"), 6).alias("mean_w"))
 
