@@ -64,26 +64,36 @@ def _(t):
 NUMERIC = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
+# Rows of one arriving file, about.
+ARRIVAL_ROWS = 4_000_000
+
+
+def arrivals(t):
+    """Order lines as files that arrive in four batches: (folder, files a batch). Files and tasks grow in number with the table, not in size."""
+    source = scratch_path(t.spark, "arrivals")
+    each = -(-t.lineitem.count() // (4 * ARRIVAL_ROWS))
+    t.lineitem.repartition(4 * max(each, 1), "l_orderkey").write.parquet(source)
+    return source, max(each, 1)
+
+
 @query("scheduled_profile", "\nunion all ".join([f"""select '{c}' as "column", count(*) as rows, count(*) - count({c}) as missing, round(min({c})::double, 4) as min, round(max({c})::double, 4) as max,
        round(avg({c}), 4) as mean, round(stddev_samp({c}), 4) as std from lineitem""" for c in NUMERIC] + [f"""select '{c}', count(*), count(*) - count({c}), null, null, null, null from lineitem"""
                                                                                                             for c in ("l_returnflag", "l_linestatus", "l_shipdate")]))
 def _(t):
-    source = scratch_path(t.spark, "arrivals")
-    t.lineitem.repartition(4, "l_orderkey").write.parquet(source)
+    source, each = arrivals(t)
     out = scratch_path(t.spark, "profile")
     schema = t.lineitem.schema
-    fl.scheduled_profile(t.spark, source, out, schema, max_files=1)
+    fl.scheduled_profile(t.spark, source, out, schema, max_files=each)
     # A second call finds nothing new and must not count anything twice.
-    table = fl.scheduled_profile(t.spark, source, out, schema, max_files=1)
+    table = fl.scheduled_profile(t.spark, source, out, schema, max_files=each)
     return table.drop("quartiles", "distinct").withColumns({c: F.round(c, 4) for c in ("min", "max", "mean", "std")})
 
 
 @query("scheduled_sketches")
 def _(t):
     """Quartiles and distinct counts of arriving files, from merged sketches."""
-    source, out = scratch_path(t.spark, "arrivals"), scratch_path(t.spark, "profile")
-    t.lineitem.repartition(4, "l_orderkey").write.parquet(source)
-    return fl.scheduled_profile(t.spark, source, out, t.lineitem.schema, max_files=1).select("column", "rows", "quartiles", "distinct")
+    (source, each), out = arrivals(t), scratch_path(t.spark, "profile")
+    return fl.scheduled_profile(t.spark, source, out, t.lineitem.schema, max_files=each).select("column", "rows", "quartiles", "distinct")
 
 
 @query("stream_window_profile", """with w as (select date_trunc('day', ts) as start, event_type, count(*) as n, avg(value) as mean from events group by 1, 2)

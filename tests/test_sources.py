@@ -146,3 +146,31 @@ def test_voc_classes_are_numbered_after_the_listed_ones(spark, tmp_path):
     assert listed.count() == 6
     assert {(r.class_name, r.class_id) for r in listed.collect()} == {("zoo", 0), ("Ape", 3), ("cat", 4), ("dog", 5)}
     assert {(r.class_name, r.class_id) for r in an.read_voc(spark, str(tmp_path)).collect()} == {("Ape", 0), ("cat", 1), ("dog", 2), ("zoo", 3)}
+
+
+def test_scanned_documents_and_annotations_share_files(spark, tmp_path, monkeypatch):
+    from datascry import catalog
+    from datascry.catalog import scans
+
+    catalog.load_all()
+    suppliers = spark.createDataFrame([(i, f"s{i}", i % 25, i / 4) for i in range(300)], "s_suppkey long, s_name string, s_nationkey long, s_acctbal double")
+    suppliers.coalesce(2).write.parquet(str(tmp_path / "supplier.parquet"))
+    paths = []
+    monkeypatch.setattr(scans, "written", lambda t, name: paths.append(tmp_path / name) or str(tmp_path / name))
+    monkeypatch.setattr(scans, "DOCUMENT_ROWS", 64)
+    got = catalog.QUERIES["scan_json_doc"](spark, str(tmp_path)).collect()
+    assert sorted((r.s_suppkey, r.part) for r in got) == [(i, k) for i in range(300) for k in (0, 1)]
+    assert sum(r.boxes for r in catalog.QUERIES["scan_voc_xml"](spark, str(tmp_path)).collect()) == 2 * 270
+    assert [len(list(p.rglob("*.txt"))) <= 7 for p in paths] == [True, True]
+
+
+def test_arrivals_grow_in_number_not_in_size(spark, tmp_path, monkeypatch):
+    from datascry import catalog
+    from datascry.catalog import flows
+
+    spark.range(1000).withColumnRenamed("id", "l_orderkey").write.parquet(str(tmp_path / "lineitem.parquet"))
+    t = catalog.Tables(spark, str(tmp_path))
+    assert flows.arrivals(t)[1] == 1
+    monkeypatch.setattr(flows, "ARRIVAL_ROWS", 50)
+    source, each = flows.arrivals(t)
+    assert each == 5 and spark.read.parquet(source).count() == 1000 and len(spark.read.parquet(source).inputFiles()) == 20
