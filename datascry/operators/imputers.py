@@ -19,9 +19,14 @@ DONOR_ROWS = 50_000
 QUERY_ROWS = 20_000
 # Boxes of donor blocks that travel with the tasks at most; blocks grow with the table so that there are no more.
 MAX_BOXES = 50_000
-# Donor blocks that an incomplete block meets first, per missing column.
-NEAREST_BLOCKS = 2
+# Missing patterns for which donors are laid out by the columns known there, at most; a pattern gets a layout of its own from one row
+# in LAYOUT_SHARE donors on. Others use the layout by all columns.
+MAX_LAYOUTS = 8
+LAYOUT_SHARE = 1000
+# Distances between rows and boxes that a task holds at once.
+BOUNDS = 1_000_000
 BLOCK = "__block"
+LAYOUT = "__layout"
 
 
 def any_null(cols: list[str]):
@@ -60,7 +65,12 @@ def nearest_values(queries: np.ndarray, donors: np.ndarray, k: int):
             by_value = by_value[np.argsort(donors[by_value, j], kind="stable")]
             for i in rows:
                 d = dist[i, by_value]
-                near = np.argsort(d, kind="stable")[:k]
+                if len(d) > 4 * k:
+                    at_most = np.partition(d, k - 1)[k - 1]  # NaN, the greatest here, where fewer than k are known
+                    close = np.flatnonzero(~np.isnan(d) if np.isnan(at_most) else d <= at_most)
+                    near = close[np.argsort(d[close], kind="stable")[:k]]
+                else:
+                    near = np.argsort(d, kind="stable")[:k]
                 near = near[~np.isnan(d[near])]
                 yield start + i, j, d[near], donors[by_value[near], j]
 
@@ -69,14 +79,22 @@ def _cuts_below(x, cuts: list[float]):
     return F.size(F.filter(F.lit(cuts), lambda b: b <= x))
 
 
-def blocked(df: DataFrame, cols: list[str], rows: int) -> DataFrame:
+def pattern_of(cols: list[str]):
+    """One digit per column: 0 where it is missing."""
+    return F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
+
+
+def blocked(df: DataFrame, cols: list[str], rows: int, layout: str = "") -> DataFrame:
     """`df` with a column BLOCK: blocks of about `rows` rows that lie near each other, stored.
 
     The order is that of the missing pattern, then of interleaved bits of each column's place among its quantiles (a Z curve), then of
-    the values. Range partitions of that order are cut into blocks, so no pattern and no value fills a task. Blocks also end where the
-    pattern changes, unless there are so many patterns that blocks would get too many.
+    the values; with a `layout`, a missing pattern, only of the columns known there. Range partitions of that order are cut into blocks,
+    so no pattern and no value fills a task. Blocks also end where the pattern changes, unless there are so many patterns that blocks
+    would get too many.
     """
-    used = cols[:60]
+    lead = [c for c, known in zip(cols, layout or "1" * len(cols)) if known == "1"]
+    order = lead + [c for c in cols if c not in lead]
+    used = lead[:60]
     bits = max(1, min(6, 60 // len(used)))
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     cuts = df.agg(*[F.percentile_approx(c, shares, 1000).alias(f"c{i}") for i, c in enumerate(used)]).first()
@@ -85,50 +103,86 @@ def blocked(df: DataFrame, cols: list[str], rows: int) -> DataFrame:
         place = F.coalesce(_cuts_below(F.col(c), cuts[f"c{i}"] or [0.0]), F.lit(0)).cast("long")
         for k in range(bits):
             code = code.bitwiseOR(F.shiftleft(F.shiftright(place, k).bitwiseAND(F.lit(1).cast("long")), k * len(used) + i))
-    pattern = F.concat(*[F.when(F.col(c).isNull(), "0").otherwise("1") for c in cols])
-    ranges = in_ranges(df.withColumns({"__pattern": pattern, "__z": code}), [], ["__pattern", "__z", *cols])
+    ranges = in_ranges(df.withColumns({"__pattern": pattern_of(lead), "__z": code}), [], ["__pattern", "__z", *order])
     pieces = ranges.select(RANGE, "__pattern").distinct().count()
     part = [RANGE, "__pattern"] if pieces <= MAX_BOXES else [RANGE]
-    place = F.row_number().over(Window.partitionBy(*part).orderBy("__pattern", "__z", *cols)) - 1
+    place = F.row_number().over(Window.partitionBy(*part).orderBy("__pattern", "__z", *order)) - 1
     placed = ranges.withColumn("__at", F.floor(place / rows).cast("long"))
-    return stored(placed.withColumn(BLOCK, F.xxhash64(*part, "__at")).drop("__pattern", "__z", "__at", RANGE), "blocks")
+    return stored(placed.withColumn(BLOCK, F.xxhash64(*part, "__at", F.lit(layout))).drop("__pattern", "__z", "__at", RANGE), "blocks")
 
 
 def boxes_of(blocks: DataFrame, cols: list[str]) -> DataFrame:
-    """One row per block: rows, and per column (in order) least, largest and number of known values."""
-    return blocks.groupBy(BLOCK).agg(F.count("*").alias("rows"), F.array(*[F.min(c) for c in cols]).alias("low"), F.array(*[F.max(c) for c in cols]).alias("high"),
-                                     F.array(*[F.count(c) for c in cols]).alias("known"))
+    """One row per block: layout, rows, and per column (in order) least, largest and number of known values."""
+    return blocks.groupBy(BLOCK, LAYOUT).agg(F.count("*").alias("rows"), F.array(*[F.min(c) for c in cols]).alias("low"), F.array(*[F.max(c) for c in cols]).alias("high"),
+                                             F.array(*[F.count(c) for c in cols]).alias("known"))
 
 
 class Boxes:
-    """Bounds around blocks of rows, as matrices; a bound of a column is used only where every row of the block knows it."""
+    """Bounds around blocks of donors, as matrices; a bound of a column is used only where every row of the block knows it."""
 
     def __init__(self, frame: pd.DataFrame):
-        self.ids, self.rows = frame[BLOCK].to_numpy(np.int64), frame["rows"].to_numpy(np.int64)
+        self.ids, self.rows, self.layout = frame[BLOCK].to_numpy(np.int64), frame["rows"].to_numpy(np.int64), frame[LAYOUT].to_numpy(object)
         stacked = lambda c: np.array([[np.nan if x is None else x for x in r] for r in frame[c]], dtype=float)
-        self.low, self.high, self.known = stacked("low"), stacked("high"), stacked("known")
+        low, high, self.known = stacked("low"), stacked("high"), stacked("known")
         whole = self.known == self.rows[:, None]
-        self.low, self.high = np.where(whole, self.low, np.nan), np.where(whole, self.high, np.nan)
+        self.low, self.high = np.where(whole, low, -np.inf), np.where(whole, high, np.inf)
         self.most = (self.known > 0).sum(1)
 
-    def least_distances(self, other: Boxes, i: int):
-        """At most the distance of any row of block i of `other` from any row of each own block; infinite where they share nothing useful."""
-        width = self.low.shape[1]
-        with np.errstate(invalid="ignore"):
-            gap = np.maximum(np.maximum(self.low - other.high[i], other.low[i] - self.high), 0.0)
-        bound = (np.nan_to_num(gap) ** 2).sum(1) * (width / np.maximum(np.minimum(self.most, other.most[i]), 1))
-        have, lack = other.known[i] > 0, other.known[i] < other.rows[i]
-        useful = ((self.known > 0) & have).any(1) & ((self.known > 0) & lack).any(1)
+    def of(self, layout: str) -> Boxes:
+        """The blocks of one layout."""
+        some, own = object.__new__(Boxes), self.layout == layout
+        some.ids, some.rows, some.layout, some.known = self.ids[own], self.rows[own], self.layout[own], self.known[own]
+        some.low, some.high, some.most = self.low[own], self.high[own], self.most[own]
+        return some
+
+    def least_distances(self, q: np.ndarray) -> np.ndarray:
+        """Per row and block, at most the distance of the row from any donor of the block; infinite where they share nothing useful."""
+        have, held = ~np.isnan(q), self.known > 0
+        bound = np.zeros((len(q), len(self.ids)))
+        for j in range(q.shape[1]):
+            x = np.where(have[:, j], q[:, j], 0.0)[:, None]
+            with np.errstate(invalid="ignore"):
+                gap = np.nan_to_num(np.maximum(np.maximum(self.low[:, j] - x, x - self.high[:, j]), 0.0), posinf=np.inf)
+            bound += np.where(have[:, j, None], gap * gap, 0.0)
+        bound *= q.shape[1] / np.maximum(np.minimum(self.most, have.sum(1)[:, None]), 1)
+        useful = (have.astype(float) @ held.T.astype(float) > 0) & ((~have).astype(float) @ held.T.astype(float) > 0)
         return np.where(useful, bound * (1 - 1e-9), np.inf)
 
+    def first(self, q: np.ndarray, far: np.ndarray, k: int) -> np.ndarray:
+        """Per row and block, whether the row meets the block first: the nearest ones that know k values of each missing column.
+
+        Of equally near blocks the one that knows most of the row's columns comes first, then the one whose farthest corner is nearest:
+        its donors bound the rest best.
+        """
+        lacks = np.isnan(q)
+        rows = np.arange(len(q))
+        whole = self.known == self.rows[:, None]
+        shared = np.where(far == far.min(1, keepdims=True), (~lacks).astype(float) @ whole.T.astype(float), -1.0)
+        corner = np.zeros(far.shape)
+        for j in range(q.shape[1]):
+            reach = np.maximum(q[:, j, None] - self.low[:, j], self.high[:, j] - q[:, j, None])
+            corner += np.where(whole[:, j] & ~lacks[:, j, None], reach * reach, 0.0)
+        nearest = np.where(shared == shared.max(1, keepdims=True), corner, np.inf).argmin(1)
+        met = np.zeros(far.shape, dtype=bool)
+        met[rows, nearest] = np.isfinite(far[rows, nearest])
+        for i in np.flatnonzero(((self.known[nearest] < k) & lacks).any(1)):
+            order = np.argsort(far[i], kind="stable")
+            order = order[np.isfinite(far[i, order])]
+            for j in np.flatnonzero(lacks[i]):
+                before = np.cumsum(self.known[order, j]) - self.known[order, j]
+                enough = order[before < k]
+                met[i, enough[self.known[enough, j] > 0]] = True
+        return met
+
 
 class KnnImputer:
     """Mean of the k nearest donors. Donors are the distinct training rows with how often each occurs, at most k.
 
     Up to DONOR_ROWS donors (counted first) travel with the tasks. Beyond that donors are a stored table of blocks that lie near each
-    other, with a box around each. A block of incomplete rows first meets the few donor blocks nearest to it; the k-th distances found
-    bound the rest, and it then meets those blocks whose box is within that bound, no others. Only the k best per pair of
-    blocks leave a task. The stored table is part of the fitted plan.
+    other, with a box around each. Donors are laid out once more for each common missing pattern, by the columns known there, so that
+    the donors near an incomplete row lie in few blocks. An incomplete row first meets the donor block nearest to it; the k-th distances
+    found bound the rest, and it then meets those blocks whose box is within that bound, no others. Rows travel in blocks, and only the
+    k best per row and donor block leave a task. The stored table is part of the fitted plan.
     """
 
     def __init__(self, cols: list[str], k: int, means: list[float], donors: np.ndarray | None, table: DataFrame | None, path: str | None = None):
@@ -176,64 +230,82 @@ class KnnImputer:
 
         return fill
 
+    def _laid_out(self, asked: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The donors in every layout that serves the incomplete rows, and these rows with their layout."""
+        cols = self.cols
+        donors = self.table.drop(BLOCK)
+        n = self.table.count()
+        asked = asked.withColumn("__own", pattern_of(cols))
+        common = asked.groupBy("__own").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "__own").limit(MAX_LAYOUTS + 1).collect()
+        own = [r["__own"] for r in common if r["n"] * LAYOUT_SHARE >= n][:MAX_LAYOUTS]
+        size = max(DONOR_ROWS // 16, 1, -(-n // MAX_BOXES))
+        tables = [blocked(donors, cols, size, p).withColumn(LAYOUT, F.lit(p)) for p in own]
+        if any(r["__own"] not in own for r in common):
+            tables.append(self.table.withColumn(LAYOUT, F.lit("")))
+        layout = F.when(F.col("__own").isin(own), F.col("__own")).otherwise("") if own else F.lit("")
+        return reduce(DataFrame.unionByName, tables), asked.withColumn(LAYOUT, layout).drop("__own")
+
     def _pairs(self, sides: DataFrame, donors: Boxes, within: bool) -> DataFrame:
-        """(__q, __d): the first donor blocks of each incomplete block or, `within`, the others no farther than its column `radius`."""
-        k = self.k
+        """(cols..., __q, __d): the donor blocks each incomplete row meets first or, `within`, the others no farther than its column `radius`."""
+        cols, k = self.cols, self.k
 
         def run(frames):
+            layouts = {}
             for frame in frames:
-                asked = Boxes(frame)
-                for i in range(len(frame)):
-                    far = donors.least_distances(asked, i)
-                    order = np.lexsort((np.arange(len(far)), far))
-                    order = order[np.isfinite(far[order])]
-                    first: set = set()
-                    for j in np.flatnonzero(asked.known[i] < asked.rows[i]):
-                        enough = order[np.cumsum(donors.known[order, j]) - donors.known[order, j] < k]
-                        first |= set(enough[donors.known[enough, j] > 0].tolist()) | set(order[donors.known[order, j] > 0][:NEAREST_BLOCKS].tolist())
-                    chosen = [d for d in order.tolist() if (d in first) != within and (not within or far[d] <= frame["radius"].iloc[i])]
-                    yield pd.DataFrame({"__q": asked.ids[i], "__d": donors.ids[chosen]})
-
-        return sides.mapInPandas(run, "__q long, __d long")
-
-    def _met(self, asked: DataFrame, pairs: DataFrame) -> DataFrame:
-        """(cols..., __q, column, distance, value): the k nearest donors of each incomplete row in each block that its block meets."""
+                for name, rows in frame.groupby(LAYOUT):
+                    if name not in layouts:
+                        layouts[name] = donors.of(name)
+                    boxes = layouts[name]
+                    step = max(1, BOUNDS // max(len(boxes.ids), 1))
+                    for start in range(0, len(rows) if len(boxes.ids) else 0, step):
+                        part = rows.iloc[start:start + step]
+                        q = part[cols].to_numpy(dtype=float)
+                        far = boxes.least_distances(q)
+                        met = boxes.first(q, far, k)
+                        if within:
+                            met = ~met & np.isfinite(far) & (far <= part["radius"].to_numpy(dtype=float)[:, None])
+                        i, d = np.nonzero(met)
+                        yield part.iloc[i][[*cols, BLOCK]].rename(columns={BLOCK: "__q"}).assign(__d=boxes.ids[d])
+
+        return sides.mapInPandas(run, ", ".join([f"`{c}` double" for c in cols] + ["__q long", "__d long"]))
+
+    def _met(self, left: DataFrame, table: DataFrame) -> DataFrame:
+        """(cols..., column, distance, value): the k nearest donors of each incomplete row in each block that it meets."""
         cols, k = self.cols, self.k
-        left = asked.withColumnRenamed(BLOCK, "__q").join(pairs, "__q").select(*cols, "__q", "__d")
+        pairs = left.select("__q", "__d").distinct()
         # A shared donor block is repeated for every block that asks for it; names of its own keep both sides of the cogroup apart.
-        right = self.table.withColumnRenamed(BLOCK, "__d").join(pairs, "__d").select(*[F.col(c).alias(c) for c in [*cols, "__q", "__d"]])
-        schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols] + [T.StructField("__q", T.LongType()), T.StructField("column", T.IntegerType()),
-                                                                                 T.StructField("distance", T.DoubleType()), T.StructField("value", T.DoubleType())])
+        right = table.withColumnRenamed(BLOCK, "__d").join(pairs, "__d").select(*[F.col(c).alias(c) for c in [*cols, "__q", "__d"]])
+        schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols] + [T.StructField("column", T.IntegerType()), T.StructField("distance", T.DoubleType()),
+                                                                                 T.StructField("value", T.DoubleType())])
 
         def best(queries, donors):
             q = queries[cols].to_numpy(dtype=float)
             found = [np.column_stack([np.repeat(q[i][None, :], len(v), 0), np.full(len(v), j), dist, v])
                      for i, j, dist, v in nearest_values(q, donors[cols].to_numpy(dtype=float), k) if len(v)]
             out = pd.DataFrame(np.vstack(found) if found else np.empty((0, len(cols) + 3)), columns=[*cols, "column", "distance", "value"])
-            out.insert(len(cols), "__q", queries["__q"].iloc[0] if len(queries) else 0)
-            return out.astype({"column": "int32", "__q": "int64"})
+            return out.astype({"column": "int32"})
 
         keys = ["__q", "__d"]
-        near = spread(left, keys).groupBy(*keys).cogroup(spread(right, keys).groupBy(*keys)).applyInPandas(best, schema)
-        w = Window.partitionBy(*cols, "column").orderBy("distance", "value")
-        return near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+        return spread(left, keys).groupBy(*keys).cogroup(spread(right, keys).groupBy(*keys)).applyInPandas(best, schema)
 
     def _fill_from_table(self, holes: DataFrame) -> DataFrame:
         cols, k = self.cols, self.k
         some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols])
         asked = blocked(holes.select(*cols).filter(some).distinct(), cols, max(1, QUERY_ROWS // 16))
-        sides = boxes_of(asked, cols)
-        donors = Boxes(boxes_of(self.table, cols).toPandas())  # MAX_BOXES and the shuffle partitions bound their number
-        first = stored(self._met(asked, self._pairs(sides, donors, False)), "nearest-first")
-        # The k-th distance of every missing cell bounds its block; a cell with fewer donors so far leaves the block unbounded.
-        cells = first.groupBy(*cols, "__q", "column").agg(F.count("*").alias("n"), F.max("distance").alias("far")).filter(F.col("n") >= k)
-        reach = cells.groupBy(F.col("__q").alias(BLOCK)).agg(F.count("*").alias("settled"), F.max("far").alias("far"))
-        lacking = F.aggregate("known", F.lit(0).cast("long"), lambda s, x: s + F.col("rows") - x)
-        bounded = sides.join(reach, BLOCK, "left").withColumn("radius", F.when(F.col("settled") >= lacking, F.col("far")).otherwise(F.lit(float("inf"))))
-        rest = self._met(asked, self._pairs(bounded.drop("settled", "far"), donors, True))
-        near = first.unionByName(rest).drop("rk")
+        if asked.isEmpty():
+            return holes.withColumns({c: F.coalesce(F.col(c), F.lit(self.means[j])) for j, c in enumerate(cols)})
+        table, asked = self._laid_out(asked)
+        donors = Boxes(boxes_of(table, cols).toPandas())  # MAX_BOXES, MAX_LAYOUTS and the shuffle partitions bound their number
+        first = stored(self._met(stored(self._pairs(asked, donors, False), "pairs"), table), "nearest-first")
+        # The k-th distance of every missing cell bounds its row; a cell with fewer donors so far leaves the row unbounded.
         w = Window.partitionBy(*cols, "column").orderBy("distance", "value")
-        picked = near.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
+        near = first.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == k)
+        reach = near.groupBy(*cols).agg(F.count("*").alias("__settled"), F.max("distance").alias("__far"))
+        lacking = sum(((F.col(c).isNull() | F.isnan(c)).cast("int") for c in cols), F.lit(0))
+        radius = F.when(F.col("__settled") >= lacking, F.col("__far")).otherwise(F.lit(float("inf")))
+        bounded = attach(asked, reach, cols).withColumn("radius", radius).drop("__settled", "__far")
+        rest = self._met(stored(self._pairs(bounded, donors, True), "pairs"), table)
+        picked = first.unionByName(rest).withColumn("rk", F.row_number().over(w)).filter(F.col("rk") <= k)
         filled = picked.groupBy(*cols).pivot("column", list(range(len(cols)))).agg(F.avg("value"))
         named = filled.withColumnsRenamed({str(j): f"__near_{j}" for j in range(len(cols))})
         joined = attach(holes, named, cols)

@@ -150,3 +150,25 @@ def test_knn_meets_only_blocks_within_the_bound(spark, monkeypatch):
     assert sum(n for n, _ in met) < met[0][1] / 2, met  # the clusters lie apart: most pairs of blocks are beyond the bound
     again = im.KnnImputer.load(spark, model.cols, model.k, model.means, model.path)
     assert np.allclose(np.array([[r[c] for c in cols] for r in again.transform(df).orderBy("id").collect()]), want)
+
+
+def test_knn_donors_near_in_the_known_columns_lie_in_few_blocks(spark, monkeypatch):
+    """A wide missing column must not spread the near donors over all blocks."""
+    monkeypatch.setattr(im, "DONOR_ROWS", 1600)
+    monkeypatch.setattr(im, "QUERY_ROWS", 320)
+    rng = np.random.default_rng(5)
+    x = np.column_stack([rng.uniform(0, 5e5, 4000).round(2), rng.integers(0, 400, 4000), rng.integers(1, 13, 4000)]).astype(float)
+    x[rng.random(4000) < 0.05, 0] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    met = []
+    plain = im.KnnImputer._pairs
+
+    def watched(self, sides, donors, within):
+        pairs = plain(self, sides, donors, within)
+        met.append((pairs.count(), sides.count() * len(donors.ids)))
+        return pairs
+
+    monkeypatch.setattr(im.KnnImputer, "_pairs", watched)
+    got = np.array([[r[c] for c in "abc"] for r in im.KnnImputer.fit(df, list("abc"), limit=40).transform(df).orderBy("id").collect()])
+    assert np.allclose(got, brute_knn(x, x))
+    assert sum(n for n, _ in met) < 0.4 * met[0][1], met
