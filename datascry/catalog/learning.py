@@ -6,7 +6,7 @@ from datascry.operators import evaluate as ev
 from datascry.operators import models as m
 from datascry.operators import profile as p
 from datascry.operators.sampling import split_train_test
-from datascry.session import scratch_path
+from datascry.session import scratch_path, stored
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -305,8 +305,12 @@ def _(t):
 
 
 def fitted_orders(t):
-    """Cleaned, featurised and trained on the training orders; scored rows are the test orders."""
+    """Cleaned, featurised and trained on the training orders; scored rows are the test orders.
+
+    The joined rows are stored once: every step of the fit would join again, and send the customers through the driver each time.
+    """
     rows = split_train_test(orders(t).withColumn("c_acctbal", F.when(F.col("o_orderkey") % 11 != 0, F.col("c_acctbal"))), "o_orderkey")
+    rows = stored(rows, "orders")
     fit, test = parts(rows)
     fit, test = fit.drop("split"), test.drop("split")
     cleaner = cl.fit_cleaner(fit, [{"column": "c_acctbal", "actionType": "impute_median"}, {"column": "o_totalprice", "actionType": "drop_outliers"},

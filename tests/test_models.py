@@ -176,3 +176,17 @@ def test_cells_on_codes_and_label_codes_over_ranges(spark, monkeypatch):
     names = spark.range(50_000).select(F.concat(F.lit("one long common prefix "), F.lpad("id", 6, "0")).alias("name"))
     coded = label_codes(names, "name")
     assert coded.where("code <> cast(right(label, 6) as int)").isEmpty() and coded.count() == 50_000
+
+
+def test_orders_are_joined_once_for_a_fitted_pipeline(spark, tmp_path):
+    from datascry.catalog import Tables
+    from datascry.catalog.learning import fitted_orders
+
+    spark.createDataFrame([(i, i % 6, float(i * 31 % 17), "OFP"[i % 3], f"{1 + i % 2}-X") for i in range(90)],
+                          "o_orderkey long, o_custkey long, o_totalprice double, o_orderstatus string, o_orderpriority string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(i, float(i), "AB"[i % 2], i) for i in range(6)],
+                          "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey long").write.parquet(f"{tmp_path}/customer.parquet")
+    fitted, test = fitted_orders(Tables(spark, str(tmp_path)))
+    scored = fitted.transform(test)
+    assert scored.count() == test.count() > 0
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
