@@ -30,6 +30,11 @@ from datascry.session import stored
 SEED = 42
 TEXT_TERMS = 15
 MAX_CLASSES = 1000
+# Training rows a task may hold in memory at most, and rows below which another task does not pay.
+TASK_ROWS = 500_000
+LEAST_ROWS = 20_000
+# Families that pass over their rows again and again.
+ITERATIVE = ("logistic", "linear_svm", "random_forest", "boosted", "mlp")
 
 
 # ---- task and target -------------------------------------------------------------------------------------------
@@ -239,11 +244,39 @@ def classifier(family: str, classes: int, width: int | None = None, label: str =
     raise ValueError(f"unknown classifier {family}")
 
 
+def spread_rows(rows: DataFrame, n: int) -> DataFrame:
+    """The n rows dealt evenly over every core, at most TASK_ROWS to a task: a scan gives a task whole row groups or files, however few there are."""
+    parts = max(-(-n // TASK_ROWS), min(rows.sparkSession.sparkContext.defaultParallelism, n // LEAST_ROWS))
+    return rows.repartition(parts) if parts > 1 else rows
+
+
+def counted_rows(rows: DataFrame, task: str, label: str, features: str) -> DataFrame:
+    """Equal rows once, with how often they occur in __weight; for regression rows of equal features, with their mean label.
+
+    Boosted trees fitted on these are those of the single rows: a sum over rows of equal features is the weight times the mean, and the
+    spread inside them falls out of every gain.
+    """
+    if task == "regression":
+        return rows.groupBy(features).agg(F.avg(label).alias(label), F.count(label).cast("double").alias("__weight"))
+    return rows.groupBy(features, label).agg(F.count("*").cast("double").alias("__weight"))
+
+
 def train(family: str, rows: DataFrame, task: str, classes: int = 0, **params):
     """Fit one family on rows that hold `features` and the label."""
+    label, features = params.get("label", "label"), params.get("features", "features")
+    n = rows.count()
+    if family == "boosted":
+        rows = stored(counted_rows(rows.select(label, features), task, label, features), "counted")
+        spread = spread_rows(rows, rows.count())
+        if task == "regression":
+            return regressor(family, n, **params).setWeightCol("__weight").fit(spread)
+        model = classifier(family, classes, **params)
+        return model.setWeightCol("__weight").fit(spread)
+    if family in ITERATIVE:
+        rows = spread_rows(rows.select(label, features), n)
     if task == "regression":
-        return regressor(family, rows.count(), **params).fit(rows)
-    width = rows.first()[params.get("features", "features")].size if family == "mlp" else None
+        return regressor(family, n, **params).fit(rows)
+    width = rows.first()[features].size if family == "mlp" else None
     return classifier(family, classes, width, **params).fit(rows)
 
 

@@ -190,3 +190,33 @@ def test_orders_are_joined_once_for_a_fitted_pipeline(spark, tmp_path):
     scored = fitted.transform(test)
     assert scored.count() == test.count() > 0
     assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_boosted_trees_count_equal_rows_once(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    a, b = rng.integers(0, 40, 6000), rng.integers(0, 5, 6000)
+    y = 3.0 * a + b * b + rng.normal(0, 5, 6000)
+    df = spark.createDataFrame([(i, float(p), float(q), float(v), float(v > 60)) for i, (p, q, v) in enumerate(zip(a, b, y))], "id long, a double, b double, label double, big double")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    seen = []
+    plain = m.spread_rows
+    monkeypatch.setattr(m, "spread_rows", lambda rows, n: seen.append((n, rows.schema["features"].metadata)) or plain(rows, n))
+
+    def guesses(model):
+        return [r[0] for r in model.transform(df).orderBy("id").select("prediction").collect()]
+
+    assert np.allclose(guesses(m.train_boosted(df, "regression", trees=6)), guesses(m.regressor("boosted", 6000, trees=6).fit(df)), rtol=1e-9)
+    assert guesses(m.train_boosted(df, "classification", 2, label="big", trees=4)) == guesses(m.classifier("boosted", 2, label="big", trees=4).fit(df))
+    assert seen[0][0] <= 200 and seen[1][0] <= 400 and all(meta == df.schema["features"].metadata for _, meta in seen)
+
+
+def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
+    """One file or row group must not make one task hold every row."""
+    monkeypatch.setattr(m, "TASK_ROWS", 50)
+    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.range(0, 400, 1, 1).select((F.col("id") % 9).cast("double").alias("x"), (F.col("id") % 2).cast("double").alias("label")))
+    sizes = []
+    plain = m.spread_rows
+    monkeypatch.setattr(m, "spread_rows", lambda rows, n: (sizes.append([len(p) for p in plain(rows, n).rdd.glom().collect()]), plain(rows, n))[1])
+    m.train_random_forest(df, "regression", trees=2)
+    m.train_mlp(df, 2, iterations=2)
+    assert all(len(s) == 8 and max(s) <= 60 for s in sizes) and len(sizes) == 2, sizes
