@@ -138,7 +138,7 @@ def _(t):
 
 @query("leaderboard")
 def _(t):
-    fit, test = parts(line_rows(t))
+    fit, test = parts(stored(line_rows(t), "lines"))
     models = {f: m.train(f, fit, "regression") for f in ("linear", "ridge", "lasso", "random_forest", "boosted")}
     return m.leaderboard(models, test, "regression")
 
