@@ -6,7 +6,7 @@ import json
 import random
 from dataclasses import dataclass, field
 
-from pyspark.ml import Estimator, Pipeline, PipelineModel
+from pyspark.ml import Estimator, Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import (GBTClassifier, LinearSVC, LogisticRegression, MultilayerPerceptronClassifier, NaiveBayes, OneVsRest,
                                        RandomForestClassifier)
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
@@ -366,16 +366,38 @@ def _evaluator(task: str, label: str):
     return RegressionEvaluator(labelCol=label, metricName="r2")
 
 
+def apply_unfitted(pipeline: Pipeline, rows: DataFrame) -> tuple[DataFrame, Pipeline]:
+    """Rows with the stages that learn nothing and need only columns at hand applied, without the inputs that no later stage reads, and the other stages."""
+    rest, used = [], set()
+    for stage in pipeline.getStages():
+        needs = _columns(stage, "inputCol", "inputCols")
+        if isinstance(stage, Transformer) and needs and set(needs) <= set(rows.columns):
+            rows = stage.transform(rows)
+            used |= set(needs)
+        else:
+            rest.append(stage)
+    read = {c for stage in rest for c in _columns(stage, *[p.name for p in stage.params if p.name.endswith(("Col", "Cols"))])}
+    return rows.drop(*[c for c in used if c not in read]), Pipeline(stages=rest)
+
+
+def _columns(stage, *names: str) -> list[str]:
+    """The columns that the named parameters of a stage hold."""
+    held = [stage.getOrDefault(n) for n in names if stage.hasParam(n) and stage.isDefined(n)]
+    return [c for v in held for c in ([v] if isinstance(v, str) else v)]
+
+
 def cross_validate(pipeline: Pipeline, rows: DataFrame, key, task: str, label: str = "label", k: int = 5, parallelism: int = 4) -> DataFrame:
     """Mean score and spread over k hash folds; the whole pipeline is refitted per fold, so no fold leaks.
 
-    k falls to the size of the smallest class.
+    k falls to the size of the smallest class. Leading stages that learn nothing (tokens of texts) run once for all folds.
     """
     if task == "classification":
         smallest = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0] or 0
         k = max(2, min(k, smallest))
     folded = rows.withColumn("__fold", hash_bucket(key, k, "fold").cast("int"))
-    cv = CrossValidator(estimator=pipeline, estimatorParamMaps=[{}], evaluator=_evaluator(task, label), numFolds=k, foldCol="__fold",
+    ready, rest = apply_unfitted(pipeline, folded)
+    folded = stored(spread_rows(ready, rows.count()), "folded")
+    cv = CrossValidator(estimator=rest, estimatorParamMaps=[{}], evaluator=_evaluator(task, label), numFolds=k, foldCol="__fold",
                         parallelism=parallelism)
     fitted = cv.fit(folded)
     return rows.sparkSession.createDataFrame([(k, float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0]))], "folds int, mean double, std double")
@@ -390,7 +412,7 @@ def tune(rows: DataFrame, task: str, classes: int = 0, family: str = "random_for
     settings = [{count: rng.randint(10, 100), inner.maxDepth: rng.randint(3, 10)} for _ in range(trials)]
     search = TrainValidationSplit(estimator=base, estimatorParamMaps=settings or ParamGridBuilder().build(), evaluator=_evaluator(task, label),
                                   trainRatio=0.8, parallelism=parallelism, seed=SEED)
-    kept = rows.persist()
+    kept = spread_rows(rows, rows.count()).persist()
     try:
         fitted = search.fit(kept)
     finally:

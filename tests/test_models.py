@@ -220,3 +220,16 @@ def test_training_rows_are_dealt_over_tasks(spark, monkeypatch):
     m.train_random_forest(df, "regression", trees=2)
     m.train_mlp(df, 2, iterations=2)
     assert all(len(s) == 8 and max(s) <= 60 for s in sizes) and len(sizes) == 2, sizes
+
+
+def test_texts_are_cut_once_for_all_folds(spark):
+    from pyspark.ml import Pipeline
+
+    rows = spark.createDataFrame([(i, f"word{i % 7} other{i % 3} same", float(i % 2), float(i % 5)) for i in range(60)], "id long, text string, label double, x double")
+    pipeline = Pipeline(stages=[*m.text_stages("text", "tf", 20), VectorAssembler(inputCols=["tf", "x"], outputCol="features"), m.classifier("logistic", 2)])
+    ready, rest = m.apply_unfitted(pipeline, rows)
+    assert [type(s).__name__ for s in rest.getStages()] == ["CountVectorizer", "IDF", "VectorAssembler", "LogisticRegression"]
+    assert ready.columns == ["id", "label", "x", "tf_k"]
+    whole = pipeline.fit(rows).transform(rows).orderBy("id").select("prediction").collect()
+    assert rest.fit(ready).transform(ready).orderBy("id").select("prediction").collect() == whole
+    assert m.cross_validate(pipeline, rows, "id", "classification", k=3).first()["folds"] == 3
