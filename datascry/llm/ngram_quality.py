@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from statistics import NormalDist
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from datascry.llm.base import named, short_batches, written
 from datascry.llm.blocks import BLOCK_BYTES, answered, in_blocks
+from datascry.operators.quantiles import quantiles
 
 #: Letters that a model knows, as many as fit 8 bits besides 0, which stands for every other letter and for the text's start.
 LETTERS = 255
@@ -16,9 +18,14 @@ LETTERS = 255
 BROADCAST_GRAMS = 1_000_000
 #: What a short text's deviation is shrunk by: as if so many letters, or pairs of words, of the trusted average stood in it besides.
 AVERAGE_LETTERS, AVERAGE_PAIRS = 100, 50
-#: A sign of toxic text: a word, or the start of one, that is in so many toxic teaching texts and so many times likelier there than in
-#: clean ones. Starts have 3 to STARTS letters. Words without a sign that an average text holds besides.
-SIGN_TEXTS, SIGN_RATIO, STARTS, AVERAGE_WORDS = 3, 5.0, 10, 50
+#: A sign of toxic text: a word, or the start of one, that is in so many toxic teaching texts, in at least that share of them, and so
+#: many times likelier there than in clean ones. The share keeps the number of signs independent of the number of texts. Starts have 3
+#: to STARTS letters. Words without a sign that an average text holds besides.
+SIGN_TEXTS, SIGN_SHARE, SIGN_RATIO, STARTS, AVERAGE_WORDS = 3, 1 / 500, 5.0, 10, 50
+#: Different grams, or signs, that a task counts before it hands the counts on.
+HELD_COUNTS = 500_000
+#: Words whose signs a task remembers.
+HELD_WORDS = 200_000
 
 
 def letter_codes(text: str, codes, order: int):
@@ -54,20 +61,40 @@ def alphabet(texts: DataFrame):
     return codes
 
 
-def gram_counts(texts: DataFrame, codes, order: int) -> DataFrame:
-    """(model, k, code, c): counts of the longest grams, and for shorter ones the number of different letters seen before them."""
+def gram_counts(texts: DataFrame, codes, order: int, overall: bool = False) -> DataFrame:
+    """(model, k, code, c): counts of the longest grams, and for shorter ones the number of different letters seen before them.
+
+    overall: the model named '' gets the counts of all models.
+    """
     sent = texts.sparkSession.sparkContext.broadcast(codes)
 
     def run(batches):
         import numpy as np
         import pandas as pd
+        held: dict[str, tuple] = {}
+
+        def told(model):
+            every, n = held.pop(model)
+            return pd.DataFrame({"model": model, "code": every.astype(np.int64), "c": n})
+
         for batch in batches:
             for model, group in batch.groupby("model"):
                 every, n = np.unique(np.concatenate([letter_codes(x, sent.value, order) for x in group["_text"].tolist()]), return_counts=True)
-                yield pd.DataFrame({"model": model, "code": every.astype(np.int64), "c": n})
+                if model in held:
+                    (old, n_old), fresh, n_fresh = held[model], every, n
+                    every, back = np.unique(np.concatenate([old, fresh]), return_inverse=True)
+                    n = np.zeros(len(every), np.int64)
+                    np.add.at(n, back, np.concatenate([n_old, n_fresh]))
+                held[model] = every, n
+                if len(every) > HELD_COUNTS:
+                    yield told(model)
+        for model in list(held):
+            yield told(model)
 
     grams = texts.select("model", "_text").mapInPandas(run, "model string, code long, c long").groupBy("model", "code").agg(F.sum("c").alias("c"))
     level = written(grams, "grams")
+    if overall:
+        level = level.where("model <> ''").unionByName(level.groupBy("code").agg(F.sum("c").alias("c")).select(F.lit("").alias("model"), "code", "c"))
     every = level.select("model", F.lit(order).alias("k"), "code", "c")
     for k in range(order - 1, 0, -1):
         level = level.groupBy("model", F.col("code").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("code")).agg(F.count("*").alias("c"))
@@ -121,13 +148,13 @@ def gram_logs(wanted, counts, order: int, cuts: dict, unigrams: dict):
 class LetterModel:
     """Counts of all orders as a sharded table; alphabet, discounts and single letters, which have a fixed size, beside it."""
 
-    def __init__(self, trusted: DataFrame, order: int):
-        """trusted: (model, _text)."""
+    def __init__(self, trusted: DataFrame, order: int, overall: bool = False):
+        """trusted: (model, _text). overall: the model named '' learns from the texts of all models."""
         import numpy as np
         trusted = trusted.where("_text is not null and model is not null")
         self.order = order
         self.codes = alphabet(trusted)
-        self.counts = gram_counts(trusted, self.codes, order)
+        self.counts = gram_counts(trusted, self.codes, order, overall)
         self.cuts = discounts(self.counts)
         self.unigrams: dict = {}
         for row in self.counts.where("k = 1").collect():
@@ -166,7 +193,7 @@ def letter_perplexity(docs: DataFrame, letters: LetterModel, signs: dict | None
                 if not text or model is None:
                     continue
                 key = (block, model)
-                held.setdefault(key, []).append(np.unique(letter_codes(text, sent.value, order)))
+                held.setdefault(key, []).append(letter_codes(text, sent.value, order))
                 sizes[key] = sizes.get(key, 0) + len(held[key][-1])
                 if sizes[key] > 1_000_000:
                     parts = [np.unique(np.concatenate(held[key]))]
@@ -246,63 +273,149 @@ def letter_perplexity(docs: DataFrame, letters: LetterModel, signs: dict | None
     return answered(blocked, answers, lambda frame, found: look_up(frame, by_model(found), toxic_scorer(sent_signs.value)), schema)
 
 
-def word_signs(word: str) -> list[str]:
-    """The word with a blank behind it and its starts; marks and digits at its ends do not count, nor words under 3 letters."""
+def bare(word: str) -> str:
+    """The word without marks and digits at its ends."""
     a, b = 0, len(word)
     while a < b and not word[a].isalpha():
         a += 1
     while a < b and not word[b - 1].isalpha():
         b -= 1
-    word = word[a:b]
-    return [word + " ", *[word[:k] for k in range(3, min(len(word), STARTS) + 1)]] if b - a >= 3 else []
+    return word[a:b]
+
+
+def word_signs(word: str) -> list[str]:
+    """The word with a blank behind it and its starts; marks and digits at its ends do not count, nor words under 3 letters."""
+    word = bare(word)
+    return [word + " ", *[word[:k] for k in range(3, min(len(word), STARTS) + 1)]] if len(word) >= 3 else []
+
+
+class FoundSigns(dict):
+    """From a word to those of its signs that are among `signs`. Remembers `held` words.
+
+    All beginnings of the signs are kept, so a word is followed only as far as some sign agrees with it.
+    """
 
+    def __init__(self, signs, held: int):
+        super().__init__()
+        self.held = held
+        self.begun = dict.fromkeys((s[:k] for s in signs for k in range(3, len(s))), "")
+        self.begun.update(zip(signs, signs))
 
-def toxic_signs(teach: DataFrame, clean: dict, toxic: dict) -> DataFrame:
-    """(model, sign, weight) of teach(model, toxic, _text): log of how much likelier a sign is in toxic texts; counted once a text."""
+    def __missing__(self, word: str) -> tuple:
+        if len(self) > self.held:
+            self.clear()
+        found = self[word] = self.signs_of(word)
+        return found
+
+    def signs_of(self, word: str) -> tuple:
+        line, begun, found = (word if word[0].isalpha() and word[-1].isalpha() else bare(word)) + " ", self.begun, ()
+        for k in range(3, len(line) + 1):
+            sign = begun.get(line[:k])
+            if sign is None:
+                break
+            if sign:
+                found += (sign,)
+        return found
+
+
+class WordWeights(dict):
+    """From a word to the weight of its heaviest sign, 0 without one. Remembers `held` words."""
+
+    def __init__(self, signs: dict, held: int):
+        super().__init__()
+        self.signs, self.held, self.find = signs, held, FoundSigns(signs, 0).signs_of
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > self.held:
+            self.clear()
+        weight = self[word] = max(map(self.signs.__getitem__, self.find(word)), default=0.0)
+        return weight
+
+
+def sign_counts(texts: DataFrame, wanted: dict | None = None) -> DataFrame:
+    """(model, sign, n): in how many texts of texts(model, _text) a sign is; of `wanted` (model to signs), where given, those alone."""
+    sent = texts.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
+        from collections import Counter
+
         import pandas as pd
-        for batch in batches:
-            for model, bad, text in zip(batch["model"].tolist(), batch["toxic"].tolist(), batch["_text"].tolist()):
-                found = {s for w in set(text.lower().split()) for s in word_signs(w)}
-                yield pd.DataFrame({"model": model, "sign": pd.Series(list(found), dtype=object), "bad": int(bad)})
+        asked, counts = sent.value, {}
+        finders = {model: FoundSigns(signs, HELD_WORDS // len(asked)).__getitem__ for model, signs in (asked or {}).items()}
 
-    counted = teach.select("model", "toxic", "_text").mapInPandas(run, "model string, sign string, bad int").groupBy("model", "sign").agg(
-        F.sum("bad").alias("a"), F.sum(1 - F.col("bad")).alias("c")).where(F.col("a") >= SIGN_TEXTS)
-    sizes = teach.sparkSession.createDataFrame([(m, float(toxic[m]), float(clean.get(m, 0))) for m in toxic], "model string, n_toxic double, n_clean double")
-    weight = F.log((F.col("a") + 0.5) / (F.col("n_toxic") + 1) / ((F.col("c") + 0.5) / (F.col("n_clean") + 1)))
-    return counted.join(F.broadcast(sizes), "model").select("model", "sign", weight.alias("weight")).where(F.col("weight") >= F.log(F.lit(SIGN_RATIO)))
+        def told(model):
+            found = counts.pop(model)
+            return pd.DataFrame({"model": model, "sign": pd.Series(list(found), dtype=object), "n": list(found.values())})
+
+        for batch in batches:
+            for model, text in zip(batch["model"].tolist(), batch["_text"].tolist()):
+                words = set(text.lower().split())
+                if asked is None:
+                    found = {s for w in words for s in word_signs(w)}
+                else:
+                    found = set().union(*map(finders[model], words))
+                counts.setdefault(model, Counter()).update(found)
+                if len(counts[model]) > HELD_COUNTS:
+                    yield told(model)
+        for model in list(counts):
+            yield told(model)
+
+    return texts.select("model", "_text").mapInPandas(run, "model string, sign string, n long").groupBy("model", "sign").agg(F.sum("n").alias("n"))
+
+
+def toxic_signs(teach: DataFrame, overall: bool = False) -> dict:
+    """{model: {sign: weight}} of teach(model, toxic, _text): log of how much likelier a sign is in toxic texts; counted once a text.
+
+    Toxic texts tell which signs are common enough, the clean ones then count those alone. overall: the model named '' learns
+    from the texts of all models.
+    """
+    def totals(counted, *by):
+        if not overall:
+            return counted
+        return counted.where("model <> ''").unionByName(counted.groupBy(*by).agg(F.sum("n").alias("n")).select(F.lit("").alias("model"), *by, "n"))
+
+    sizes = {(x.model, x.toxic): x.n for x in totals(teach.groupBy("model", "toxic").agg(F.count("*").alias("n")), "toxic").collect()}
+    needed = {m: max(SIGN_TEXTS, n * SIGN_SHARE) for (m, toxic), n in sizes.items() if toxic}
+    if not needed:
+        return {}
+    enough = teach.sparkSession.createDataFrame([(m, float(n)) for m, n in needed.items()], "model string, needed double")
+    bad: dict[str, dict] = {m: {} for m in needed}
+    for x in totals(sign_counts(teach.where("toxic")), "sign").join(F.broadcast(enough), "model").where("n >= needed").collect():
+        bad[x.model][x.sign] = x.n
+    models = [x.model for x in teach.select("model").distinct().collect()]
+    wanted = {m: {*bad.get(m, ()), *(bad.get("", ()) if overall else ())} for m in models}
+    clean = {(x.model, x.sign): x.n for x in totals(sign_counts(teach.where("not toxic"), wanted), "sign").collect()}
+    signs: dict[str, dict] = {}
+    for model, found in bad.items():
+        n_toxic, n_clean = sizes[model, True], sizes.get((model, False), 0)
+        for sign, n in found.items():
+            weight = math.log((n + 0.5) / (n_toxic + 1) / ((clean.get((model, sign), 0) + 0.5) / (n_clean + 1)))
+            if weight >= math.log(SIGN_RATIO):
+                signs.setdefault(model, {})[sign] = weight
+    return signs
 
 
 def toxic_scorer(signs: dict):
     """score(model, text): the sum of its words' heaviest signs per word, AVERAGE_WORDS words without one added; None without signs or text."""
-    known: dict[tuple, float] = {}
+    known = {model: WordWeights(weights, HELD_WORDS // len(signs)) for model, weights in signs.items() if weights}
 
     def score(model, text):
-        weights = signs.get(model)
-        if not weights or not text:
+        if model not in known or not text:
             return None
-        if len(known) > 30_000:
-            known.clear()
-        words, total = text.lower().split(), 0.0
-        for word in words:
-            weight = known.get((model, word))
-            if weight is None:
-                weight = known[model, word] = max((weights.get(s, 0.0) for s in word_signs(word)), default=0.0)
-            total += weight
-        return total / (len(words) + AVERAGE_WORDS)
+        words = text.lower().split()
+        return sum(map(known[model].__getitem__, words)) / (len(words) + AVERAGE_WORDS)
 
     return score
 
 
-def tail_limit(column: str, share: float):
+def tail_limit(column: str, share: float, quantile):
     """The quantile, or the normal tolerance limit (confidence 0.95) from mean and spread where that is further out."""
     z, sure, n = abs(NormalDist().inv_cdf(share)), NormalDist().inv_cdf(0.95), F.greatest(F.count(column), F.lit(4))
     a = 1 - sure ** 2 / (2 * (n - 1))
     tail = F.stddev_pop(column) * (z + F.sqrt(z ** 2 - a * (z ** 2 - sure ** 2 / n))) / a
     if share < 0.5:
-        return F.least(F.percentile(column, F.lit(share)), F.mean(column) - tail)
-    return F.greatest(F.percentile(column, F.lit(share)), F.mean(column) + tail)
+        return F.least(quantile, F.mean(column) - tail)
+    return F.greatest(quantile, F.mean(column) + tail)
 
 
 def shrunk(value, mean, n, average: int):
@@ -327,22 +440,24 @@ def trusted_limits(audit: DataFrame, low: float, high: float) -> DataFrame:
 
     audit = audit.withColumn("low", F.when(F.col("taught"), F.col("x"))).withColumn("high", F.when(~F.col("taught"), F.col("x"))).withColumn("r", F.when(~F.col("taught"), F.col("r")))
     audit = audit.withColumn("toxicity", F.when(~F.col("taught"), F.col("toxicity")))
-    return audit.groupBy("model", "mean", "repeated_mean").agg(tail_limit("low", low).alias("low"), tail_limit("high", high).alias("high"), tail_limit("r", high).alias("repeated_high"), tail_limit("toxicity", high).alias("toxicity_limit"))
+    shares = {"low": low, "high": high, "r": high, "toxicity": high}
+    points = quantiles(audit, list(shares), [low, high], by=["model"])
+    points = points.groupBy("model").agg(*[F.max(F.when(F.col("column") == c, F.col("q")[0 if share == low else 1])).alias(f"q_{c}") for c, share in shares.items()])
+    limits = [tail_limit(c, share, F.max(f"q_{c}")).alias(name) for (c, share), name in zip(shares.items(), ("low", "high", "repeated_high", "toxicity_limit"))]
+    return audit.join(F.broadcast(points), "model").groupBy("model", "mean", "repeated_mean").agg(*limits)
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_id: str = "doc_id",
-            label_col: str = "quality", toxic_col: str = "toxic", max_trusted: int = 1500, low: float = 0.002, high: float = 0.998, order: int = 4,
+            label_col: str = "quality", toxic_col: str = "toxic", low: float = 0.002, high: float = 0.998, order: int = 4,
             carry: tuple = (), keep_text: bool = False) -> DataFrame:
     """Per row: lang, n_letters, perplexity, low_limit, high_limit, repeated, repeated_limit, toxicity, toxicity_limit, kept (the columns named in `carry`, and with `keep_text` the text).
 
-    Trusted texts are rows that the labels call 1 in `label_col` and not 1 in `toxic_col`. Per language the `max_trusted` of them with the smallest hash of id and
-    text are used, a documented bound; those whose hash is odd teach the model, the others set its limits. Two measures are
-    limited: the mean log probability of a letter, either way, and the share of pairs of adjacent words that the text held
+    Trusted texts are rows that the labels call 1 in `label_col` and not 1 in `toxic_col`, all of them, equal rows once; those whose
+    hash of id and text is odd teach the model, the others set its limits. Two measures are limited: the mean log probability of a letter, either way, and the share of pairs of adjacent words that the text held
     before (repetition that the letters do not show), from above. A short text varies more, so its deviation from the trusted
     mean is shrunk by its length; the limits are the quantiles `low` and `high` of the shrunk deviations, and the limits told
     for a row are those of its own length. A third measure looks for toxic text where labels have `toxic_col`: words and starts
-    of words that are likelier in texts labelled toxic (again `max_trusted` per language at most) than in the trusted texts that
-    teach, weighed by that log ratio per word; its limit is the quantile `high` of the other trusted texts. Text outside a limit is rejected. Everything is scored, each text whole.
+    of words that are likelier in all texts labelled toxic than in the trusted texts that teach, weighed by that log ratio per word; its limit is the quantile `high` of the other trusted texts. Text outside a limit is rejected. Everything is scored, each text whole.
 
     A language with fewer than 20 trusted texts (and null) uses a model and limits from the texts of all languages. Empty and
     null texts have no perplexity and are kept: nothing speaks against them. Without trusted text everything is kept.
@@ -356,13 +471,11 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
     bad = F.max(F.coalesce(F.col(toxic_col) == 1, F.lit(False))) if toxic_col in labels.columns else F.lit(False)
     known = labels.where(F.col(label_id).isNotNull()).groupBy(F.col(label_id).cast("string").alias("_id")).agg(
         F.max(F.coalesce(F.col(label_col) == 1, F.lit(False))).alias("good"), bad.alias("toxic")).where("good or toxic").drop("good")
-    ranked = rows.where("_text is not null and _text <> ''").select("_id", "lang", F.xxhash64("_id", "_text").alias("h")).join(known, "_id")
-    picked = ranked.distinct().withColumn("n", F.row_number().over(Window.partitionBy("lang", "toxic").orderBy("h", "_id"))).where(F.col("n") <= max_trusted)
-    picked = written(picked.select("_id", "lang", "h", "toxic"), "trusted-ids")
-    chosen = picked.select("_id", "h", "toxic").distinct()
-    chosen = F.broadcast(chosen) if chosen.count() <= 500_000 else chosen
-    texts = rows.select("_id", "lang", "_text", F.xxhash64("_id", "_text").alias("h")).join(chosen, ["_id", "h"])
-    labelled = written(texts.dropDuplicates(["_id", "h"]), "trusted-texts")
+    known = written(known, "labelled-ids")
+    known = F.broadcast(known) if known.count() <= 500_000 else known
+    hashed = rows.withColumn("h", F.xxhash64("_id", "_text"))
+    labelled = hashed.where("_text is not null and _text <> ''").select("_id", "lang", "_text", "h").join(known, "_id")
+    labelled = written(labelled.dropDuplicates(["_id", "h", "lang"]), "labelled-texts")
     texts = labelled.where("not toxic")
     own = [x.lang for x in texts.groupBy("lang").agg(F.count("*").alias("n")).where("n >= 20 and lang is not null").collect()]
     if texts.isEmpty():
@@ -372,20 +485,19 @@ def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col
         return renamed(named(out, id_col, kind), carry, text_col)
     model = F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit("")) if own else F.lit("")
     odd = F.col("h").bitwiseAND(F.lit(1)) == 1
+    # The model of all languages is learnt and limited where a language has none of its own.
+    overall = bool(own) and not rows.where(model == "").isEmpty()
     every = labelled.withColumn("model", model)
-    if own:  # the model of all languages is there for the others
-        every = every.where("model <> ''").unionByName(every.withColumn("model", F.lit("")))
-    trusted = every.where("not toxic")
-    teach = trusted.where(odd).select("model", "_text")
-    letters = LetterModel(teach, order)
-    n_texts = {(x.model, x.toxic): x.n for x in every.where(odd | F.col("toxic")).groupBy("model", "toxic").agg(F.count("*").alias("n")).collect()}
-    clean, toxic = [{m: n for (m, t), n in n_texts.items() if t == kind_of} for kind_of in (False, True)]
-    signs: dict[str, dict] = {}
-    for x in toxic_signs(every.where(odd | F.col("toxic")), clean, toxic).collect() if toxic else ():
-        signs.setdefault(x.model, {})[x.sign] = x.weight
-    scored = letter_perplexity(rows.withColumn("model", model), letters, signs, keep_text)
-    audit = letter_perplexity(trusted.select("model", odd.alias("taught"), "_text"), letters, signs)
-    out = scored.join(F.broadcast(trusted_limits(audit, low, high)), "model", "left")
+    letters = LetterModel(every.where(odd & ~F.col("toxic")).select("model", "_text"), order, overall)
+    signs = toxic_signs(every.where(odd | F.col("toxic")), overall)
+    scored = written(letter_perplexity(hashed.withColumn("model", model), letters, signs, keep_text), "scored")
+    measures = ["n_letters", "perplexity", "n_pairs", "repeated", "toxicity"]
+    audit = scored.where("perplexity is not null").select("_id", "h", "lang", "model", *measures).join(known, "_id").where("not toxic").dropDuplicates(["_id", "h", "lang"])
+    audit = audit.select("model", odd.alias("taught"), *measures)
+    if overall:
+        again = letter_perplexity(texts.select(F.lit("").alias("model"), odd.alias("taught"), "_text"), letters, signs)
+        audit = audit.where("model <> ''").unionByName(again.select("model", "taught", *measures))
+    out = scored.drop("h").join(F.broadcast(trusted_limits(audit, low, high)), "model", "left")
     wider = 1 + AVERAGE_LETTERS / F.col("n_letters")
     out = out.withColumn("low_limit", F.when(F.col("n_letters") > 0, F.pow(F.lit(10.0), F.col("mean") + F.col("low") * wider)))
     out = out.withColumn("high_limit", F.when(F.col("n_letters") > 0, F.pow(F.lit(10.0), F.col("mean") + F.col("high") * wider)))

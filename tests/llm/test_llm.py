@@ -240,6 +240,23 @@ def test_quality_rejects_toxic_texts(spark):
     assert sum(not got[k] for k in range(1, 200, 2)) <= 4
 
 
+def test_quality_learns_from_every_labelled_text(spark, monkeypatch):
+    from datascry.llm import ngram_quality as nq
+    rng = random.Random(4)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 6))) for _ in range(200)]
+    rows = [(k, " ".join(rng.choices(words, k=6)), "en") for k in range(4000)] + [(10_000 + k, "vileish " + " ".join(rng.choices(words, k=6)), "en") for k in range(1700)]
+    labels = [(k, 1, 0) for k in range(4000)] + [(10_000 + k, 1, 1) for k in range(1700)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught, audited = [], []
+    model, limits = nq.LetterModel, nq.trusted_limits
+    monkeypatch.setattr(nq, "LetterModel", lambda teach, *more: (taught.append(teach.count()), model(teach, *more))[1])
+    monkeypatch.setattr(nq, "trusted_limits", lambda audit, *more: (audited.append(audit.count()), limits(audit, *more))[1])
+    got = nq.quality(table, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    odd = table.where("doc_id < 10000 and xxhash64(cast(doc_id as string), text) & 1 = 1").count()
+    assert taught == [odd] and audited == [4000] and odd > 1500
+    assert not any(r.kept for r in got if r.doc_id >= 10_000)
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("slice_bytes", [1 << 20, 400])
