@@ -11,14 +11,14 @@ from datascry.operators.sampling import sample_n
 CURVE_POINTS = 100
 
 
-def metrics_regression(scored: DataFrame, y: str, p: str = "prediction") -> DataFrame:
-    """One row: rows, r2, mse, rmse, mae."""
+def metrics_regression(scored: DataFrame, y: str, p: str = "prediction", by=()) -> DataFrame:
+    """One row, or one per group: (by...), rows, r2, mse, rmse, mae."""
     actual, guess = F.col(y).cast("double"), F.col(p).cast("double")
     miss = actual - guess
     both = scored.filter(actual.isNotNull() & guess.isNotNull())
     total = F.var_pop(actual) * F.count(actual)
     sse = F.sum(miss * miss)
-    return both.agg(F.count("*").alias("rows"), F.when(total > 0, 1 - sse / total).alias("r2"), (sse / F.count("*")).alias("mse"),
+    return both.groupBy(*by).agg(F.count("*").alias("rows"), F.when(total > 0, 1 - sse / total).alias("r2"), (sse / F.count("*")).alias("mse"),
                     F.sqrt(sse / F.count("*")).alias("rmse"), F.avg(F.abs(miss)).alias("mae"))
 
 

@@ -460,29 +460,39 @@ def permutation_importance(model, test: DataFrame, features: list[str], task: st
     """Drop of the score when one input column is shuffled over all rows: (feature, importance), the mean of `repeats` shuffles.
 
     `model` starts from the raw columns (a pipeline). Rows are numbered once by one hash and once per repeat by another; a row
-    takes the feature of the row with its number, so every value can come from any row. One join a repeat serves all features.
+    takes the feature of the row with its number, so every value can come from any row. All repeats meet the rows in one job:
+    the rows are shuffled once, only values and numbers travel besides, and each row is scored once per feature and repeat.
     """
     rows = stored(test.withColumn("__row", F.monotonically_increasing_id()), "permuted")
     rows = stored(numbered_by_hash(rows.withColumn("__seed", F.lit(0)), ["__row", "__seed"], [], "__n").drop("__seed"), "permuted")
 
-    def score(df):
-        scored = model.transform(df)
-        return metrics_classification(scored, label).first()["accuracy"] if task == "classification" else metrics_regression(scored, label).first()["r2"]
-
-    base, drops = score(test), {c: 0.0 for c in features}
+    if task == "classification":
+        hit = F.coalesce(F.col(label).cast("string") == F.col("prediction").cast("string"), F.lit(False))
+        scores = lambda df, *by: df.groupBy(*by).agg(F.avg(hit.cast("int")).alias("score"))
+    else:
+        scores = lambda df, *by: metrics_regression(df, label, by=by).withColumnRenamed("r2", "score")
+    base = scores(model.transform(rows)).first()["score"]
+    tried = []
     for r in range(repeats):
-        shuffled = stored(shuffle_columns(rows, features, SEED + r), "permuted")
-        for c in features:
-            drops[c] += base - score(shuffled.withColumn(c, F.col(f"__other.{c}")))
+        for place, c in enumerate(features):
+            values = [F.col(f"__other_{r}.{x}" if x == c else f"`{x}`").alias(x) for x in features]
+            tried.append(F.struct(F.lit(r * len(features) + place).alias("__which"), *values))
+    varied = shuffle_columns(rows, features, [SEED + r for r in range(repeats)]).withColumn("__tried", F.explode(F.array(*tried)))
+    varied = varied.withColumns({c: F.col(f"__tried.{c}") for c in features}).withColumn("__which", F.col("__tried.__which"))
+    drops = {c: 0.0 for c in features}
+    for row in scores(model.transform(varied), "__which").orderBy("__which").collect():
+        drops[features[row["__which"] % len(features)]] += base - row["score"]
     table = sorted(((c, float(d / repeats)) for c, d in drops.items()), key=lambda r: (-r[1], r[0]))[:k]
     return test.sparkSession.createDataFrame(table, "feature string, importance double")
 
 
-def shuffle_columns(numbered: DataFrame, columns: list[str], seed: int) -> DataFrame:
-    """Rows numbered in __n from 1, with __other: the struct of `columns` of the row that has their number in the order of another hash."""
-    other = numbered.select("__row", F.struct(*[F.col(c).alias(c) for c in columns]).alias("__other"), F.lit(seed).alias("__seed"))
-    other = numbered_by_hash(other, ["__row", "__seed"], [], "__n").select("__n", "__other")
-    return numbered.join(other, "__n")
+def shuffle_columns(numbered: DataFrame, columns: list[str], seeds: list[int]) -> DataFrame:
+    """Rows numbered in __n from 1, with __other_0, __other_1 ...: the struct of `columns` of the row that has their number in the order of one more hash per seed."""
+    out = numbered
+    for r, seed in enumerate(seeds):
+        other = numbered.select("__row", F.struct(*[F.col(c).alias(c) for c in columns]).alias(f"__other_{r}"), F.lit(seed).alias("__seed"))
+        out = out.join(numbered_by_hash(other, ["__row", "__seed"], [], "__n").select("__n", f"__other_{r}"), "__n")
+    return out
 
 
 def pdp_ice(model, df: DataFrame, feature: str, key, grid: int = 20, ice: int = 10, output: str = "prediction") -> DataFrame:

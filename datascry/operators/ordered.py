@@ -154,14 +154,15 @@ def numbered_by_hash(df: DataFrame, key, group: list[str], name: str = "rank", l
     limit = HOT_ROWS if limit is None else limit
     cols = [key] if isinstance(key, str) else list(key)
     digest = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in cols]))
-    rows = df.withColumn("__hash", digest)
     if largest_group(df, group) <= limit:
         w = Window.partitionBy(*group).orderBy("__hash", *cols)
-        return rows.withColumn(name, F.row_number().over(w).cast("long")).drop("__hash")
-    rows = rows.withColumn(RANGE, F.substring("__hash", 1, 3))
+        return df.withColumn("__hash", digest).withColumn(name, F.row_number().over(w).cast("long")).drop("__hash")
+    rows = df.withColumn(RANGE, F.substring(digest, 1, 3))
     parts = group + [RANGE]
     sizes = rows.groupBy(*parts).agg(F.count("*").alias("__n"))
     w = Window.partitionBy(*group).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(*parts, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__start"))
-    local = rows.withColumn("__local", F.row_number().over(Window.partitionBy(*parts).orderBy("__hash", *cols)))
+    # The long digest is taken again behind the shuffle, not sent through it.
+    local = rows.repartition(*parts).withColumn("__hash", digest)
+    local = local.withColumn("__local", F.row_number().over(Window.partitionBy(*parts).orderBy("__hash", *cols)))
     return attach(local, starts, parts).select(*df.columns, (F.col("__start") + F.col("__local")).alias(name))

@@ -86,6 +86,36 @@ def test_permutation_importance_finds_the_signal(spark):
     assert got["a"] > 0.5 > abs(got["b"])
 
 
+def test_permutation_importance_scores_all_shuffles_in_one_job(spark, monkeypatch):
+    from pyspark.ml import Pipeline
+
+    from datascry.operators import ordered
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(float(a), float(b), float(3 * a - b), float(a > 0)) for a, b in rng.normal(size=(400, 2))], "a double, b double, label double, big double")
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), m.regressor("linear", 400)]).fit(df)
+    plans = []
+
+    class Watched:
+        def transform(self, rows):
+            plans.append(rows)
+            return model.transform(rows)
+
+    whole = m.permutation_importance(Watched(), df, ["a", "b"], "regression", repeats=3).collect()
+    assert len(plans) == 2  # the rows as they are, and all six shuffled forms at once
+    assert plans[1].count() == 6 * 400
+    values = {c: sorted(r[c] for r in df.collect()) for c in ("a", "b")}
+    for which in range(6):
+        rows = plans[1].where(f"__which = {which}").collect()
+        assert {c: sorted(r[c] for r in rows) for c in values} == values  # nothing lost, nothing twice
+    monkeypatch.setattr(ordered, "HOT_ROWS", 50)  # the same by ranges of the hash
+    ranged = m.permutation_importance(model, df, ["a", "b"], "regression", repeats=3).collect()
+    assert [(r[0], round(r[1], 9)) for r in ranged] == [(r[0], round(r[1], 9)) for r in whole]
+    labels = df.select("a", "b", df.big.alias("label"))
+    sorter = Pipeline(stages=[VectorAssembler(inputCols=["a", "b"], outputCol="features"), m.classifier("logistic", 2)]).fit(labels)
+    told = {r["feature"]: r["importance"] for r in m.permutation_importance(sorter, labels, ["a", "b"], "classification", repeats=2).collect()}
+    assert told["a"] > 0.3 > abs(told["b"])
+
+
 def test_cross_validation_and_tuning(table):
     plan = m.plan_features(table.drop("amount", "row_id"), p.profile(table.drop("amount", "row_id")), "target")
     ready = m.with_label(m.prepare(table, plan), plan)
