@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, NGram, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
@@ -16,6 +16,10 @@ from pyspark.sql import functions as F
 from datascry.functions.scalars import string_columns
 from datascry.functions.words import sentiment_band, sentiment_polarity, split_words, tokenize
 from datascry.operators.profile import boxplot_stats, histogram, long_rows
+from datascry.session import stored
+
+# Buckets that runs of tokens are counted by first, fullest ones that are looked into, and most that are told apart by a list.
+GRAM_BUCKETS, FULL_BUCKETS, MOST_BUCKETS = 1 << 17, 500, 10_000
 
 
 def text_column_frame(df: DataFrame, t: str | None = None) -> DataFrame:
@@ -95,11 +99,31 @@ def class_top_words(df: DataFrame, text: str, label: str, k: int = 5, max_featur
 
 
 def ngrams(df: DataFrame, text: str, n: int = 2, k: int = 10, stop: list[str] | None = None) -> DataFrame:
-    """Most frequent runs of n tokens after stop words are removed: (ngram, n)."""
-    tokens = df.select(tokenize(text, stop).alias("__tokens"))
-    grams = NGram(n=n, inputCol="__tokens", outputCol="__grams").transform(tokens)
-    counts = grams.select(F.explode("__grams").alias("ngram")).groupBy("ngram").agg(F.count("*").alias("n"))
-    return counts.orderBy(F.desc("n"), "ngram").limit(k)
+    """Most frequent runs of n tokens after stop words are removed: (ngram, n).
+
+    Runs are counted by GRAM_BUCKETS hashes first, few enough to stay inside the tasks; a run is no more frequent than its
+    bucket. The runs of the fullest buckets are counted as text. Where another bucket holds as many as the k-th of them, all
+    buckets that hold so many are counted the same way, so the result is exact and rare runs are not shuffled.
+    """
+    tokens = df.select(tokenize(text, stop).alias("__t")).filter(F.size("__t") >= n)
+    places = F.sequence(F.lit(0), F.size("__t") - n)
+    run = lambda i: [F.get("__t", i + j) for j in range(n)]
+    bucket = lambda i: F.pmod(F.xxhash64(*run(i)), F.lit(GRAM_BUCKETS)).cast("int")
+    sizes = stored(tokens.select(F.explode(F.transform(places, bucket)).alias("b")).groupBy("b").agg(F.count("*").alias("n")), "gram-buckets")
+
+    def counted(buckets: list[int] | None) -> list:
+        among = places if buckets is None else F.filter(places, lambda i: bucket(i).isin(buckets))
+        found = tokens.select(F.explode(F.transform(among, lambda i: F.concat_ws(" ", *run(i)))).alias("ngram"))
+        return found.groupBy("ngram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "ngram").limit(k).collect()
+
+    full = sizes.orderBy(F.desc("n"), "b").limit(FULL_BUCKETS + 1).collect()
+    found = counted([r["b"] for r in full[:FULL_BUCKETS]])
+    if len(full) > FULL_BUCKETS:
+        least = found[-1]["n"] if len(found) == k else 1
+        if full[-1]["n"] >= least:
+            wider = [r["b"] for r in sizes.filter(F.col("n") >= least).select("b").limit(MOST_BUCKETS + 1).collect()]
+            found = counted(wider if len(wider) <= MOST_BUCKETS else None)
+    return df.sparkSession.createDataFrame([(r["ngram"], r["n"]) for r in found], "ngram string, n long")
 
 
 def word_count_hist(df: DataFrame, text: str, bins: int = 10) -> DataFrame:

@@ -239,3 +239,23 @@ def test_late_rows_are_dropped(spark, tmp_path):
     run()
     days = {str(r["start"])[:10]: (r["n"], r["mean"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert days["2026-01-01"] == (1, 1.0) and days["2026-01-03"] == (1, 3.0)
+
+
+@pytest.mark.parametrize("limits", [(1 << 17, 500, 10_000), (64, 3, 40), (64, 3, 4), (1, 500, 10_000)])
+def test_ngrams_are_exact_however_few_buckets_are_told_apart(spark, monkeypatch, limits):
+    import random
+    from collections import Counter
+    for name, value in zip(("GRAM_BUCKETS", "FULL_BUCKETS", "MOST_BUCKETS"), limits):
+        monkeypatch.setattr(tx, name, value)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "ab", "cd", "ef", "gh", "ij", "kl"]) for _ in range(rng.randint(0, 30))) for _ in range(60)] + [None, "", "ab", "x y"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for n in (2, 3):
+        want: Counter = Counter()
+        for t in texts:
+            words = [w for w in (t or "").split() if len(w) > 1 and w != "the"]
+            want.update(" ".join(words[i:i + n]) for i in range(len(words) - n + 1))
+        top = sorted(want.items(), key=lambda x: (-x[1], x[0]))
+        assert [tuple(r) for r in tx.ngrams(df, "text", n, 10, ["the"]).collect()] == top[:10]
+        assert [tuple(r) for r in tx.ngrams(df, "text", n, 10_000, ["the"]).collect()] == top
+    assert tx.ngrams(df.limit(0), "text").count() == 0
