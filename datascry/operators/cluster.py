@@ -9,28 +9,42 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from datascry.operators.encode import standard_scale
+from datascry.operators.encode import standard_scores
 from datascry.operators.profile import histogram
 
 SEED = 42
+# How often rows must repeat on average for equal ones to be counted once.
+REPEATED = 3
 
 
 def scaled_vectors(df: DataFrame, cols: list[str], exact: bool = True) -> DataFrame:
     """df with median-imputed, standardised columns assembled into `features`; the columns themselves stay."""
-    named = {c: f"__z_{c}" for c in cols}
-    scaled = standard_scale(df.withColumns({z: F.col(c) for c, z in named.items()}), list(named.values()), exact=exact)
-    return VectorAssembler(inputCols=list(named.values()), outputCol="features").transform(scaled).drop(*named.values())
+    return assembled(df, standard_scores(df, cols, exact))
+
+
+def assembled(df: DataFrame, scores: dict) -> DataFrame:
+    named = {f"__z_{c}": score for c, score in scores.items()}
+    return VectorAssembler(inputCols=list(named), outputCol="features").transform(df.withColumns(named)).drop(*named)
 
 
 def kmeans_auto_k(df: DataFrame, cols: list[str], ks=(2, 3, 4, 5), default: int = 3, exact: bool = True):
-    """(labelled df with `cluster`, table of (k, silhouette, chosen)). The silhouette uses all rows."""
-    ready = scaled_vectors(df, cols, exact)
-    vectors = ready.select("features").persist()
+    """(labelled df with `cluster`, table of (k, silhouette, chosen)). The silhouette uses all rows.
+
+    Where rows are equal in `cols` REPEATED times over on average, each kind is one point that weighs as much as its rows: the same sums, fewer points.
+    """
+    scores = standard_scores(df, cols, exact)
+    ready = assembled(df, scores)
+    total, kinds = df.agg(F.count("*"), F.approx_count_distinct(F.xxhash64(*cols))).first()
+    if kinds * REPEATED <= total:
+        points = assembled(df.groupBy(*cols).agg(F.count("*").cast("double").alias("__weight")), scores)
+        vectors, weighed = points.select("features", "__weight").persist(), {"weightCol": "__weight"}
+    else:
+        vectors, weighed = ready.select("features").persist(), {}
     try:
-        judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
+        judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette", **weighed)
         tried = []
         for k in ks:
-            model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster").fit(vectors)
+            model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster", **weighed).fit(vectors)
             found = sum(1 for size in model.summary.clusterSizes if size)
             tried.append((k, float(judge.evaluate(model.transform(vectors))) if found > 1 else None, model))
         known = [t for t in tried if t[1] is not None]

@@ -41,11 +41,15 @@ def minmax_scale(df: DataFrame, cols: list[str], train: DataFrame | None = None)
 
 def standard_scale(df: DataFrame, cols: list[str], train: DataFrame | None = None, exact: bool = True) -> DataFrame:
     """Median imputation, then z-scores with the population deviation of the imputed training rows."""
-    base = train or df
+    return df.withColumns(standard_scores(train or df, cols, exact))
+
+
+def standard_scores(base: DataFrame, cols: list[str], exact: bool = True) -> dict[str, Column]:
+    """{column: its imputed z-score} as learnt from `base`."""
     medians = {c: q[0] for c, q in _quantile_map(base, cols, [0.5], exact).items()}
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in cols}
     fit = base.agg(*[F.avg(filled[c]).alias(f"m_{c}") for c in cols], *[F.stddev_pop(filled[c]).alias(f"s_{c}") for c in cols]).first()
-    return df.withColumns({c: (filled[c] - F.lit(fit[f"m_{c}"])) / F.lit(fit[f"s_{c}"] or 1.0) for c in cols})
+    return {c: (filled[c] - F.lit(fit[f"m_{c}"])) / F.lit(fit[f"s_{c}"] or 1.0) for c in cols}
 
 
 def label_codes(df: DataFrame, c: str) -> DataFrame:

@@ -259,3 +259,19 @@ def test_ngrams_are_exact_however_few_buckets_are_told_apart(spark, monkeypatch,
         assert [tuple(r) for r in tx.ngrams(df, "text", n, 10, ["the"]).collect()] == top[:10]
         assert [tuple(r) for r in tx.ngrams(df, "text", n, 10_000, ["the"]).collect()] == top
     assert tx.ngrams(df.limit(0), "text").count() == 0
+
+
+def test_kmeans_counts_equal_rows_once(spark, monkeypatch):
+    from datascry.operators import cluster as cu
+    rng = np.random.default_rng(6)
+    points = [(float(x + 20 * (i % 2)), float(y - 15 * (i % 2))) for i, (x, y) in enumerate(rng.normal(size=(90, 2)))] + [(None, 1.0)]
+    df = spark.createDataFrame([p for i, p in enumerate(points) for _ in range(2 + 5 * (i % 2))], "a double, b double")
+    used, plain = [], cu.KMeans
+    monkeypatch.setattr(cu, "KMeans", lambda **settings: (used.append(settings.get("weightCol")), plain(**settings))[1])
+    labelled, table = cu.kmeans_auto_k(df, ["a", "b"], ks=(2,))
+    assert used == ["__weight"] and labelled.count() == df.count() and "__weight" not in labelled.columns
+    monkeypatch.setattr(cu, "REPEATED", 10 ** 9)
+    _, whole = cu.kmeans_auto_k(df, ["a", "b"], ks=(2,))
+    assert used[1:] == [None]
+    for x, y in zip(table.orderBy("k").collect(), whole.orderBy("k").collect()):
+        assert x["chosen"] == y["chosen"] and x["silhouette"] == pytest.approx(y["silhouette"], abs=1e-9)
