@@ -41,12 +41,13 @@ def kmeans_auto_k(df: DataFrame, cols: list[str], ks=(2, 3, 4, 5), default: int
     else:
         vectors, weighed = ready.select("features").persist(), {}
     try:
-        judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette", **weighed)
+        judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
+        silhouette = (lambda scored: weighed_silhouette(scored, len(cols))) if weighed else judge.evaluate
         tried = []
         for k in ks:
             model = KMeans(k=k, seed=SEED, featuresCol="features", predictionCol="cluster", **weighed).fit(vectors)
             found = sum(1 for size in model.summary.clusterSizes if size)
-            tried.append((k, float(judge.evaluate(model.transform(vectors))) if found > 1 else None, model))
+            tried.append((k, float(silhouette(model.transform(vectors))) if found > 1 else None, model))
         known = [t for t in tried if t[1] is not None]
         best = max(known, key=lambda t: t[1]) if known else next((t for t in tried if t[0] == default), tried[0])
     finally:
@@ -55,6 +56,23 @@ def kmeans_auto_k(df: DataFrame, cols: list[str], ks=(2, 3, 4, 5), default: int
     return best[2].transform(ready), table
 
 
+def weighed_silhouette(scored: DataFrame, size: int) -> float:
+    """The mean silhouette of the rows that scored(features, cluster, __weight) stands for, by squared distances as in ClusteringEvaluator.
+
+    A row is left out of its own cluster's mean, its equals are not; the evaluator's own weights leave out all of them.
+    """
+    weight, x = F.col("__weight"), F.col("__x")
+    rows = scored.select("cluster", "__weight", vector_to_array("features").alias("__x"))
+    rows = rows.withColumn("__q", F.aggregate("__x", F.lit(0.0), lambda total, v: total + v * v))
+    sums = rows.groupBy("cluster").agg(F.sum("__weight").alias("w"), F.sum(weight * F.col("__q")).alias("q"), F.array(*[F.sum(weight * x[i]) for i in range(size)]).alias("s")).collect()
+    mine = lambda r: F.col("cluster") == r["cluster"]
+    away = lambda r: F.col("__q") + r["q"] / r["w"] - 2 * sum(x[i] * (r["s"][i] / r["w"]) for i in range(size))
+    own = F.coalesce(*[F.when(mine(r), away(r) * (r["w"] / (r["w"] - 1))) for r in sums if r["w"] > 1])
+    other = F.least(*[F.when(~mine(r), away(r)) for r in sums])
+    value = F.when(own < other, 1 - own / other).when(own > other, other / own - 1).otherwise(0.0)
+    return rows.agg(F.sum(value * weight) / F.sum("__weight")).first()[0]
+
+
 def pca_2d(labelled: DataFrame, keep: list[str], features: str = "features") -> DataFrame:
     """(keep..., pc1, pc2); each direction's largest entry is made positive."""
     model = PCA(k=2, inputCol=features, outputCol="__pc").fit(labelled)
