@@ -14,6 +14,8 @@ WORDS = 5
 SHARE = 80
 #: Shingles that are remembered as frequent, for the order only; 16 bytes each.
 FREQUENT = 200_000
+#: Shingles that a task holds at most before it counts them; sorting takes a few times their 8 bytes.
+HELD_SHINGLES = 1_500_000
 #: Rows in one side of a unit of tree work, and links verified beside one text.
 UNIT, BESIDE = 1000, 512
 #: Hash rows that are broadcast at most when texts are fetched.
@@ -26,7 +28,7 @@ def needed(x, y):
     return -(-SHARE * (x + y) // (100 + SHARE))
 
 
-def shingler(size: int = WORDS, held: int = 300_000):
+def shingler(size: int = WORDS, held: int = 150_000):
     """Function from a text to the sorted hashes of its different shingles, 64 bits each."""
     import numpy as np
     import xxhash
@@ -69,13 +71,13 @@ def frequent_shingles(texts: DataFrame):
 
         def told():
             every, n = np.unique(np.concatenate(parts), return_counts=True)
-            return pd.DataFrame({"h": every[n >= 4].astype(np.int64), "n": n[n >= 4]})
+            return pd.DataFrame({"h": every[n >= 3].astype(np.int64), "n": n[n >= 3]})
 
         for batch in batches:
             for text in batch["_text"].tolist():
                 parts.append(shingles(text))
                 size += len(parts[-1])
-                if size > 4_000_000:
+                if size > HELD_SHINGLES:
                     yield told()
                     parts, size = [], 0
         if parts:

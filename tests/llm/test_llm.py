@@ -446,6 +446,14 @@ def test_jaccard_components(spark, monkeypatch, unit):
         assert signature_trees.jaccard_components(table.where("false")).count() == 0
 
 
+def test_frequent_shingles_are_counted_in_small_parts(spark, monkeypatch):
+    from datascry.llm import signature_trees as st
+    monkeypatch.setattr(st, "HELD_SHINGLES", 100)
+    texts = spark.createDataFrame([("one two three four five six",)] * 90 + [("other words stand here alone too",)], "_text string").coalesce(1)
+    hashes, counts = st.frequent_shingles(texts)
+    assert len(hashes) == 2 and list(counts) == [90, 90]
+
+
 def test_trees_lose_no_pair():
     from datascry.llm.signature_trees import bitmap, joined
     rng = np.random.default_rng(3)
