@@ -258,7 +258,7 @@ def letter_perplexity(docs: DataFrame, letters: LetterModel, signs: dict | None
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in extra) + ", n_letters long, perplexity double, n_pairs long, repeated double, toxicity double"
     if wanted.count() <= BROADCAST_GRAMS:
         models = [x.model for x in logs.select("model").distinct().collect()]
-        parts = {m: logs.where(F.col("model") == m).select("code", "logp").toPandas() for m in models}  # numbers only: texts of the model's name would weigh more
+        parts = {m: logs.where(F.col("model") == m).select("code", "logp").toArrow() for m in models}  # columns of numbers: a row object each would fill the driver
         told = spark.sparkContext.broadcast({m: sorted_logs(x) for m, x in parts.items()})
 
         def every(batches):
@@ -378,20 +378,25 @@ def toxic_signs(teach: DataFrame, overall: bool = False) -> dict:
     needed = {m: max(SIGN_TEXTS, n * SIGN_SHARE) for (m, toxic), n in sizes.items() if toxic}
     if not needed:
         return {}
-    enough = teach.sparkSession.createDataFrame([(m, float(n)) for m, n in needed.items()], "model string, needed double")
-    bad: dict[str, dict] = {m: {} for m in needed}
-    for x in totals(sign_counts(teach.where("toxic")), "sign").join(F.broadcast(enough), "model").where("n >= needed").collect():
-        bad[x.model][x.sign] = x.n
+    spark = teach.sparkSession
+    enough = spark.createDataFrame([(m, float(n)) for m, n in needed.items()], "model string, needed double")
+    bad = totals(sign_counts(teach.where("toxic")), "sign").join(F.broadcast(enough), "model").where("n >= needed").select("model", "sign", "n")
+    bad = written(bad, "toxic-signs")
+    found = {m: bad.where(F.col("model") == m).select("sign").toArrow()["sign"].to_pylist() for m in needed}
     models = [x.model for x in teach.select("model").distinct().collect()]
-    wanted = {m: {*bad.get(m, ()), *(bad.get("", ()) if overall else ())} for m in models}
-    clean = {(x.model, x.sign): x.n for x in totals(sign_counts(teach.where("not toxic"), wanted), "sign").collect()}
+    wanted = {m: list({*found.get(m, ()), *(found.get("", ()) if overall else ())}) for m in models}
+    clean = totals(sign_counts(teach.where("not toxic"), wanted), "sign").withColumnRenamed("n", "n_clean")
+    del found, wanted
+    # weighed where the counts are, so the driver gets the signs that count and not the candidates; the log itself is taken here
+    of = spark.createDataFrame([(m, sizes[m, True] + 1, sizes.get((m, False), 0) + 1) for m in needed], "model string, of_toxic long, of_clean long")
+    both = bad.join(clean, ["model", "sign"], "left").join(F.broadcast(of), "model").withColumn("n_clean", F.coalesce("n_clean", F.lit(0)))
+    ratio = (F.col("n") + 0.5) / F.col("of_toxic") / ((F.col("n_clean") + 0.5) / F.col("of_clean"))
+    heavy = both.where(ratio >= SIGN_RATIO * (1 - 1e-9)).select("model", "sign", "n", "n_clean").toArrow()
     signs: dict[str, dict] = {}
-    for model, found in bad.items():
-        n_toxic, n_clean = sizes[model, True], sizes.get((model, False), 0)
-        for sign, n in found.items():
-            weight = math.log((n + 0.5) / (n_toxic + 1) / ((clean.get((model, sign), 0) + 0.5) / (n_clean + 1)))
-            if weight >= math.log(SIGN_RATIO):
-                signs.setdefault(model, {})[sign] = weight
+    for model, sign, n, n_clean in zip(*(c.to_pylist() for c in heavy.columns)):
+        weight = math.log((n + 0.5) / (sizes[model, True] + 1) / ((n_clean + 0.5) / (sizes.get((model, False), 0) + 1)))
+        if weight >= math.log(SIGN_RATIO):
+            signs.setdefault(model, {})[sign] = weight
     return signs
 
 

@@ -257,6 +257,25 @@ def test_quality_learns_from_every_labelled_text(spark, monkeypatch):
     assert not any(r.kept for r in got if r.doc_id >= 10_000)
 
 
+def test_toxic_signs_are_weighed_outside_the_driver(spark, monkeypatch):
+    from datascry.llm import ngram_quality as nq
+    rng = random.Random(5)
+    words = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(3, 6))) for _ in range(300)]
+    texts = [(("en", "de")[k % 2], k % 3 == 0, " ".join(rng.choices(words, k=30)) + (" vileish" if k % 3 == 0 else "")) for k in range(240)]
+    plain = {}
+    for model in ("en", "de", ""):
+        mine = [(bad, {s for w in set(t.split()) for s in nq.word_signs(w)}) for m, bad, t in texts if model in ("", m)]
+        n = {x: sum(bad == x for bad, _ in mine) for x in (True, False)}
+        c = {x: Counter(s for bad, signs in mine if bad == x for s in signs) for x in (True, False)}
+        weigh = {s: math.log((k + 0.5) / (n[True] + 1) / ((c[False][s] + 0.5) / (n[False] + 1))) for s, k in c[True].items() if k >= nq.SIGN_TEXTS}
+        plain[model] = {s: w for s, w in weigh.items() if w >= math.log(nq.SIGN_RATIO)}
+    table, gathered = spark.createDataFrame(texts, "model string, toxic boolean, _text string"), []
+    collect = type(table).collect
+    monkeypatch.setattr(type(table), "collect", lambda self: (gathered.append(collect(self)), gathered[-1])[1])
+    assert nq.toxic_signs(table, overall=True) == plain
+    assert plain["en"].keys() >= {"vil", "vileish", "vileish "} and max(map(len, gathered)) <= 6  # no candidate is a row object in the driver
+
+
 # 5 ---------------------------------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("slice_bytes", [1 << 20, 400])
