@@ -126,6 +126,56 @@ def test_exchange_raises_the_likelihood(spark):
     assert len({tuple(classes[k::2]) for k in (0, 1)}) == 2 and len(set(classes[::2])) == 1
 
 
+def test_words_move_as_exchange_moves_one():
+    from datascry.llm.class_lm import best_classes, exchange
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        line = rng.integers(0, 30, 200) ** 2 // 30
+        classes = rng.integers(0, 4, 30)
+        matrix = np.zeros((4, 4))
+        np.add.at(matrix, (classes[line[:-1]], classes[line[1:]]), 1)
+        units = np.unique(line[1:-1])  # the line's ends have one neighbour
+        units = units[(units != line[0]) & (units != line[-1])]
+        after, before = np.zeros((len(units), 4)), np.zeros((len(units), 4))
+        same = np.array([((line[:-1] == u) & (line[1:] == u)).sum() for u in units])
+        want = []
+        for i, u in enumerate(units):
+            np.add.at(after[i], classes[line[1:][line[:-1] == u]], 1)
+            np.add.at(before[i], classes[line[:-1][line[1:] == u]], 1)
+            contexts = pd.DataFrame({"unit": u, "klass": range(4), "after": after[i], "before": before[i], "same": [same[i], 0, 0, 0]})
+            want.append(exchange(contexts, matrix, classes)[u])
+        assert best_classes(after, before, same, classes[units], matrix).tolist() == want
+
+
+def test_rare_words_have_classes_of_their_own(spark, monkeypatch):
+    """Words of one ending, so of one unit, that stand in two kinds of places, each of which has one frequent word besides."""
+    from datascry.llm import class_lm
+    names = ["".join(chr(97 + k // 26 ** j % 26) for j in range(3)) + "xyz" for k in range(60)]
+    rng = random.Random(2)
+    rows = []
+    for k in range(1200):
+        a, b = (rng.choice(names[:30]), rng.choice(names[30:])) if k % 4 else ("alpha", "beta")
+        rows.append((k, f"the {a} of " * 2 + f"in {b} at " * 2))
+    table, kept = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), []
+    moved = class_lm.moved_words
+    monkeypatch.setattr(class_lm, "moved_words", lambda *args: (kept.append(moved(*args)), kept[-1])[1])
+    got = class_lm.score_class_lm(table, top_words=7, buckets=4, n_classes=8, rounds=3, block_bytes=20_000).collect()
+    classes = {r.word: (r.c, r.klass) for r in kept[0].collect()}
+    train = [t for k, t in rows if zlib.crc32(str(k).encode()) % 7 != 2]
+    counts = Counter(w for t in train for w in t.split())
+    assert {w: c for w, (c, _) in classes.items()} == {w: counts[w] for w in names if counts[w]}
+    one, two = ({classes[w][1] for w in part if w in classes} for part in (names[:30], names[30:]))
+    assert len(one) == len(two) == 1 and one != two  # before: all had their unit's class
+    assert sum(r.n_tokens for r in got if not r.held_out) == got[0].train_tokens == sum(counts.values()) + len(train)
+
+
+def test_end_token_is_known_however_rare(spark):
+    from datascry.llm.class_lm import score_class_lm
+    text = " ".join(f"w{k}" for k in range(30)) + " "
+    got = score_class_lm(spark.createDataFrame([(2, text * 2)], "doc_id long, text string"), top_words=10, buckets=4, n_classes=3).first()
+    assert (got.n_tokens, got.n_known, got.train_tokens) == (61, 61, 61)
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------------------
 
 def test_line_templates(spark):
