@@ -23,6 +23,7 @@ from datascry.functions.scalars import INTEGRAL, hash_bucket
 from datascry.operators.cleaning import CleanerModel
 from datascry.operators.evaluate import metrics_classification, metrics_regression
 from datascry.operators.filters import feature_roles
+from datascry.operators.networks import fit_network
 from datascry.operators.ordered import numbered_by_hash
 from datascry.operators.profile import TARGET_NAMES
 from datascry.session import stored
@@ -33,6 +34,9 @@ MAX_CLASSES = 1000
 # Training rows a task may hold in memory at most, and rows below which another task does not pay.
 TASK_ROWS = 500_000
 LEAST_ROWS = 20_000
+# Rows from which networks are trained by numpy in the tasks, and how often rows must repeat on average for equal ones to be counted once there.
+NETWORK_ROWS = 100_000
+REPEATED = 3
 # Families that pass over their rows again and again.
 ITERATIVE = ("logistic", "linear_svm", "random_forest", "boosted", "mlp")
 
@@ -272,6 +276,8 @@ def train(family: str, rows: DataFrame, task: str, classes: int = 0, **params):
             return regressor(family, n, **params).setWeightCol("__weight").fit(spread)
         model = classifier(family, classes, **params)
         return model.setWeightCol("__weight").fit(spread)
+    if family == "mlp" and task == "classification" and n > NETWORK_ROWS:
+        return train_network(rows.select(label, features), n, classifier(family, classes, rows.first()[features].size, **params))
     if family in ITERATIVE:
         rows = spread_rows(rows.select(label, features), n)
     if task == "regression":
@@ -280,6 +286,23 @@ def train(family: str, rows: DataFrame, task: str, classes: int = 0, **params):
     return classifier(family, classes, width, **params).fit(rows)
 
 
+def train_network(rows: DataFrame, n: int, network: MultilayerPerceptronClassifier):
+    """`network` fitted on all n rows. Where rows are equal REPEATED times over on average, each kind is one point that counts as often as its rows."""
+    x, label, classes = F.col("x"), F.col("label"), network.getLayers()[-1]
+    points = rows.select(F.col(network.getLabelCol()).alias("label"), vector_to_array(network.getFeaturesCol()).alias("x"))
+    points = stored(spread_rows(points, n), "points")
+    right = label.between(0, classes - 1) & (F.floor(label) == label)
+    known = (F.size(x) == network.getLayers()[0]) & F.forall(x, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))
+    facts = points.agg(F.approx_count_distinct(F.xxhash64("label", "x")).alias("kinds"), F.count_if(F.coalesce(right & known, F.lit(False))).alias("good"), F.count("*").alias("rows")).first()
+    if facts["good"] < facts["rows"]:
+        raise ValueError(f"labels must be whole numbers below {classes}, and features finite numbers, {network.getLayers()[0]} a row")
+    points = points.withColumn("label", label.cast("int"))
+    if facts["kinds"] * REPEATED > facts["rows"]:
+        return fit_network(network, points.withColumn("times", F.lit(1.0)), float(facts["rows"]))
+    points = stored(points.groupBy("label", "x").agg(F.count("*").cast("double").alias("times")), "counted")
+    return fit_network(network, stored(spread_rows(points, points.count()), "points"), float(facts["rows"]))
+
+
 def train_logistic(rows, classes, **params):
     return train("logistic", rows, "classification", classes, **params)
 

@@ -263,3 +263,24 @@ def test_texts_are_cut_once_for_all_folds(spark):
     whole = pipeline.fit(rows).transform(rows).orderBy("id").select("prediction").collect()
     assert rest.fit(ready).transform(ready).orderBy("id").select("prediction").collect() == whole
     assert m.cross_validate(pipeline, rows, "id", "classification", k=3).first()["folds"] == 3
+
+
+def test_networks_of_many_rows_follow_those_of_the_library(spark, monkeypatch):
+    """Whole blocks of 128 rows in one partition: the library's loss is the mean over the rows there."""
+    rng = np.random.default_rng(8)
+    x = rng.integers(0, 6, (1280, 2))
+    rows = [(float(a), float(b), float((a * b > 7) + (a + b > 6))) for a, b in x]
+    df = spark.createDataFrame(rows, "a double, b double, label double").coalesce(1)
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    plain, points = m.classifier("mlp", 3, 2, iterations=12).fit(df), []
+    fit = m.fit_network
+    monkeypatch.setattr(m, "fit_network", lambda network, p, total: (points.append((p.count(), total)), fit(network, p, total))[1])
+    monkeypatch.setattr(m, "NETWORK_ROWS", 1000)
+    for repeated in (3, 10 ** 9):
+        monkeypatch.setattr(m, "REPEATED", repeated)
+        model = m.train_mlp(df, 3, iterations=12)
+        assert np.allclose(model.weights.toArray(), plain.weights.toArray(), rtol=1e-4, atol=1e-4)
+        assert model.getMaxIter() == 12 and model.transform(df).select("prediction").collect() == plain.transform(df).select("prediction").collect()
+    assert points[0][0] <= 108 and points[1][0] == 1280 and {t for _, t in points} == {1280.0}
+    with pytest.raises(ValueError):
+        m.train_mlp(df.withColumn("label", F.when(F.col("a") > 0, F.col("label"))), 3, iterations=2)
