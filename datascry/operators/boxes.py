@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -161,32 +162,62 @@ def box_iou_pairs(truth: DataFrame, pred: DataFrame, min_iou: float = 0.5, limit
 # ---- detection quality -----------------------------------------------------------------------------------------
 
 
-def _match_groups(pairs: DataFrame, limits: list[float], total: int) -> DataFrame:
-    """Greedy matching of whole groups, many a task: predictions by score, each takes its best truth that is still free."""
-    schema = T.StructType([*[pairs.schema[c] for c in (*KEYS, "p_id")], T.StructField("limits", T.ArrayType(T.DoubleType()))])
+def _greedy(frame: pd.DataFrame, limits: list[float]) -> pd.DataFrame:
+    """The rows of (keys..., p_id, score, t_id, t_n, iou) that stand for predictions with hits, with the limits: predictions by score, each takes its best truth that is still free."""
+    ordered = frame.sort_values(["score", "p_id", "iou", "t_id"], ascending=[False, True, False, True])
+    preds = ordered.groupby([*KEYS, "p_id"], sort=False, dropna=False).ngroup().to_numpy()
+    truths = ordered.groupby([*KEYS, "t_id"], sort=False, dropna=False).ngroup().to_numpy()
+    iou, room = ordered["iou"].to_numpy(), dict(zip(truths.tolist(), ordered["t_n"].tolist()))
+    won: dict = {}
+    for limit in limits:
+        free, done = dict(room), set()
+        near = np.flatnonzero(iou >= limit)
+        for p, t in zip(preds[near].tolist(), truths[near].tolist()):
+            if p not in done and free[t]:
+                free[t] -= 1
+                done.add(p)
+                won.setdefault(p, []).append(limit)
+    first = ordered.iloc[np.unique(preds, return_index=True)[1]]
+    return first.iloc[list(won)].assign(limits=list(won.values()))
 
-    def match(frame: pd.DataFrame) -> pd.DataFrame:
-        ordered = frame.sort_values(["score", "p_id", "iou", "t_id"], ascending=[False, True, False, True])
-        preds = ordered.groupby([*KEYS, "p_id"], sort=False).ngroup().to_numpy()
-        truths = ordered.groupby([*KEYS, "t_id"], sort=False).ngroup().to_numpy()
-        iou, room = ordered["iou"].to_numpy(), dict(zip(truths.tolist(), ordered["t_n"].tolist()))
-        won: dict = {}
-        for limit in limits:
-            free, done = dict(room), set()
-            near = np.flatnonzero(iou >= limit)
-            for p, t in zip(preds[near].tolist(), truths[near].tolist()):
-                if p not in done and free[t]:
-                    free[t] -= 1
-                    done.add(p)
-                    won.setdefault(p, []).append(limit)
-        first = ordered[[*KEYS, "p_id"]].iloc[np.unique(preds, return_index=True)[1]]
-        return first.iloc[list(won)].assign(limits=list(won.values()))
 
+def _match_groups(pairs: DataFrame, limits: list[float], total: int) -> DataFrame:
+    """Greedy matching of whole groups, many a task."""
+    schema = T.StructType([*[pairs.schema[c] for c in (*KEYS, "p_id")], T.StructField("limits", T.ArrayType(T.DoubleType()))])
+    match = lambda frame: _greedy(frame, limits)[[*KEYS, "p_id", "limits"]]
     bucket = F.pmod(F.xxhash64(*KEYS), F.lit(total // BUCKET_PAIRS + 1))
     bucketed = spread(pairs.withColumn("__bucket", bucket), ["__bucket"])
     return bucketed.groupBy("__bucket").applyInPandas(match, schema)
 
 
+def _group_hits(truth: DataFrame, pred: DataFrame, limits: list[float]) -> DataFrame:
+    """(class_id, bin, limits): predictions that hit a truth box, in groups that fit a task.
+
+    Both sides are dealt by image and class once; overlap and matching happen where they lie, and nothing is written between.
+    """
+    t = _distinct_boxes(truth.select(*KEYS, *SHAPE).repartition(*KEYS), "t_").withColumn("t_id", F.concat_ws(",", *[f"t_{c}" for c in SHAPE]))
+    # Rows of one image and class with the same p_id are one prediction; each counts in its own bin.
+    bins = F.collect_list(F.struct("bin")).over(Window.partitionBy(*KEYS, "p_id"))
+    p = pred.withColumn("bins", bins).filter("w > 0 and h > 0 and cx is not null and cy is not null").withColumnsRenamed({c: f"p_{c}" for c in SHAPE})
+    near = t.join(p, KEYS).withColumn("iou", overlap("t_", "p_")).filter(F.col("iou") >= min(limits))
+    groups = near.groupBy(*KEYS).agg(F.collect_list(F.struct("p_id", "score", "bins", "t_id", "t_n", "iou")).alias("pairs"))
+
+    def match(batches):
+        for batch in batches:
+            lists = batch.column("pairs")
+            pairs = lists.flatten()
+            group = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy())
+            frame = pd.DataFrame({c: pairs.field(c).to_pandas() for c in ("p_id", "score", "t_id", "t_n", "iou")}).assign(image_stem=group, class_id=0, row=np.arange(len(group)))
+            hits = _greedy(frame, limits)
+            taken = pairs.take(pa.array(hits["row"].to_numpy()))
+            classes = batch.column("class_id").take(pa.array(hits["image_stem"].to_numpy()))
+            yield pa.RecordBatch.from_arrays([classes, taken.field("bins"), pa.array(hits["limits"].tolist(), pa.list_(pa.float64()))], names=["class_id", "bins", "limits"])
+
+    schema = T.StructType([pred.schema["class_id"], T.StructField("bins", p.schema["bins"].dataType), T.StructField("limits", T.ArrayType(T.DoubleType()))])
+    hits = groups.select("class_id", "pairs").mapInArrow(match, schema)
+    return hits.select("class_id", "limits", F.inline("bins"))
+
+
 def _match_rounds(pairs: DataFrame) -> DataFrame:
     """The same matching as rounds of joins: a prediction asks for its best truth that has not refused it, a truth of
     n equal boxes keeps its n best-scored suitors. All truths rank suitors by score, so this ends in the greedy result.
@@ -231,10 +262,17 @@ def detection_map(truth: DataFrame, pred: DataFrame, pair_limit: int = GROUP_PAI
     the falling envelope of precision.
     """
     steps = [float(x) for x in IOU_STEPS]
-    every = pred.select(*KEYS, "p_id", F.round(F.col("score") * SCORE_BINS, 0).cast("int").alias("bin"))
-    marked = attach(every, _hits(truth, pred, steps, pair_limit), [*KEYS, "p_id"])
+    every = pred.select(*KEYS, *SHAPE, "p_id", "score", F.round(F.col("score") * SCORE_BINS, 0).cast("int").alias("bin"))
+    kinds = every.groupBy(*KEYS, "bin").agg(F.count("*").alias("n")).groupBy(*KEYS).agg(F.sum("n").alias("rows"), F.collect_list(F.struct("bin", "n")).alias("kinds"))
+    counts = stored(kinds.select("class_id", "rows", F.inline("kinds")).groupBy("class_id", "bin").agg(F.sum("n").alias("n"), F.max("rows").alias("rows")), "bins")
+    most = (counts.agg(F.max("rows")).first()[0] or 0) * (truth.groupBy(*KEYS).count().agg(F.max("count")).first()[0] or 0)
+    if most <= pair_limit:
+        marked = _group_hits(truth, every, steps)
+    else:
+        marked = attach(every, _hits(truth, pred, steps, pair_limit), [*KEYS, "p_id"])
     # A prediction is one row with its limits; rows per limit begin with the bounded bins.
-    counted = marked.groupBy("class_id", "bin").agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("limits", x)).alias(f"tp{i}") for i, x in enumerate(steps)])
+    hits = marked.groupBy("class_id", "bin").agg(*[F.count_if(F.array_contains("limits", x)).alias(f"tp{i}") for i, x in enumerate(steps)])
+    counted = attach(counts, hits, ["class_id", "bin"]).fillna(0, [f"tp{i}" for i in range(len(steps))])
     tried = F.explode(F.array(*[F.struct(F.lit(x).alias("limit"), F.col(f"tp{i}").alias("tp")) for i, x in enumerate(steps)]))
     bins = counted.select("class_id", "bin", "n", tried.alias("__at")).select("__at.limit", "class_id", "bin", "__at.tp", "n")
     truths = truth.groupBy("class_id").agg(F.count("*").alias("truths"))

@@ -275,3 +275,26 @@ def test_kmeans_counts_equal_rows_once(spark, monkeypatch):
     assert used[1:] == [None]
     for x, y in zip(table.orderBy("k").collect(), whole.orderBy("k").collect()):
         assert x["chosen"] == y["chosen"] and x["silhouette"] == pytest.approx(y["silhouette"], abs=1e-9)
+
+
+def test_detection_quality_writes_no_pairs_and_equals_whole_matching(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    box = lambda: (float(rng.integers(1, 5)) / 5, 0.5, float(rng.integers(1, 4)) / 5, 0.4 * float(rng.integers(0, 4) > 0))
+    place = lambda: (f"i{rng.integers(3)}" if rng.random() > 0.05 else None, int(rng.integers(2)))
+    truth = spark.createDataFrame([(*place(), *box()) for _ in range(80)], "image_stem string, class_id int, cx double, cy double, w double, h double")
+    # Some predictions share a p_id: they are one, and each row counts at its own score.
+    pred = spark.createDataFrame([(*place(), *box(), f"p{rng.integers(70)}", float(rng.integers(9)) / 8) for _ in range(120)], f"{truth.schema.simpleString()[7:-1].replace(':', ' ')}, p_id string, score double")
+    kept, plain = [], bx.stored
+    monkeypatch.setattr(bx, "stored", lambda df, name: kept.append(name) or plain(df, name))
+    rows = lambda df: sorted(map(str, df.collect()))
+    got = rows(bx.detection_map(truth, pred))
+    assert kept == ["bins"]
+    whole = bx._hits(truth, pred, bx.IOU_STEPS, 10 ** 6).collect()
+    limits = {(r.image_stem, r.class_id, r.p_id): r.limits for r in whole}
+    every = pred.withColumn("bin", F.round(F.col("score") * 1000, 0).cast("int"))
+    want = sorted((r.class_id, r.bin, tuple(limits[r.image_stem, r.class_id, r.p_id])) for r in every.collect() if (r.image_stem, r.class_id, r.p_id) in limits)
+    found = bx._group_hits(truth, every.drop("label"), bx.IOU_STEPS).collect()
+    assert want and sorted((r.class_id, r.bin, tuple(r.limits)) for r in found) == want
+    monkeypatch.setattr(bx, "_group_hits", None)
+    monkeypatch.setattr(bx, "_match_rounds", lambda pairs: spark.createDataFrame([(*k, v) for k, v in limits.items()], "image_stem string, class_id int, p_id string, limits array<double>"))
+    assert rows(bx.detection_map(truth, pred, pair_limit=0)) == got
