@@ -11,20 +11,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from datascry.operators.keys import attach, spread
-from datascry.operators.ordered import RANGE, in_ranges
 from datascry.session import stored
 
 # Donor rows one task may hold, and rows of a block of donors or of incomplete rows beyond that.
 DONOR_ROWS = 50_000
 QUERY_ROWS = 20_000
+# Donor blocks that one call gets, on average.
+CALL_BLOCKS = 16
 # Boxes of donor blocks that travel with the tasks at most; blocks grow with the table so that there are no more.
 MAX_BOXES = 50_000
 # Missing patterns for which donors are laid out by the columns known there, at most; a pattern gets a layout of its own from one row
 # in LAYOUT_SHARE donors on. Others use the layout by all columns.
 MAX_LAYOUTS = 8
 LAYOUT_SHARE = 1000
-# Distances between rows and boxes that a task holds at once.
+# Distances between rows and boxes, and between rows and donors, that a task holds at once.
 BOUNDS = 1_000_000
+DISTANCES = 1 << 18
+# Rows whose quantiles place the cuts of a layout. They say which rows lie together, never which ones count.
+CUT_ROWS = 200_000
 BLOCK = "__block"
 LAYOUT = "__layout"
 
@@ -37,46 +41,65 @@ def as_double(df: DataFrame, cols: list[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("double") for c in cols})
 
 
-def nearest_values(queries: np.ndarray, donors: np.ndarray, k: int):
-    """Per query row and missing column, the k nearest donors' (distance, value), nearest first, ties by value.
+def patterns_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of a matrix of yes and no, and the number of each row's kind."""
+    if mask.shape[1] > 60:
+        kinds, kind = np.unique(mask, axis=0, return_inverse=True)
+        return kinds, kind.ravel()
+    _, first, kind = np.unique(mask @ (1 << np.arange(mask.shape[1])), return_index=True, return_inverse=True)
+    return mask[first], kind
 
-    Distances use the coordinates both rows have, scaled up to all coordinates. Yields (row, column, distances, values).
+
+def nearest_values(queries: np.ndarray, donors: np.ndarray, k: int, radius: np.ndarray | None = None):
+    """(rows, columns, distances, values): per query row and missing column the k nearest donors, nearest first, ties by value.
+
+    Distances use the coordinates both rows have, scaled up to all coordinates. With a `radius` per row, no donors beyond it. Rows of one
+    missing pattern meet the donors of one pattern at once.
     """
     width = queries.shape[1]
-    known = ~np.isnan(donors)
-    filled = np.where(known, donors, 0.0)
-    for start in range(0, len(queries), 64):
-        q = queries[start:start + 64]
-        have = ~np.isnan(q)
-        d2 = np.zeros((len(q), len(donors)))
-        shared = np.zeros_like(d2)
-        for j in range(width):
-            both = have[:, j, None] & known[None, :, j]
-            gap = np.where(have[:, j], q[:, j], 0.0)[:, None] - filled[None, :, j]
-            d2 += np.where(both, gap * gap, 0.0)
-            shared += both
-        with np.errstate(divide="ignore", invalid="ignore"):
-            dist = np.where(shared > 0, d2 * width / shared, np.nan)
-        for j in range(width):
-            rows = np.flatnonzero(~have[:, j])
-            if not len(rows):
-                continue
-            by_value = np.flatnonzero(known[:, j])
-            by_value = by_value[np.argsort(donors[by_value, j], kind="stable")]
-            for i in rows:
-                d = dist[i, by_value]
-                if len(d) > 4 * k:
-                    at_most = np.partition(d, k - 1)[k - 1]  # NaN, the greatest here, where fewer than k are known
-                    close = np.flatnonzero(~np.isnan(d) if np.isnan(at_most) else d <= at_most)
-                    near = close[np.argsort(d[close], kind="stable")[:k]]
-                else:
-                    near = np.argsort(d, kind="stable")[:k]
-                near = near[~np.isnan(d[near])]
-                yield start + i, j, d[near], donors[by_value[near], j]
-
-
-def _cuts_below(x, cuts: list[float]):
-    return F.size(F.filter(F.lit(cuts), lambda b: b <= x))
+    have, known = ~np.isnan(queries), ~np.isnan(donors)
+    radius = np.full(len(queries), np.inf) if radius is None else radius
+    kinds, kind = patterns_of(known)
+    own = [slice(None)] if len(kinds) == 1 else [np.flatnonzero(kind == i) for i in range(len(kinds))]
+    by_value = {}
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0), np.empty(0))]
+    patterns, pattern = patterns_of(have)
+    for number, has in enumerate(patterns):
+        asked = np.flatnonzero(pattern == number)
+        step = max(1, DISTANCES // max(len(donors), 1))
+        for start in range(0, len(asked) if len(donors) and not has.all() else 0, step):
+            rows = asked[start:start + step]
+            dist = np.full((len(rows), len(donors)), np.inf)
+            for group, knows in zip(own, kinds):
+                shared = np.flatnonzero(has & knows)
+                if len(shared):
+                    d2 = 0.0
+                    for j in shared:
+                        gap = queries[rows, j][:, None] - donors[group, j][None, :]
+                        gap *= gap
+                        d2 = gap + d2
+                    d2 *= width
+                    d2 /= len(shared)
+                    dist[:, group] = d2
+            for j in np.flatnonzero(~has):
+                if j not in by_value:
+                    some = np.flatnonzero(known[:, j])
+                    by_value[j] = some[np.argsort(donors[some, j], kind="stable")]
+                order = by_value[j]
+                if not len(order):
+                    continue
+                d, bound = dist[:, order], radius[rows]
+                near = (d <= bound[:, None]) & (d < np.inf)
+                if len(order) > k and np.count_nonzero(near) > 8 * k * len(rows):
+                    near &= d <= np.partition(d, k - 1, axis=1)[:, k - 1, None]
+                at, place = np.nonzero(near)
+                far = d[at, place]
+                turn = np.lexsort((place, far, at))
+                at, place, far = at[turn], place[turn], far[turn]
+                first = np.searchsorted(at, at, "left")
+                best = np.arange(len(at)) - first < k
+                found.append((rows[at[best]], np.full(np.count_nonzero(best), j), far[best], donors[order[place[best]], j]))
+    return tuple(np.concatenate(part) for part in zip(*found))
 
 
 def pattern_of(cols: list[str]):
@@ -90,25 +113,38 @@ def blocked(df: DataFrame, cols: list[str], rows: int, layout: str = "") -> Data
     The order is that of the missing pattern, then of interleaved bits of each column's place among its quantiles (a Z curve), then of
     the values; with a `layout`, a missing pattern, only of the columns known there. Range partitions of that order are cut into blocks,
     so no pattern and no value fills a task. Blocks also end where the pattern changes, unless there are so many patterns that blocks
-    would get too many.
+    would get too many. `df` is read three times, so it should be a stored table.
     """
     lead = [c for c, known in zip(cols, layout or "1" * len(cols)) if known == "1"]
     order = lead + [c for c in cols if c not in lead]
     used = lead[:60]
     bits = max(1, min(6, 60 // len(used)))
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
-    cuts = df.agg(*[F.percentile_approx(c, shares, 1000).alias(f"c{i}") for i, c in enumerate(used)]).first()
-    code = F.lit(0).cast("long")
-    for i, c in enumerate(used):
-        place = F.coalesce(_cuts_below(F.col(c), cuts[f"c{i}"] or [0.0]), F.lit(0)).cast("long")
-        for k in range(bits):
-            code = code.bitwiseOR(F.shiftleft(F.shiftright(place, k).bitwiseAND(F.lit(1).cast("long")), k * len(used) + i))
-    ranges = in_ranges(df.withColumns({"__pattern": pattern_of(lead), "__z": code}), [], ["__pattern", "__z", *order])
-    pieces = ranges.select(RANGE, "__pattern").distinct().count()
-    part = [RANGE, "__pattern"] if pieces <= MAX_BOXES else [RANGE]
-    place = F.row_number().over(Window.partitionBy(*part).orderBy("__pattern", "__z", *order)) - 1
-    placed = ranges.withColumn("__at", F.floor(place / rows).cast("long"))
-    return stored(placed.withColumn(BLOCK, F.xxhash64(*part, "__at", F.lit(layout))).drop("__pattern", "__z", "__at", RANGE), "blocks")
+    n = df.count()
+    some = df.sample(CUT_ROWS / n, seed=42) if n > 2 * CUT_ROWS else df
+    found = some.agg(*[F.percentile_approx(c, shares, 1000).alias(f"c{i}") for i, c in enumerate(used)]).first()
+    cuts = [np.array(found[f"c{i}"] or [0.0], dtype=float) for i in range(len(used))]
+
+    def place(frames):
+        for frame in frames:
+            code = np.zeros(len(frame), np.int64)
+            for i, c in enumerate(used):
+                x = frame[c].to_numpy(dtype=float)
+                at = np.where(np.isnan(x), 0, np.searchsorted(cuts[i], x, "right"))
+                for k in range(bits):
+                    code |= (at >> k & 1) << (k * len(used) + i)
+            yield frame.assign(__z=code)
+
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    patterns = 1 << len(lead) if len(lead) < 15 else df.select(pattern_of(lead)).distinct().count()
+    turn = ["__pattern", "__z", *order]
+    coded = df.mapInPandas(place, T.StructType([*df.schema.fields, T.StructField("__z", T.LongType())])).withColumn("__pattern", pattern_of(lead))
+    placed = coded.repartitionByRange(ranges, *turn).sortWithinPartitions(*turn).withColumn("__at", F.monotonically_increasing_id())
+    # The number of a sorted row holds its partition above 33 bits of its place there.
+    part = [F.shiftright("__at", 33), F.floor(F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)) / rows)]
+    if ranges + patterns <= MAX_BOXES:
+        part.append(F.col("__pattern"))
+    return stored(placed.withColumn(BLOCK, F.xxhash64(*part, F.lit(layout))).drop("__pattern", "__z", "__at"), "blocks")
 
 
 def boxes_of(blocks: DataFrame, cols: list[str]) -> DataFrame:
@@ -135,6 +171,36 @@ class Boxes:
         some.low, some.high, some.most = self.low[own], self.high[own], self.most[own]
         return some
 
+    def around(self, q: np.ndarray, radius: np.ndarray | None, k: int) -> list:
+        """(boxes, rows) that together leave out no block that a row of q can meet: boxes near the box around the rows, by `radius` or by the nearest one.
+
+        Rows of one missing pattern go together. Where a nearby block knows too few values of a column, all boxes stay.
+        """
+        out = []
+        patterns, pattern = patterns_of(~np.isnan(q))
+        for number, has in enumerate(patterns):
+            rows = np.flatnonzero(pattern == number)
+            useful = (self.known[:, has] > 0).any(1) & (self.known[:, ~has] > 0).any(1)
+            low, high = q[np.ix_(rows, has)].min(0), q[np.ix_(rows, has)].max(0)
+            with np.errstate(invalid="ignore"):
+                apart = np.nan_to_num(np.maximum(np.maximum(self.low[:, has] - high, low - self.high[:, has]), 0.0), posinf=np.inf)
+                widest = np.nan_to_num(np.maximum(np.maximum(self.low[:, has] - low, high - self.high[:, has]), 0.0), posinf=np.inf)
+            scale = q.shape[1] / np.maximum(np.minimum(self.most, has.sum()), 1)
+            least, most = (apart * apart).sum(1) * scale, (widest * widest).sum(1) * scale
+            if radius is not None:
+                # Blocks met first are left out of the rest, so those nearest to any row stay here too.
+                reach = max(radius[rows].max(), most[useful].min(initial=np.inf))
+            else:
+                reach = most[useful].min(initial=np.inf)
+            near = useful & (least * (1 - 1e-6) <= reach)
+            if ((self.known[near] < k) & ~has).any():
+                near = useful
+            some = object.__new__(Boxes)
+            for name in ("ids", "rows", "layout", "known", "low", "high", "most"):
+                setattr(some, name, getattr(self, name)[near])
+            out.append((some, rows))
+        return out
+
     def least_distances(self, q: np.ndarray) -> np.ndarray:
         """Per row and block, at most the distance of the row from any donor of the block; infinite where they share nothing useful."""
         have, held = ~np.isnan(q), self.known > 0
@@ -194,7 +260,7 @@ class KnnImputer:
         means = list(rows.agg(*[F.avg(c) for c in cols]).first())
         # Equal rows beyond k never change which k values are nearest.
         counted = rows.groupBy(*cols).agg(F.least(F.count("*"), F.lit(k)).cast("int").alias("__copies"))
-        table = counted.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
+        table = stored(counted.select(*cols, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy"), "donors")
         n = table.count()
         if n <= limit:
             donors = table.toPandas().to_numpy(dtype=float)
@@ -223,9 +289,11 @@ class KnnImputer:
             for frame in frames:
                 q = frame[cols].to_numpy(dtype=float)
                 out = np.where(np.isnan(q), np.array([np.nan if m is None else m for m in means]), q)
-                for i, j, _, values in nearest_values(q, donors, k):
-                    if len(values):
-                        out[i, j] = values.mean()
+                rows, columns, _, values = nearest_values(q, donors, k)
+                turn = np.lexsort((columns, rows))
+                cells, starts, counts = np.unique((rows * len(cols) + columns)[turn], return_index=True, return_counts=True)
+                if len(cells):
+                    out[cells // len(cols), cells % len(cols)] = np.add.reduceat(values[turn], starts) / counts
                 yield frame.assign(**{c: out[:, j] for j, c in enumerate(cols)})
 
         return fill
@@ -246,57 +314,65 @@ class KnnImputer:
         return reduce(DataFrame.unionByName, tables), asked.withColumn(LAYOUT, layout).drop("__own")
 
     def _pairs(self, sides: DataFrame, donors: Boxes, within: bool) -> DataFrame:
-        """(cols..., __q, __d): the donor blocks each incomplete row meets first or, `within`, the others no farther than its column `radius`."""
+        """(cols..., radius, __q, __d): the donor blocks each incomplete row meets first or, `within`, the others no farther than its column `radius`."""
         cols, k = self.cols, self.k
 
         def run(frames):
             layouts = {}
             for frame in frames:
-                for name, rows in frame.groupby(LAYOUT):
+                for (name, _), rows in frame.groupby([LAYOUT, BLOCK]):
                     if name not in layouts:
                         layouts[name] = donors.of(name)
-                    boxes = layouts[name]
-                    step = max(1, BOUNDS // max(len(boxes.ids), 1))
-                    for start in range(0, len(rows) if len(boxes.ids) else 0, step):
-                        part = rows.iloc[start:start + step]
-                        q = part[cols].to_numpy(dtype=float)
-                        far = boxes.least_distances(q)
-                        met = boxes.first(q, far, k)
-                        if within:
-                            met = ~met & np.isfinite(far) & (far <= part["radius"].to_numpy(dtype=float)[:, None])
-                        i, d = np.nonzero(met)
-                        yield part.iloc[i][[*cols, BLOCK]].rename(columns={BLOCK: "__q"}).assign(__d=boxes.ids[d])
-
-        return sides.mapInPandas(run, ", ".join([f"`{c}` double" for c in cols] + ["__q long", "__d long"]))
+                    q, radius = rows[cols].to_numpy(dtype=float), rows["radius"].to_numpy(dtype=float)
+                    near = layouts[name].around(q, radius if within else None, k)
+                    for boxes, some in near:
+                        step = max(1, BOUNDS // max(len(boxes.ids), 1))
+                        for start in range(0, len(some) if len(boxes.ids) else 0, step):
+                            part = some[start:start + step]
+                            far = boxes.least_distances(q[part])
+                            met = boxes.first(q[part], far, k)
+                            if within:
+                                met = ~met & np.isfinite(far) & (far <= radius[part, None])
+                            i, d = np.nonzero(met)
+                            yield rows.iloc[part[i]][[*cols, "radius", BLOCK]].rename(columns={BLOCK: "__q"}).assign(__d=boxes.ids[d])
+
+        return sides.mapInPandas(run, ", ".join([f"`{c}` double" for c in cols] + ["radius double", "__q long", "__d long"]))
 
     def _met(self, left: DataFrame, table: DataFrame) -> DataFrame:
-        """(cols..., column, distance, value): the k nearest donors of each incomplete row in each block that it meets."""
+        """(cols..., column, distance, value): the k nearest donors within its radius of each incomplete row in each block that it meets."""
         cols, k = self.cols, self.k
-        pairs = left.select("__q", "__d").distinct()
-        # A shared donor block is repeated for every block that asks for it; names of its own keep both sides of the cogroup apart.
-        right = table.withColumnRenamed(BLOCK, "__d").join(pairs, "__d").select(*[F.col(c).alias(c) for c in [*cols, "__q", "__d"]])
+        # Rows that ask for a donor block meet it together, QUERY_ROWS or so at a time, so the block is sent once for many.
+        asking = left.groupBy("__d", "__q").agg(F.count("*").alias("n"))
+        before = F.sum("n").over(Window.partitionBy("__d").orderBy("__q")) - F.col("n")
+        pieces = stored(asking.select("__d", "__q", F.floor(before / QUERY_ROWS).alias("__piece")), "pieces")
+        meets = pieces.select("__d", "__piece").distinct()
+        # A call gets a few blocks: calls cost more than small blocks do.
+        bucket = F.pmod(F.xxhash64("__d", "__piece"), F.lit(meets.count() // CALL_BLOCKS + 1)).alias("__bucket")
+        # Names of its own keep both sides of the cogroup apart.
+        right = table.withColumnRenamed(BLOCK, "__d").join(meets, "__d").select(*[F.col(c).alias(c) for c in [*cols, "__d", "__piece"]], bucket)
+        left = left.join(pieces, ["__d", "__q"]).select(*cols, "radius", "__d", "__piece", bucket)
         schema = T.StructType([T.StructField(c, T.DoubleType()) for c in cols] + [T.StructField("column", T.IntegerType()), T.StructField("distance", T.DoubleType()),
                                                                                  T.StructField("value", T.DoubleType())])
 
         def best(queries, donors):
-            q = queries[cols].to_numpy(dtype=float)
-            found = [np.column_stack([np.repeat(q[i][None, :], len(v), 0), np.full(len(v), j), dist, v])
-                     for i, j, dist, v in nearest_values(q, donors[cols].to_numpy(dtype=float), k) if len(v)]
-            out = pd.DataFrame(np.vstack(found) if found else np.empty((0, len(cols) + 3)), columns=[*cols, "column", "distance", "value"])
-            return out.astype({"column": "int32"})
+            q, radius, known = queries[cols].to_numpy(dtype=float), queries["radius"].to_numpy(dtype=float), donors[cols].to_numpy(dtype=float)
+            blocks, out = donors.groupby(["__d", "__piece"]).indices, []
+            for key, asked in queries.groupby(["__d", "__piece"]).indices.items():
+                rows, columns, distances, values = nearest_values(q[asked], known[blocks[key]], k, radius[asked])
+                out.append(np.column_stack([q[asked[rows]], columns, distances, values]))
+            return pd.DataFrame(np.vstack(out) if out else np.empty((0, len(cols) + 3)), columns=[*cols, "column", "distance", "value"]).astype({"column": "int32"})
 
-        keys = ["__q", "__d"]
-        return spread(left, keys).groupBy(*keys).cogroup(spread(right, keys).groupBy(*keys)).applyInPandas(best, schema)
+        return spread(left, ["__bucket"]).groupBy("__bucket").cogroup(spread(right, ["__bucket"]).groupBy("__bucket")).applyInPandas(best, schema)
 
     def _fill_from_table(self, holes: DataFrame) -> DataFrame:
         cols, k = self.cols, self.k
         some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in cols])
-        asked = blocked(holes.select(*cols).filter(some).distinct(), cols, max(1, QUERY_ROWS // 16))
+        asked = blocked(stored(holes.select(*cols).filter(some).distinct(), "asked"), cols, max(1, QUERY_ROWS // 16))
         if asked.isEmpty():
             return holes.withColumns({c: F.coalesce(F.col(c), F.lit(self.means[j])) for j, c in enumerate(cols)})
         table, asked = self._laid_out(asked)
         donors = Boxes(boxes_of(table, cols).toPandas())  # MAX_BOXES, MAX_LAYOUTS and the shuffle partitions bound their number
-        first = stored(self._met(stored(self._pairs(asked, donors, False), "pairs"), table), "nearest-first")
+        first = stored(self._met(stored(self._pairs(asked.withColumn("radius", F.lit(float("inf"))), donors, False), "pairs"), table), "nearest-first")
         # The k-th distance of every missing cell bounds its row; a cell with fewer donors so far leaves the row unbounded.
         w = Window.partitionBy(*cols, "column").orderBy("distance", "value")
         near = first.withColumn("rk", F.row_number().over(w)).filter(F.col("rk") == k)

@@ -172,3 +172,36 @@ def test_knn_donors_near_in_the_known_columns_lie_in_few_blocks(spark, monkeypat
     got = np.array([[r[c] for c in "abc"] for r in im.KnnImputer.fit(df, list("abc"), limit=40).transform(df).orderBy("id").collect()])
     assert np.allclose(got, brute_knn(x, x))
     assert sum(n for n, _ in met) < 0.4 * met[0][1], met
+
+
+def test_knn_sends_a_donor_block_once_for_many_rows_and_bounds_whole_blocks(spark, monkeypatch):
+    """Rows of several blocks share a donor block, and rows of a block are held against the boxes near it only."""
+    monkeypatch.setattr(im, "DONOR_ROWS", 1600)
+    monkeypatch.setattr(im, "QUERY_ROWS", 320)
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, 50, 5000), rng.uniform(0, 1e4, 5000).round(), rng.integers(1, 13, 5000)]).astype(float)
+    x[rng.random(x.shape) < 0.03] = np.nan
+    df = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double")
+    stored, pairs = {}, spark.sparkContext.accumulator(0)
+    plain, least = im.stored, im.Boxes.least_distances
+    monkeypatch.setattr(im, "stored", lambda df, name: stored.setdefault(name, []).append(plain(df, name)) or stored[name][-1])
+
+    def counted(self, q):
+        pairs.add(len(q) * len(self.ids))
+        return least(self, q)
+
+    monkeypatch.setattr(im.Boxes, "least_distances", counted)
+    got = np.array([[r[c] for c in "abc"] for r in im.KnnImputer.fit(df, list("abc"), limit=40).transform(df).orderBy("id").collect()])
+    want = np.where(np.isnan(x).all(1)[:, None], np.nanmean(x, axis=0), brute_knn(x, x))
+    assert np.allclose(got, want)
+    first, rest = stored["pieces"]
+    assert rest.select("__d", "__piece").distinct().count() < 0.8 * rest.count()
+    asked, boxes = stored["blocks"][1].count(), sum(t.select(im.BLOCK).distinct().count() for t in stored["blocks"][2:])
+    assert 0 < pairs.value < 0.7 * 2 * asked * boxes, (pairs.value, asked, boxes)
+
+
+def test_nearest_values_within_a_radius_keep_ties_by_value():
+    donors = np.array([[1.0, 9.0], [1.0, 3.0], [2.0, 5.0], [np.nan, 4.0], [1.0, np.nan], [3.0, 1.0]])
+    rows, columns, distances, values = im.nearest_values(np.array([[1.0, np.nan], [3.0, np.nan], [1.0, 2.0]]), donors, 2, np.array([np.inf, 2.0, np.inf]))
+    assert rows.tolist() == [0, 0, 1, 1] and columns.tolist() == [1] * 4
+    assert distances.tolist() == [0.0, 0.0, 0.0, 2.0] and values.tolist() == [3.0, 9.0, 1.0, 5.0]
