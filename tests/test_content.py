@@ -298,3 +298,23 @@ def test_detection_quality_writes_no_pairs_and_equals_whole_matching(spark, monk
     monkeypatch.setattr(bx, "_group_hits", None)
     monkeypatch.setattr(bx, "_match_rounds", lambda pairs: spark.createDataFrame([(*k, v) for k, v in limits.items()], "image_stem string, class_id int, p_id string, limits array<double>"))
     assert rows(bx.detection_map(truth, pred, pair_limit=0)) == got
+
+
+def test_kmeans_of_many_points_fits_every_k_in_the_same_passes(spark, monkeypatch):
+    from datascry.operators import cluster as cu
+    rng = np.random.default_rng(6)
+    centres = np.array([[0, 0], [9, 0], [0, 9], [30, 30]])
+    points = [tuple(map(float, centres[i % 4] + rng.normal(size=2))) for i in range(400)] + [(None, 1.0)]
+    df = spark.createDataFrame(points, "a double, b double").repartition(3)
+    copies = [df.withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(n)]))) for n in (1, 4)]
+    want = [cu.kmeans_auto_k(rows, ["a", "b"], ks=(2, 4))[1].orderBy("k").collect() for rows in copies]
+    passes, run = [], cu._in_tasks
+    monkeypatch.setattr(cu, "_in_tasks", lambda points, f: passes.append(points.count()) or run(points, f))
+    monkeypatch.setattr(cu, "MANY_POINTS", 100)
+    for rows, plain in zip(copies, want):
+        passes.clear()
+        labelled, table = cu.kmeans_auto_k(rows, ["a", "b"], ks=(2, 4))
+        assert 0 < len(passes) <= cu.ROUNDS + 2 * cu.PICKS + 3 and set(passes) == {401} and labelled.count() == rows.count()
+        for x, y in zip(table.orderBy("k").collect(), plain):
+            assert x["chosen"] == y["chosen"] and x["silhouette"] == pytest.approx(y["silhouette"], abs=1e-9)
+            assert not x["chosen"] or labelled.select("cluster").distinct().count() == x["k"]
