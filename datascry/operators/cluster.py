@@ -52,7 +52,8 @@ def kmeans_auto_k(df: DataFrame, cols: list[str], ks=(2, 3, 4, 5), default: int
     if (kinds if weighed else total) > MANY_POINTS:
         vectors.unpersist()
         weight = F.col("__weight") if weighed else F.lit(1.0)
-        tried = fitted_together(stored(vectors.select(vector_to_array("features").alias("x"), weight.alias("weight")), "points"), ks)
+        x = vector_to_array("features")
+        tried = fitted_together(stored(vectors.select(x.alias("x"), weight.alias("weight")).select(*[F.col("x")[i].alias(f"x{i}") for i in range(len(cols))], "weight"), "points"), ks)
         return _chosen(ready, tried, default)
     try:
         judge = ClusteringEvaluator(featuresCol="features", predictionCol="cluster", metricName="silhouette")
@@ -74,16 +75,16 @@ def _chosen(ready: DataFrame, tried: list, default: int):
     return best[2].transform(ready), table
 
 
-def _in_tasks(points: DataFrame, run) -> list[np.ndarray]:
+def _in_tasks(points: DataFrame, run, turn: int = 0) -> list[np.ndarray]:
     """What run(x, weight, random) gives for batches of points, an array of one shape or, where `run.rows`, rows; per task added up or put together."""
 
     def work(batches):
         task, out = TaskContext.get(), None
-        rng = np.random.default_rng([SEED, task.partitionId() if task else 0])
+        rng = np.random.default_rng([SEED, turn, task.partitionId() if task else 0])
         for batch in batches:
             if batch.num_rows:
-                weight = batch.column("weight").to_numpy()
-                got = run(batch.column("x").flatten().to_numpy().reshape(len(weight), -1), weight, rng)
+                *x, weight = (c.to_numpy() for c in batch.columns)
+                got = run(np.column_stack(x), weight, rng)
                 out = got if out is None else {k: np.vstack([out[k], v]) for k, v in got.items()} if isinstance(got, dict) else out + got
         for k, v in (out.items() if isinstance(out, dict) else [(0, out)] if out is not None else []):
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.ascontiguousarray(v).tobytes()], pa.binary())], names=["k", "found"])
@@ -100,6 +101,16 @@ def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] + (centres * centres).sum(1) - 2 * (x @ centres.T), 0.0)
 
 
+def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """The number of each row's nearest centre, the first of equally near ones."""
+    away = (centres * centres).sum(1)[:, None] - 2 * (centres @ x.T)
+    label, least = np.zeros(len(x), np.int64), away[0].copy()
+    for i in range(1, len(centres)):
+        label[away[i] < least] = i
+        np.minimum(least, away[i], out=least)
+    return label
+
+
 def _group_sums(x: np.ndarray, weight: np.ndarray, label: np.ndarray, k: int, *more: np.ndarray) -> np.ndarray:
     """(k, 1 + width + more): weight and weighed sums of the columns per label."""
     return np.stack([np.bincount(label, weight * v, k) for v in (np.ones(len(x)), *x.T, *more)], axis=1)
@@ -122,7 +133,7 @@ def _picked(candidates: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
         share = cost / cost.sum() if cost.sum() > 0 else np.full(len(cost), 1 / len(cost))
     centres = candidates[chosen]
     for _ in range(30):
-        centres, still = _moved(centres, _group_sums(candidates, weight, _distances(candidates, centres).argmin(1), k))
+        centres, still = _moved(centres, _group_sums(candidates, weight, _nearest(candidates, centres), k))
         if still:
             break
     return centres
@@ -130,9 +141,11 @@ def _picked(candidates: np.ndarray, weight: np.ndarray, k: int) -> np.ndarray:
 
 def first_centres(points: DataFrame, ks) -> dict[int, np.ndarray]:
     """Starting centres for every k as k-means|| finds them: rows picked by their share of the cost, weighed by the rows near them."""
-    seed = points.orderBy(F.xxhash64("x", F.lit(SEED)), "x").first()["x"]
+    x = points.columns[:-1]
+    seed = list(points.select(*x).orderBy(F.xxhash64(*x, F.lit(SEED)), *x).first())
     found = {k: np.array([seed], dtype=float) for k in ks}
-    for turn in range(PICKS):
+    turn, lacking = 0, True
+    while turn < PICKS or lacking:
         costs = dict(zip(ks, _sums(points, lambda x, w, rng, found=found: np.array([(w * _distances(x, found[k]).min(1)).sum() for k in ks]))))
 
         def pick(x, w, rng, found=found, costs=costs):
@@ -142,20 +155,22 @@ def first_centres(points: DataFrame, ks) -> dict[int, np.ndarray]:
                 out[k] = x[rng.random(len(x)) < share]
             return out
 
-        new = _in_tasks(points, pick)
-        found = {k: np.vstack([found[k], *[v.reshape(-1, len(seed)) for at, v in new if at == k]]) for k in ks}
-    found = {k: np.unique(c, axis=0) for k, c in found.items()}
-    near = _sums(points, lambda x, w, rng: np.concatenate([np.bincount(_distances(x, c).argmin(1), w, len(c)) for c in found.values()]))
+        turn += 1
+        new = _in_tasks(points, pick, turn)
+        found = {k: np.unique(np.vstack([found[k], *[v.reshape(-1, len(seed)) for at, v in new if at == k]]), axis=0) for k in ks}
+        # Too few by chance: another round, unless every row is a centre already.
+        lacking = turn < 10 * PICKS and any(len(found[k]) < k and costs[k] > 1e-9 for k in ks)
+    near = _sums(points, lambda x, w, rng: np.concatenate([np.bincount(_nearest(x, c), w, len(c)) for c in found.values()]))
     weights = np.split(near, np.cumsum([len(c) for c in found.values()])[:-1])
     return {k: c if len(c) <= k else _picked(c, np.maximum(n, 1e-300), k) for (k, c), n in zip(found.items(), weights)}
 
 
 def fitted_together(points: DataFrame, ks) -> list:
-    """(k, silhouette, model) for every k, fitted on all points (x, weight) in the same passes."""
+    """(k, silhouette, model) for every k, fitted on all points (x0, x1 ..., weight) in the same passes."""
     centres, open_ = first_centres(points, ks), list(ks)
     for _ in range(ROUNDS):
         held = {k: centres[k] for k in open_}
-        sums = _sums(points, lambda x, w, rng: np.concatenate([_group_sums(x, w, _distances(x, c).argmin(1), len(c)).ravel() for c in held.values()]))
+        sums = _sums(points, lambda x, w, rng: np.concatenate([_group_sums(x, w, _nearest(x, c), len(c)).ravel() for c in held.values()]))
         for (k, c), part in zip(held.items(), np.split(sums, np.cumsum([c.size + len(c) for c in held.values()])[:-1])):
             centres[k], still = _moved(c, part.reshape(len(c), -1))
             if still:
@@ -173,13 +188,13 @@ def fitted_together(points: DataFrame, ks) -> list:
 
 def together_silhouettes(points: DataFrame, centres: dict[int, np.ndarray]) -> dict[int, float | None]:
     """weighed_silhouette for every k."""
-    sums = _sums(points, lambda x, w, rng: np.concatenate([_group_sums(x, w, _distances(x, c).argmin(1), len(c), (x * x).sum(1)).ravel() for c in centres.values()]))
+    sums = _sums(points, lambda x, w, rng: np.concatenate([_group_sums(x, w, _nearest(x, c), len(c), (x * x).sum(1)).ravel() for c in centres.values()]))
     held = {k: part.reshape(len(c), -1) for (k, c), part in zip(centres.items(), np.split(sums, np.cumsum([c.size + 2 * len(c) for c in centres.values()])[:-1]))}
 
     def values(x, w, rng):
         total = []
         for k, c in centres.items():
-            label, n = _distances(x, c).argmin(1), np.maximum(held[k][:, 0], 1e-300)
+            label, n = _nearest(x, c), np.maximum(held[k][:, 0], 1e-300)
             away = (x * x).sum(1)[:, None] + held[k][:, -1] / n - 2 * (x @ (held[k][:, 1:-1] / n[:, None]).T)
             at = (np.arange(len(x)), label)
             with np.errstate(divide="ignore", invalid="ignore"):

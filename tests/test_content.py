@@ -309,7 +309,7 @@ def test_kmeans_of_many_points_fits_every_k_in_the_same_passes(spark, monkeypatc
     copies = [df.withColumn("n", F.explode(F.array(*[F.lit(i) for i in range(n)]))) for n in (1, 4)]
     want = [cu.kmeans_auto_k(rows, ["a", "b"], ks=(2, 4))[1].orderBy("k").collect() for rows in copies]
     passes, run = [], cu._in_tasks
-    monkeypatch.setattr(cu, "_in_tasks", lambda points, f: passes.append(points.count()) or run(points, f))
+    monkeypatch.setattr(cu, "_in_tasks", lambda points, *f: passes.append(points.count()) or run(points, *f))
     monkeypatch.setattr(cu, "MANY_POINTS", 100)
     for rows, plain in zip(copies, want):
         passes.clear()
