@@ -291,9 +291,9 @@ class KnnImputer:
                 out = np.where(np.isnan(q), np.array([np.nan if m is None else m for m in means]), q)
                 rows, columns, _, values = nearest_values(q, donors, k)
                 turn = np.lexsort((columns, rows))
-                cells, starts, counts = np.unique((rows * len(cols) + columns)[turn], return_index=True, return_counts=True)
-                if len(cells):
-                    out[cells // len(cols), cells % len(cols)] = np.add.reduceat(values[turn], starts) / counts
+                cells, starts = np.unique((rows * len(cols) + columns)[turn], return_index=True)
+                for cell, near in zip(cells.tolist(), np.split(values[turn], starts[1:])):
+                    out[divmod(cell, len(cols))] = near.mean()
                 yield frame.assign(**{c: out[:, j] for j, c in enumerate(cols)})
 
         return fill
